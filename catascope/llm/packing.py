@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from catascope.llm.common import by_value, partitions, stored
-from catascope.llm.tokens import ChunkEncoder, default_path
+from catascope.llm.tokens import WordEncoder, default_path
 
 END_ID = 0
 PLAN_SCHEMA = "length long, first long, n long, bin long, offset long"
@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder, step = ChunkEncoder(path), 4 * capacity
+        encoder, step = WordEncoder(path), 4 * capacity
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for key, text in zip(batch.column(0), batch.column(1), strict=True):

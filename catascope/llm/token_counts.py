@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catascope.llm.common import by_value
-from catascope.llm.tokens import ChunkEncoder
+from catascope.llm.tokens import WordEncoder
 
 KEYS = ("source", "lang", "tokenizer_version")
 SCHEMA = "source string, lang string, tokenizer_version string, d_docs long, d_tokens long"
@@ -31,7 +31,7 @@ def count_tokens(docs: DataFrame, path: str, version: str) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder = ChunkEncoder(path)
+        encoder = WordEncoder(path)
         for batch in batches:
             n = pa.array([len(encoder.ids(t.as_py())) // 4 for t in batch.column(batch.num_columns - 1)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n], names=[*batch.schema.names[:-1], "n_tokens"])

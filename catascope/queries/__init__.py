@@ -7,7 +7,7 @@ import pkgutil
 
 
 def _modules():
-    return [importlib.import_module(f"{__name__}.{m.name}") for m in pkgutil.iter_modules(__path__)]
+    return [importlib.import_module(f"{__name__}.{m.name}") for m in pkgutil.iter_modules(__path__) if not m.name.startswith("_")]
 
 
 def queries() -> dict:

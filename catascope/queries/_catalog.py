@@ -24,7 +24,7 @@ PARTS = {
  FROM cols WHERE ordinal = 1 AND table_name <> 'Users' UNION ALL
  SELECT project_id, database_id, schema_hash, table_schema, table_name, CASE WHEN k % 2 = 0 THEN 'fk_' || table_name || '_' || column_name ELSE column_name || '_fkey' END, 'foreign_key', column_name,
  CASE WHEN k % 5 = 0 THEN 'public.item' ELSE 'public.orders' END, k FROM cols WHERE ordinal BETWEEN 2 AND 6""",
-    "idx": """SELECT project_id, database_id, schema_hash, table_schema, table_name, CASE WHEN k % 3 = 0 THEN 'idx_' || table_name || '_' || column_name ELSE column_name || '_i' END AS name, ordinal AS pos,
+    "idx": """SELECT project_id, database_id, schema_hash, table_schema, table_name, CASE WHEN k % 3 = 0 THEN 'idx_' || table_name || '_' || column_name ELSE table_name || '_' || column_name || '_i' END AS name, ordinal AS pos,
  column_name AS col, CASE WHEN k % 7 = 0 THEN 'gin' ELSE 'btree' END AS index_type, k % 4 = 0 AS is_unique, ordinal = 1 AS is_primary, k FROM cols WHERE ordinal <= 14 AND k % 2 = 0""",
     "kids": """SELECT project_id, database_id, schema_hash, table_schema AS parent_schema, 'log_all' AS parent_name, table_schema AS child_schema, table_name AS child_name,
  'FOR VALUES FROM (''' || k || ''') TO (''' || (k + CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END) || ''')' AS bound, k FROM tabs WHERE table_name LIKE 'log!_%' ESCAPE '!' AND table_name <> 'log_all'""",

@@ -80,7 +80,7 @@ def window_hashes(hashes: Column, width: int) -> Column:
     """
 
     def join(a: Column, b: Column, shift: int) -> Column:
-        n = F.least(F.greatest(F.size(a) - F.lit(shift), F.lit(0)), F.size(b))
+        n = F.greatest(F.least(F.size(a), F.size(b) - F.lit(shift)), F.lit(0))
         return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1 + shift), n), lambda x, y: F.xxhash64(x, y))
 
     def grow(have: Column, power: int, out: Column | None, covered: int) -> Column:

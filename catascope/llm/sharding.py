@@ -91,7 +91,7 @@ def settle(rows: DataFrame, shards: int) -> DataFrame:
     loads = {r["shard"]: int(r["load"]) for r in _loads(rows, shards).collect()}
     free = {r["shard"]: int(r["load"]) for r in rows.where("piece is null").groupBy("shard").agg(F.sum("size").alias("load")).collect()}
     mean = sum(loads.values()) / shards
-    surplus = {s: min(loads[s] - mean, free.get(s, 0)) for s in loads if loads[s] > mean}
+    surplus = {s: float(min(loads[s] - mean, free.get(s, 0))) for s in loads if loads[s] > mean}
     # deficits on one line, as intervals of [0, sum of surpluses)
     line, at = [], 0.0
     for s in sorted(loads):

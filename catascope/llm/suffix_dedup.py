@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from catascope.llm.common import by_value
 
 GRAM = 16
+POSITION = 20  # bits of a position within a stretch of text
 LAST = (1 << 63) - 1  # stands for a null doc_id
 
 
@@ -47,25 +48,25 @@ def anchors(data: bytes, span: int):
         n *= 2
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    # least hash of each string's grams, then its first position: where the least changes, or leaves the string
-    width, least, n = span - GRAM + 1, h, 1
+    # least hash of each string's grams; the position below it settles ties to the left and tells which gram it was
+    width, low = span - GRAM + 1, np.uint64((1 << POSITION) - 1)
+    least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+    n = 1
     while n < width:
         m = min(n, width - n)
         least = np.minimum(least[:-m], least[m:])
         n += m
-    at = np.arange(len(h))
-    # position of the next gram with the same hash as the window's least, at or after the window's start
-    marked = np.zeros(len(h), bool)
-    starts = np.arange(len(least))
-    change = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    pick = np.full(len(least), -1, dtype=np.int64)
-    for c, stop in zip(change.tolist(), [*change[1:].tolist(), len(least)]):
-        low = least[c]
-        hits = np.flatnonzero(h[c : stop - 1 + width] == low) + c
-        pick[c:stop] = hits[np.searchsorted(hits, starts[c:stop])]
-    del marked, at
-    first = np.flatnonzero(np.concatenate([[True], pick[1:] != pick[:-1]]))
-    return h[pick[first]], first, np.append(first[1:], len(least)) - 1
+    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    return h[(least[first] & low).astype(np.int64)], first, np.append(first[1:], len(least)) - 1
+
+
+def long_anchors(data: bytes, span: int) -> Iterator[tuple]:
+    """Anchors of any length of text, in overlapping stretches that a position fits."""
+    size = 1 << POSITION
+    for at in range(0, max(1, len(data) - span + 1), size - span + 1):
+        part = data[at : at + size]
+        if (found := anchors(part, span)) is not None:
+            yield (*found, at, part)
 
 
 def suffix_order(s, depth: int):
@@ -153,7 +154,7 @@ def _unpack(data: bytes) -> list[bytes]:
     return out
 
 
-def deal_segments(docs: DataFrame, groups: int, span: int, batch_bytes: int = 8 << 20) -> DataFrame:
+def deal_segments(docs: DataFrame, groups: int, span: int, batch_bytes: int = 2 << 20) -> DataFrame:
     """(t, block): packed anchors, holders, first starts and bytes, by group of anchors."""
 
     def run(batches: Iterator) -> Iterator:
@@ -162,8 +163,8 @@ def deal_segments(docs: DataFrame, groups: int, span: int, batch_bytes: int = 8
 
         def flush(held: list) -> pa.RecordBatch:
             h = np.concatenate([a[0] for a in held])
-            doc = np.concatenate([np.full(len(a[0]), a[3]) for a in held])
-            first = np.concatenate([a[1] for a in held]).astype(np.int32)
+            doc = np.concatenate([np.full(len(a[0]), a[3], dtype=np.int64) for a in held])
+            first = np.concatenate([a[1] + a[5] for a in held]).astype(np.int32)
             size = np.concatenate([a[2] - a[1] + span for a in held]).astype(np.int32)
             base = np.concatenate([a[1] + o for a, o in zip(held, np.cumsum([0] + [len(a[4]) for a in held[:-1]]), strict=True)])
             whole = np.frombuffer(b"".join(a[4] for a in held), np.uint8)
@@ -181,9 +182,9 @@ def deal_segments(docs: DataFrame, groups: int, span: int, batch_bytes: int = 8
         for batch in batches:
             for key, value in zip(batch.column(0), batch.column(1), strict=True):
                 data = (value.as_py() or "").encode()
-                if (found := anchors(data, span)) is not None:
-                    held.append((*found, LAST if key.as_py() is None else key.as_py(), data))
-                    size += len(data)
+                for h, first, last, at, part in long_anchors(data, span):
+                    held.append((h, first, last, LAST if key.as_py() is None else key.as_py(), part, at))
+                    size += len(part)
                 if size >= batch_bytes:
                     yield flush(held)
                     held, size = [], 0

@@ -36,7 +36,8 @@ class TrainParams:
     max_docs: int = 8000  # bound of the labelled sample
     max_features: int = 3000
     min_docs: int = 4  # a feature must occur in so many sampled documents
-    min_z: float = 4.0  # and differ this clearly between the classes
+    min_z: float = 4.0  # and differ this clearly between the classes,
+    min_odds: float = 1.5  # by this log-odds ratio at least: common words of longer documents stay out
     steps: int = 250
     rate: float = 0.1
     ridge: float = 1e-4
@@ -121,8 +122,8 @@ def fit_noisy_or(rows, weights: dict[int, float], prior: float, params: TrainPar
     y[doc_of] = rows["toxic"].to_numpy()
     used = rows["bucket"].to_numpy() >= 0
     d, f = doc_of[used], np.array([names[b] for b in rows["bucket"].to_numpy()[used]], dtype=np.int64)
-    pairs, s = np.unique(np.stack([d, rows["sentence"].to_numpy()[used]]), axis=1, return_inverse=True)
-    s, owner = s.ravel(), pairs[0]
+    pairs, s = np.unique(d * (1 << 32) + rows["sentence"].to_numpy()[used], return_inverse=True)
+    owner = pairs >> 32
     share = y.mean()
     importance = np.where(y == 1, prior / max(share, 1e-9), (1 - prior) / max(1 - share, 1e-9))
     x = np.concatenate([w * 0.5, [-2.0, -4.0]])  # weights, bias, leak
@@ -155,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, params: TrainParams = TrainParams(
     z = (rate("pos", n1) - rate("neg", n0)) / F.sqrt(both * (1 - both) * (1 / n1 + 1 / n0))
     odds = F.log(rate("pos", n1) / (1 - rate("pos", n1))) - F.log(rate("neg", n0) / (1 - rate("neg", n0)))
     telling = feature_counts(rows).where(F.col("pos") + F.col("neg") >= params.min_docs).select("bucket", z.alias("z"), odds.alias("odds"))
-    best = telling.where(F.abs("z") >= params.min_z).orderBy(F.abs("z").desc(), "bucket").limit(params.max_features)
+    best = telling.where((F.abs("z") >= params.min_z) & (F.abs("odds") >= params.min_odds)).orderBy(F.abs("z").desc(), "bucket").limit(params.max_features)
     weights = {r["bucket"]: r["odds"] for r in best.collect()}
     if not weights:
         return Model(leak=prior)

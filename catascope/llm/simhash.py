@@ -110,6 +110,27 @@ def links(fps: DataFrame, radius: int = 3, cap: int = 64) -> DataFrame:
     return near.unionByName(stars).distinct()
 
 
+def text_digest(text: Column) -> Column:
+    """Digest of a text; null for null."""
+    return F.md5(F.encode(text, "UTF-8"))
+
+
+def one_per_group(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each label of ``groups`` (doc_id, h, label), a row per row of ``docs``.
+
+    It is the least by doc_id (null last) and text digest; of rows that repeat both, one stays.
+    """
+    each = groups.groupBy("doc_id", "h").agg(F.first("label").alias("label"), F.count(F.lit(1)).alias("n"))
+    first = each.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("f"))
+    kept = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & F.col("h").eqNullSafe(F.col("f.h"))
+    odd = each.join(first, "label").select(F.col("doc_id").alias("__doc"), F.col("h").alias("__h"), kept.alias("__kept"), "n").where("not __kept or n > 1")
+    odd = stored(odd.drop("n"), "odd-rows")
+    keyed = docs.withColumn("__digest", text_digest(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & F.col("__digest").eqNullSafe(F.col("__h"))
+    again = keyed.join(odd.where("__kept"), same, "left_semi").dropDuplicates(["doc_id", "__digest"])
+    return keyed.join(odd, same, "left_anti").unionByName(again).drop("__digest")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) per row; component_id: the smallest doc_id reachable over links."""
     rows = stored(fingerprints(docs, width), "fingerprints")

@@ -30,11 +30,12 @@ from pyspark.sql import functions as F
 from catascope.llm.common import bind, stored
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-#: The base patterns; a match starts where its run of characters starts or the last match ended.
+#: The base patterns; a match starts where its run of characters starts or the last match ended. Repeated
+#: groups are possessive: Java runs those as loops, where a greedy one recurses and long texts end its stack.
 PATTERNS = {
-    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]+(?:\.[0-9]+){3}",
-    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "secret": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}",
 }

@@ -142,14 +142,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
 
 
 def keep_one(docs: DataFrame, width: int = 5, radius: int = 3) -> DataFrame:
-    """Documents with one left of every near-duplicate group, the one of the smallest doc_id.
-
-    Of rows that repeat a doc_id and its text, one stays; rows without a doc_id have nothing to be told
-    apart by and all stay.
-    """
-    groups = near_duplicates(docs, width, radius)
-    lost = groups.where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, F.col("doc_id") == F.col("__lost"), "left_anti")
+    """Rows with one left of every near-duplicate group, the one of the smallest doc_id (see ``one_per_group``)."""
+    rows = stored(fingerprints(docs.select(F.struct("doc_id", text_digest(F.col("text")).alias("h")).alias("doc_id"), "text"), width), "fingerprints")
+    labels = components(links(rows.select("fp").distinct(), radius)).withColumnRenamed("node", "fp")
+    groups = rows.join(labels, "fp", "left").select("doc_id.doc_id", "doc_id.h", F.coalesce("label", "fp").alias("label"))
+    return one_per_group(docs, groups)
 
 
 by_value(__name__)

@@ -291,7 +291,7 @@ def calibrate(trees: Trees, table: list[tuple[dict, int, int]], precision: float
                 cell[1] += pos
         best, n, hit = math.inf, 0, 0
         for s in sorted(by, reverse=True):
-            if by[s][1] < precision * by[s][0]:  # a run of its own that misses the precision ends the search
+            if 2 * by[s][1] < by[s][0]:  # vectors that are mostly wrong do not ride on the others' precision
                 break
             n, hit = n + by[s][0], hit + by[s][1]
             if hit >= precision * n:

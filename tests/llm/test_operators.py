@@ -346,7 +346,8 @@ def test_pii(spark, empty):
 
     rng = random.Random(7)
     odd = ["".join(rng.choice(al) for _ in range(rng.randint(0, 90))) for al in ("a1@. -b2%+", "0123456789 .-+()", "12.5 3é😀@ab.c+-") for _ in range(150)]
-    odd += [None, "1.2.3.4.5.6.7.8", "x@y.z%w@q.r", "😀 a@b.co 4111 1111 1111 1111 and password=b7db7aa4a5fcc78305 end"]
+    hexed = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(32))
+    odd += [None, "1.2.3.4.5.6.7.8", "x@y.z%w@q.r", *[f"and password={hexed()} end" for _ in range(60)], f"😀 a@b.co 4111 1111 1111 1111 and password={hexed()} end"]
     docs = make(spark, odd)
     got = rows(detect(docs))
     for i, t in enumerate(odd):

@@ -21,10 +21,10 @@ VOLATILITIES = {"i": "immutable", "s": "stable", "v": "volatile"}
 POLICY_COMMANDS = {"r": "SELECT", "a": "INSERT", "w": "UPDATE", "d": "DELETE", "*": "ALL"}
 IDENTITIES = {"a": "always", "d": "by default"}
 TYPE_WIDTHS = {
-    "boolean": 1, "bool": 1, "smallint": 2, "int2": 2, "integer": 4, "int": 4, "int4": 4, "bigint": 8, "int8": 8, "real": 4, "float4": 4,
-    "double precision": 8, "float8": 8, "date": 4, "time": 8, "timestamp": 8, "timestamp without time zone": 8, "timestamptz": 8,
-    "timestamp with time zone": 8, "interval": 16, "uuid": 16, "inet": 19, "cidr": 19, "macaddr": 6, "numeric": 16, "decimal": 16,
-    "text": 32, "varchar": 32, "character varying": 32, "char": 32, "bytea": 64, "json": 64, "jsonb": 64,
+    "smallint": 2, "int2": 2, "integer": 4, "int": 4, "int4": 4, "bigint": 8, "int8": 8, "real": 4, "float4": 4, "double precision": 8,
+    "float8": 8, "boolean": 1, "bool": 1, "date": 4, "timestamp without time zone": 8, "timestamp": 8, "timestamp with time zone": 8,
+    "timestamptz": 8, "uuid": 16, "inet": 19, "cidr": 19, "macaddr": 6, "oid": 4, "numeric": 16, "text": 32, "character varying": 32,
+    "varchar": 32, "character": 32, "char": 32, "bpchar": 32, "bytea": 32, "jsonb": 64, "json": 64, "xml": 64,
 }
 TYPE_ALIASES = {
     "int2": "smallint", "int4": "integer", "int": "integer", "int8": "bigint", "float4": "real", "float8": "double precision",
@@ -114,6 +114,16 @@ def format_bytes(n: Column) -> Column:
     return F.when(n >= 1 << 30, size(30, "GB")).when(n >= 1 << 20, size(20, "MB")).when(n >= 1 << 10, size(10, "KB")).otherwise(F.concat(n.cast("string"), F.lit(" bytes")))
 
 
+def format_number(n: Column) -> Column:
+    """Whole number with a comma between thousands."""
+    return F.format_number(F.round(n), 0)
+
+
+def generated(code: Column) -> Column:
+    """``s`` is a stored generated column; anything else is not generated."""
+    return F.when(code == "s", F.lit("stored"))
+
+
 def filter_column(condition: Column) -> Column:
     """Column that a filter text starts with: outer parentheses off, first word, what follows the last dot."""
     word = F.regexp_extract(F.regexp_replace(F.trim(condition), r"^\(+", ""), r"^(\S+)", 1)

@@ -20,11 +20,9 @@ WIDE = ("text", "varchar", "bytea", "jsonb", "json", "xml")
 BOOL_PREFIXES = "^(?:is_|has_|can_|should_|was_|will_)"
 # --- fixed values: reserved words ---
 RESERVED = (
-    "all analyse analyze and any array as asc asymmetric both case cast check collate column constraint create current_catalog "
-    "current_date current_role current_time current_timestamp current_user default deferrable desc distinct do else end except false "
-    "fetch for foreign from grant group having in initially intersect into lateral leading limit localtime localtimestamp not null offset "
-    "on only or order placing primary references returning select session_user some symmetric table then to trailing true union unique "
-    "user using variadic when where window with"
+    "all alter and any as asc between by case check column constraint create cross current default delete desc distinct drop else end "
+    "exists false fetch for foreign from full grant group having in index inner insert into is join key left like limit not null offset "
+    "on or order outer primary references right select set table then to true union unique update user using values when where with"
 ).split()
 
 

@@ -116,6 +116,8 @@ def _ddl(s, d):
         F.element_at(F.array(*[F.lit(x) for x in OPS]), (o % 9).cast("int") + 1).alias("op"), F.lit(None).cast("string").alias("table_schema"), F.concat(F.lit("t"), (o % 10).cast("string")).alias("table_name"),
         F.lit("c0").alias("column_name"), (F.col("o_custkey") % 2 == 0).alias("has_default"), (F.col("o_custkey") % 3 == 0).alias("not_valid"), (F.col("o_custkey") % 5 == 0).alias("concurrently"),
         F.when(F.col("o_custkey") % 7 > 0, (F.col("o_custkey") % 7 + 8).cast("int")).alias("major"),
+        F.when(o % 5 < 3, F.element_at(F.array(*[F.lit(x) for x in ("foreign_key", "check", "unique")]), (o % 5).cast("int") + 1)).alias("constraint_type"),
+        F.concat(F.lit("n"), o.cast("string")).alias("object_name"),
     )
 
 
@@ -130,9 +132,21 @@ def _assessed(s, d):
     return M.assess(_ddl(s, d), c["stats"], nulls)
 
 
-@query("g1_g9_migration_risk", f"{G} SELECT op_id, safety, CASE WHEN t < 4 THEN 20000.0 WHEN t < 8 THEN 500.0 END AS rows, CASE WHEN t < 8 THEN '1.9 MB' END AS size, CASE WHEN op = 2 AND t < 8 THEN CASE WHEN t < 4 THEN 6000 ELSE 150 END END AS estimated_nulls FROM a")
+OPERATION = "CASE op WHEN 0 THEN 'ADD COLUMN' WHEN 1 THEN 'DROP COLUMN' WHEN 2 THEN 'SET NOT NULL' WHEN 3 THEN 'ALTER COLUMN TYPE' WHEN 4 THEN CASE op_id % 5 WHEN 0 THEN 'ADD FOREIGN KEY' WHEN 1 THEN 'ADD CHECK CONSTRAINT' ELSE 'ADD CONSTRAINT' END WHEN 5 THEN 'VALIDATE CONSTRAINT' WHEN 6 THEN CASE WHEN co THEN 'CREATE INDEX CONCURRENTLY' ELSE 'CREATE INDEX' END WHEN 7 THEN 'RENAME' ELSE 'DROP TABLE' END"
+LOCK = "CASE WHEN op = 4 AND nv THEN 'ACCESS EXCLUSIVE (brief)' WHEN op = 5 OR (op = 6 AND co) THEN 'SHARE UPDATE EXCLUSIVE' WHEN op = 6 THEN 'SHARE (blocks writes)' ELSE 'ACCESS EXCLUSIVE' END"
+DURATION = """CASE op WHEN 0 THEN CASE WHEN NOT de THEN 'brief' WHEN major >= 11 THEN 'brief if the default is immutable, else a table rewrite' ELSE 'table rewrite' END
+ WHEN 1 THEN 'brief, metadata only' WHEN 2 THEN CASE WHEN major >= 12 THEN 'scan unless a check proves it' ELSE 'full scan' END WHEN 3 THEN 'table rewrite'
+ WHEN 4 THEN CASE WHEN nv THEN 'brief, metadata only' ELSE CASE op_id % 5 WHEN 0 THEN 'full scan of both tables' WHEN 1 THEN 'full scan' ELSE 'full scan or index build' END END
+ WHEN 5 THEN 'full scan without blocking writes' WHEN 6 THEN CASE WHEN co THEN 'two scans without blocking writes' ELSE 'full scan blocking writes' END
+ WHEN 7 THEN 'brief, breaks callers' ELSE 'brief, data is gone' END"""
+UNDO = """CASE op WHEN 0 THEN 'ALTER TABLE public.t' || t || ' DROP COLUMN c0;' WHEN 2 THEN 'ALTER TABLE public.t' || t || ' ALTER COLUMN c0 DROP NOT NULL;'
+ WHEN 4 THEN 'ALTER TABLE public.t' || t || ' DROP CONSTRAINT n' || op_id || ';' WHEN 6 THEN 'DROP INDEX CONCURRENTLY n' || op_id || ';'
+ WHEN 7 THEN 'ALTER TABLE public.t' || t || ' RENAME TO its old name;' END"""
+
+
+@query("g1_g9_migration_risk", f"{G} SELECT op_id, {OPERATION} AS operation, safety, {LOCK} AS lock, {DURATION} AS duration, {UNDO} AS rollback, CASE WHEN t < 4 THEN 20000.0 WHEN t < 8 THEN 500.0 END AS rows, CASE WHEN t < 8 THEN '1.9 MB' END AS size, CASE WHEN op = 2 AND t < 8 THEN CASE WHEN t < 4 THEN 6000 ELSE 150 END END AS estimated_nulls FROM a")
 def g1(s, d):
-    return _assessed(s, d).select("op_id", "safety", "rows", "size", "estimated_nulls")
+    return _assessed(s, d).select("op_id", "operation", "safety", "lock", "duration", "rollback", "rows", "size", "estimated_nulls")
 
 
 @query("g10_migration_rollup", f"{G} SELECT migration_id, bool_or(safety = 'dangerous') AS has_dangerous, CASE WHEN bool_or(safety = 'dangerous') THEN 'dangerous' WHEN bool_or(safety = 'caution') THEN 'caution' ELSE 'safe' END AS worst FROM a GROUP BY 1")

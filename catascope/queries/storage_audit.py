@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catascope.adapters import table
+from catascope.functions.names import type_width
 from catascope.operators import audit as A
 from catascope.operators import storage as S
 from catascope.queries._catalog import SQL, catalog
@@ -33,6 +34,21 @@ def b1(s, d):
     return S.index_bloat(c["index"], c["column"], c["stat_index"]).select("database_id", "table_name", "name", "width", "expected_pages", "ratio")
 
 
+#: Widths of the types by their names; the last ones are not in the table of widths.
+WIDTHS = {
+    2: "smallint INT2", 4: "integer int int4 real float4 date oid", 8: "bigint int8 timestamp timestamptz float8", 1: "boolean bool", 16: "uuid numeric(10,2)", 19: "inet cidr",
+    6: "macaddr", 32: "text varchar(20) character char(3) bpchar bytea text[] time interval decimal money tsvector", 64: "jsonb json xml jsonb[]",
+}
+SPACED = {8: ("double precision", "timestamp without time zone", " Timestamp with time zone"), 32: ("character varying(9)",)}
+TYPED = [(t, w) for w, names in WIDTHS.items() for t in names.split()] + [(t, w) for w, names in SPACED.items() for t in names]
+
+
+@query("b3_type_widths", f"SELECT p_partkey, [{', '.join(str(w) for _, w in TYPED)}][1 + p_partkey % {len(TYPED)}] AS width FROM part")
+def b3(s, d):
+    name = F.element_at(F.array(*[F.lit(t) for t, _ in TYPED]), (F.col("p_partkey") % len(TYPED)).cast("int") + 1)
+    return table(s, d, "part").select("p_partkey", type_width(name).alias("width"))
+
+
 @query("b2_bloated_indexes", f"{BLOAT} SELECT database_id, name, relpages / expected_pages::DOUBLE AS ratio FROM r WHERE relpages / expected_pages::DOUBLE > 1.5")
 def b2(s, d):
     c = catalog(s, d)
@@ -162,10 +178,29 @@ def a10(s, d):
     return A.bool_prefix(catalog(s, d)["column"]).select("database_id", "table_name", "object")
 
 
-@query("a11_reserved_names", f"WITH {SQL} SELECT database_id, table_name, column_name AS object FROM cols WHERE column_name = 'order'")
+#: Names to judge: every reserved word in one case or the other, and words that only look like one.
+NAMES = (
+    "all ALTER and any as asc between by Case check column constraint create cross current default delete desc distinct drop else end exists false "
+    "fetch for foreign from full grant group having in INDEX inner insert into is join key left like limit not null offset on or order outer primary "
+    "references right select set table then to true union unique update User using values when where with orders keys name type status analyze "
+    "window lateral both do collate returning"
+).split()
+FREE_NAMES = ("orders", "keys", "name", "type", "status", "analyze", "window", "lateral", "both", "do", "collate", "returning")
+NAMED = f"[{', '.join(repr(x) for x in NAMES)}][1 + p_partkey % {len(NAMES)}]"
+FREE_SQL = ", ".join(repr(x) for x in FREE_NAMES)
+
+
+def _named(s, d):
+    """A column per part, named by one of NAMES; every 50th table has that name too."""
+    name = F.element_at(F.array(*[F.lit(x) for x in NAMES]), (F.col("p_partkey") % len(NAMES)).cast("int") + 1)
+    own = F.when(F.col("p_partkey") % 50 == 0, name).otherwise(F.concat(F.lit("t"), F.col("p_partkey").cast("string")))
+    rows = table(s, d, "part").select(F.lit("p").alias("project_id"), F.lit("db").alias("database_id"), F.lit("v1").alias("schema_hash"), F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("table_schema"), own.alias("table_name"), name.alias("column_name"))
+    return rows.select(*S.TABLE).distinct(), rows
+
+
+@query("a11_reserved_names", f"WITH n AS (SELECT 's' || p_partkey AS table_schema, {NAMED} AS name, p_partkey % 50 = 0 AS own FROM part) SELECT table_schema, name AS object FROM n WHERE lower(name) NOT IN ({FREE_SQL}) UNION ALL SELECT table_schema, NULL FROM n WHERE own AND lower(name) NOT IN ({FREE_SQL})")
 def a11(s, d):
-    c = catalog(s, d)
-    return A.reserved_names(c["table"], c["column"]).select("database_id", "table_name", "object")
+    return A.reserved_names(*_named(s, d)).select("table_schema", "object")
 
 
 @query("a12_id_mismatch", f"WITH {SQL} SELECT database_id, string_agg(DISTINCT col, ',' ORDER BY col) AS message FROM cons WHERE kind = 'foreign_key' GROUP BY database_id, fk_table HAVING count(DISTINCT col) > 1")

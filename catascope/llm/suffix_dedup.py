@@ -180,14 +180,30 @@ def _ranges(starts, sizes):
 
 
 def _opened(block: bytes):
-    """(doc ids with LAST for null, is null, ends, bytes) of a batch."""
+    """(doc ids with LAST for null, is null, bytes of copies that are removed whole, ends, bytes) of a batch."""
     import numpy as np
 
-    ids, none, sizes, text = _unpack(block)
-    return np.frombuffer(ids, np.int64), np.frombuffer(none, bool), np.cumsum(np.frombuffer(sizes, np.int64)), np.frombuffer(text, np.uint8)
+    ids, none, gone, sizes, text = _unpack(block)
+    as_long = lambda x: np.frombuffer(x, np.int64)
+    return as_long(ids), np.frombuffer(none, bool), as_long(gone), np.cumsum(as_long(sizes)), np.frombuffer(text, np.uint8)
 
 
-def batches_of(docs: DataFrame, batch_bytes: int) -> DataFrame:
+def marked_copies(docs: DataFrame, salts: int = 16) -> DataFrame:
+    """(doc_id, text, copy): copy is true where a smaller doc_id has the same text.
+
+    The texts that repeat are found by digest with partial aggregates; the join back is salted, as a third
+    of all rows may share one text.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.md5(F.encode(text, "UTF-8")).alias("h"))
+    keyed = keyed.withColumn("doc", F.coalesce("doc_id", F.lit(LAST)))
+    least = keyed.groupBy("h").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
+    least = stored(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), "repeated-texts")
+    rows = keyed.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int"))
+    return rows.join(least, ["h", "salt"], "left").select("doc_id", "text", F.coalesce(F.col("least") < F.col("doc"), F.lit(False)).alias("copy"))
+
+
+def batches_of(docs: DataFrame, batch_bytes: int, span: int) -> DataFrame:
     """(batch, block): whole documents packed together, written once and read by every round."""
 
     def run(batches: Iterator) -> Iterator:
@@ -199,14 +215,16 @@ def batches_of(docs: DataFrame, batch_bytes: int) -> DataFrame:
         held, size = [], 0
 
         def flush(number: int) -> pa.RecordBatch:
-            ids = np.array([LAST if k is None else k for k, _ in held], dtype=np.int64)
-            none = np.array([k is None for k, _ in held])
-            block = _pack(ids, none, np.array([len(t) for _, t in held], dtype=np.int64), b"".join(t for _, t in held))
+            ids = np.array([LAST if k is None else k for k, _, _ in held], dtype=np.int64)
+            none, gone = np.array([k is None for k, _, _ in held]), np.array([n for _, _, n in held], dtype=np.int64)
+            block = _pack(ids, none, gone, np.array([len(t) for _, t, _ in held], dtype=np.int64), b"".join(t for _, t, _ in held))
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([block], pa.binary())], names=["batch", "block"])
 
         for batch in batches:
-            for key, value in zip(batch.column(0), batch.column(1), strict=True):
-                held.append((key.as_py(), (value.as_py() or "").encode()))
+            for key, value, copy in zip(*(batch.column(k) for k in range(3)), strict=True):
+                text = value.as_py().encode()
+                whole = len(text) if copy.as_py() and len(text) >= span else 0
+                held.append((key.as_py(), b"" if whole else text, whole))
                 size += len(held[-1][1])
                 if size >= batch_bytes or len(held) >= 50_000:
                     yield flush(at)
@@ -214,7 +232,7 @@ def batches_of(docs: DataFrame, batch_bytes: int) -> DataFrame:
         if held:
             yield flush(at)
 
-    return stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "batch long, block binary"), "text-batches")
+    return stored(marked_copies(docs).mapInArrow(run, "batch long, block binary"), "text-batches")
 
 
 def shared_anchors(batches: DataFrame, groups: int, span: int, crowd: int) -> DataFrame:
@@ -226,7 +244,7 @@ def shared_anchors(batches: DataFrame, groups: int, span: int, crowd: int) -> Da
 
         for batch in rows:
             for key, block in zip(batch.column(0), batch.column(1), strict=True):
-                _, _, ends, data = _opened(block.as_py())
+                *_, ends, data = _opened(block.as_py())
                 h, _, _, row = anchors(data, ends, span)
                 t = ((h >> np.uint64(KEY)) % np.uint64(groups)).astype(np.int64)
                 order = np.argsort(t, kind="stable")
@@ -275,7 +293,7 @@ def _chosen(block: bytes, told: list, span: int, which: int):
     """Anchors of a batch that round 1 marked: few (0) or crowded (1); with the batch's ids and bytes."""
     import numpy as np
 
-    ids, _, ends, data = _opened(block)
+    ids, _, _, ends, data = _opened(block)
     picks = np.sort(np.concatenate([np.frombuffer(_unpack(b)[which], np.int32) for b in told]))
     h, first, last, row = (v[picks] for v in anchors(data, ends, span))
     return h, first, last, ids[row], data
@@ -299,7 +317,7 @@ def deal_segments(asked: DataFrame, groups: int, span: int) -> DataFrame:
                 text, ends = data[_ranges(first, size)], np.cumsum(size)
                 cuts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])).tolist() + [len(t)]
                 out = [
-                    _pack(h[a:b], doc[a:b], first[a:b].astype(np.int32), size[a:b].astype(np.uint8), text[ends[a] - size[a] : ends[b - 1]])
+                    _pack(h[a:b], np.diff(doc[a:b], prepend=0), np.diff(first[a:b], prepend=0).astype(np.int32), size[a:b].astype(np.uint8), text[ends[a] - size[a] : ends[b - 1]])
                     for a, b in zip(cuts[:-1], cuts[1:])
                 ]
                 at = pa.array(t[cuts[:-1]], pa.int64())
@@ -316,8 +334,8 @@ def removed_intervals(blocks: DataFrame, span: int) -> DataFrame:
         import pandas as pd
 
         parts = [_unpack(b) for b in pdf["block"]]
-        kinds = (np.uint64, np.int64, np.int32, np.uint8)
-        h, doc, first, size = (np.concatenate([np.frombuffer(p[k], d) for p in parts]) for k, d in enumerate(kinds))
+        h, size = (np.concatenate([np.frombuffer(p[k], d) for p in parts]) for k, d in ((0, np.uint64), (3, np.uint8)))
+        doc, first = (np.concatenate([np.cumsum(np.frombuffer(p[k], d)) for p in parts]) for k, d in ((1, np.int64), (2, np.int32)))
         size = size.astype(np.int64)
         raw, at = b"".join(p[4] for p in parts), np.cumsum(size) - size
         merged: dict[tuple[int, bytes], int] = {}
@@ -385,15 +403,15 @@ def crowded_intervals(asked: DataFrame, span: int, salts: int) -> DataFrame:
 
 
 def dedup_report(
-    docs: DataFrame, span: int = 50, group_bytes: int = 1 << 21, batch_bytes: int = 1 << 21, crowd: int = 50_000, with_text: bool = False
+    docs: DataFrame, span: int = 50, group_bytes: int = 1 << 21, batch_bytes: int = 1 << 23, crowd: int = 100_000, with_text: bool = False
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per row; ``with_text`` adds the kept bytes.
 
     ``batch_bytes`` of documents are packed together; a text is never split, so a longer one is a batch alone.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    batches = batches_of(docs, batch_bytes)
-    shared = shared_anchors(batches, max(1, -(-total // (32 * batch_bytes)), min(partitions(docs.sparkSession), total // batch_bytes)), span, crowd)
+    batches = batches_of(docs, batch_bytes, span)
+    shared = shared_anchors(batches, max(1, -(-total // (8 * batch_bytes)), min(partitions(docs.sparkSession), total // batch_bytes)), span, crowd)
     n, crowded = shared.agg(F.sum("n"), F.sum("crowded")).first()
     asked = _with(batches, shared).where("told is not null")
     found = removed_intervals(deal_segments(asked, max(1, -(-(n or 0) * 2 * span // group_bytes)), span), span)
@@ -406,7 +424,7 @@ def dedup_report(
 
         for batch in rows:
             for block, told in zip(batch.column(1), batch.column(2), strict=True):
-                ids, none, ends, data = _opened(block.as_py())
+                ids, none, whole, ends, data = _opened(block.as_py())
                 change = np.zeros(len(data) + 1, dtype=np.int32)
                 for b in told.as_py() or []:
                     start, stop = (np.frombuffer(x, np.int32) for x in _unpack(b))
@@ -414,12 +432,13 @@ def dedup_report(
                     np.add.at(change, stop, -1)
                 gone = np.cumsum(change[:-1]) > 0
                 raw, out, a = data.tobytes(), [], 0
-                for e in ends.tolist():
+                for e, n in zip(ends.tolist(), whole.tolist()):
                     mask = gone[a:e]
                     removed = int(np.count_nonzero(mask))
                     left = raw[a:e] if not removed else data[a:e][~mask].tobytes()
-                    runs = int(np.count_nonzero(mask[1:] & ~mask[:-1])) + int(removed and mask[0])
-                    out.append((e - a, removed, runs, hashlib.sha256(left).hexdigest(), left if with_text else None))
+                    runs = int(np.count_nonzero(mask[1:] & ~mask[:-1])) + bool(removed and mask[0])
+                    counts = (n, n, 1) if n else (e - a, removed, runs)
+                    out.append((*counts, hashlib.sha256(left).hexdigest(), left if with_text else None))
                     a = e
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
                 columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]

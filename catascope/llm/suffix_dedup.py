@@ -153,11 +153,11 @@ def least_holders(text: bytes, starts, docs, valid, span: int):
     return out
 
 
-def _pack(*arrays) -> bytes:
+def _pack(*arrays, level: int = 3) -> bytes:
     import pyarrow as pa
 
     data = b"".join(len(b := a if isinstance(a, bytes) else a.tobytes()).to_bytes(8, "little") + b for a in arrays)
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(data, asbytes=True)
 
 
 def _unpack(data: bytes) -> list[bytes]:
@@ -217,7 +217,7 @@ def batches_of(docs: DataFrame, batch_bytes: int, span: int) -> DataFrame:
         def flush(number: int) -> pa.RecordBatch:
             ids = np.array([LAST if k is None else k for k, _, _ in held], dtype=np.int64)
             none, gone = np.array([k is None for k, _, _ in held]), np.array([n for _, _, n in held], dtype=np.int64)
-            block = _pack(ids, none, gone, np.array([len(t) for _, t, _ in held], dtype=np.int64), b"".join(t for _, t, _ in held))
+            block = _pack(ids, none, gone, np.array([len(t) for _, t, _ in held], dtype=np.int64), b"".join(t for _, t, _ in held), level=5)
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([block], pa.binary())], names=["batch", "block"])
 
         for batch in batches:

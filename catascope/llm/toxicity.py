@@ -3,9 +3,11 @@
 A sentence's score is a logistic of its words' weights; a document's score is the noisy-or of its
 sentences with a small leak. Words count by themselves and by their prefixes, so inflected forms share
 weight. The classifier is fitted on a bounded sample of the labelled rows (``TrainParams.max_docs``, half
-for each class; the classes are weighted back to their frequencies): tasks count in how many sampled
-documents each hashed feature occurs, the most telling features are kept, and their few occurrences are
-fitted by gradient steps in numpy. Scoring runs over all whole texts and also locates the worst sentence.
+for each class; the classes are weighted back to their frequencies). Tasks turn the sample into packed
+numbers, words by position and sentence, and all features that ``min_docs`` sampled documents hold are
+fitted by gradient steps in numpy: what is fitted is one weight per feature, what is stepped through are the
+sample's words once, whatever features they have. Scoring runs over all whole texts and also locates the
+worst sentence.
 
 Defined cases: null, empty and wordless texts get the leak as their score; documents without a doc_id are
 never trained on and count as held out; label rows without a 0/1 label are ignored; repeated rows are
@@ -34,12 +36,9 @@ BUCKETS = 1 << 20
 @dataclass(frozen=True)
 class TrainParams:
     max_docs: int = 8000  # bound of the labelled sample
-    max_features: int = 3000
     min_docs: int = 4  # a feature must occur in so many sampled documents
-    min_z: float = 4.0  # and differ this clearly between the classes,
-    min_odds: float = 1.5  # by this log-odds ratio at least: common words of longer documents stay out
     steps: int = 250
-    rate: float = 0.1
+    rate: float = 0.05
     ridge: float = 1e-4
 
 
@@ -68,100 +67,115 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out: int = 5, max_doc
     return docs.select("doc_id", "text").join(F.broadcast(usable.where(lot < share)), "doc_id").select("doc_id", "text", "toxic")
 
 
-def feature_counts(rows: DataFrame) -> DataFrame:
-    """(bucket, pos, neg): documents of each class that hold the feature."""
+def packed_words(rows: DataFrame) -> DataFrame:
+    """(doc, toxic, words, block): a row per document; its distinct words, and each word's place among them by sentence."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        counts, known = np.zeros((2, BUCKETS), dtype=np.int32), {}
         for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
-                seen: set[int] = set()
-                for w in set(WORD.findall((text.as_py() or "").lower())):
-                    if (f := known.get(w)) is None:
-                        if len(known) > 200_000:
-                            known.clear()
-                        f = known[w] = features(w)
-                    seen.update(f)
-                counts[toxic.as_py(), list(seen)] += 1
-        at = np.nonzero(counts.any(axis=0))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[1, at]), pa.array(counts[0, at])], names=["bucket", "pos", "neg"])
-
-    each = rows.select("text", "toxic").mapInArrow(run, "bucket int, pos int, neg int")
-    return each.groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-
-
-def sentence_features(rows: DataFrame, chosen: set[int]) -> DataFrame:
-    """(doc, toxic, sentence, bucket) of every occurrence of a chosen feature; (doc, toxic, -1, -1) per document."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for key, text, toxic in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                d, y = key.as_py(), toxic.as_py()
-                out.append((d, y, -1, -1))
-                for k, s in enumerate(SENTENCE.findall((text.as_py() or "").lower())):
-                    out += [(d, y, k, f) for w in WORD.findall(s) for f in features(w) if f in chosen]
-            yield pa.RecordBatch.from_pylist([dict(zip(("doc", "toxic", "sentence", "bucket"), r)) for r in out], pa.schema([("doc", pa.int64()), ("toxic", pa.int32()), ("sentence", pa.int32()), ("bucket", pa.int32())]))
-
-    return rows.select(F.xxhash64("doc_id").alias("doc"), "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "doc long, toxic int, sentence int, bucket int")
-
+            names, blocks = [], []
+            for text in batch.column(2):
+                place: dict[str, int] = {}
+                lines = [WORD.findall(s) for s in SENTENCE.findall((text.as_py() or "").lower())]
+                lines = [[place.setdefault(w, len(place)) for w in line] for line in lines if line]
+                sizes = np.array([len(line) for line in lines], dtype=np.int32)
+                blocks.append(len(sizes).to_bytes(4, "little") + sizes.tobytes() + np.array([i for line in lines for i in line], dtype=np.int32).tobytes())
+                names.append(" ".join(place))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(names), pa.array(blocks, pa.binary())], names=["doc", "toxic", "words", "block"])
+
+    return rows.select(F.xxhash64("doc_id").alias("doc"), F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(run, "doc long, toxic int, words string, block binary")
+
+
+@dataclass
+class Sample:
+    """The sampled documents as numbers; features come by word type."""
+
+    toxic: object  # label of each document
+    owner: object  # document of each sentence
+    sentence: object  # of each word
+    word: object  # type of each word
+    of: object  # type of each (type, feature) pair
+    feature: object  # feature of each pair
+    buckets: object  # bucket of each feature
+    held: object  # documents of each class that hold a feature: (features, 2)
+
+
+def gather(rows: DataFrame, min_docs: int) -> Sample:
+    """Collects the bounded sample, document by document, in the order of their hashes."""
+    import numpy as np
 
-def fit_noisy_or(rows, weights: dict[int, float], prior: float, params: TrainParams) -> Model:
-    """Gradient steps (Adam) on the log-likelihood of document labels under the noisy-or of sentences."""
+    types: dict[str, int] = {}
+    toxic, owner, sizes, words, seen = [], [], [], [], []
+    for r in rows.orderBy("doc", "toxic", "words").toLocalIterator():
+        place = np.array([types.setdefault(w, len(types)) for w in r["words"].split()], dtype=np.int32)
+        n = int.from_bytes(r["block"][:4], "little")
+        sizes.append(np.frombuffer(r["block"], np.int32, n, 4))
+        words.append(place[np.frombuffer(r["block"], np.int32, offset=4 + 4 * n)])
+        owner.append(np.full(n, len(toxic), dtype=np.int32))
+        seen.append(place)
+        toxic.append(r["toxic"])
+    each = [features(w) for w in types]
+    of, bucket = np.repeat(np.arange(len(each), dtype=np.int32), [len(f) for f in each]), np.array([b for f in each for b in f], dtype=np.int64)
+    buckets, feature = np.unique(bucket, return_inverse=True)
+    # documents that hold a feature: pairs of document and feature, each once
+    begin = np.searchsorted(of, np.arange(len(each) + 1))
+    held = np.zeros((len(buckets), 2))
+    for y, place in zip(toxic, seen, strict=True):
+        count = begin[place + 1] - begin[place]
+        at = np.repeat(begin[place] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        held[np.unique(feature[at]), y] += 1
+    kept = held.sum(axis=1) >= min_docs
+    name = np.cumsum(kept) - 1
+    pairs = kept[feature]
+    lengths = np.concatenate([*sizes, np.zeros(0, np.int32)])
+    return Sample(
+        np.array(toxic), np.concatenate([*owner, np.zeros(0, np.int32)]), np.repeat(np.arange(len(lengths), dtype=np.int32), lengths),
+        np.concatenate([*words, np.zeros(0, np.int32)]), of[pairs], name[feature[pairs]].astype(np.int32), buckets[kept], held[kept],
+    )
+
+
+def fit_noisy_or(s: Sample, prior: float, params: TrainParams) -> Model:
+    """Gradient steps (Adam) on the log-likelihood of document labels under the noisy-or of sentences.
+
+    They start from the features' log-odds, shrunk the more the less clearly the classes differ.
+    """
     import numpy as np
 
-    names = {b: i for i, b in enumerate(sorted(weights))}
-    w = np.array([weights[b] for b in sorted(weights)])
-    docs, doc_of = np.unique(rows["doc"].to_numpy(), return_inverse=True)
-    y = np.zeros(len(docs))
-    y[doc_of] = rows["toxic"].to_numpy()
-    used = rows["bucket"].to_numpy() >= 0
-    d, f = doc_of[used], np.array([names[b] for b in rows["bucket"].to_numpy()[used]], dtype=np.int64)
-    pairs, s = np.unique(d * (1 << 32) + rows["sentence"].to_numpy()[used], return_inverse=True)
-    owner = pairs >> 32
+    n, y = len(s.toxic), s.toxic
+    n1, n0 = max(y.sum(), 1), max(n - y.sum(), 1)
+    r1, r0 = (s.held[:, 1] + 0.5) / (n1 + 1), (s.held[:, 0] + 0.5) / (n0 + 1)
+    both = (s.held.sum(axis=1) + 1) / (n1 + n0 + 2)
+    z = (r1 - r0) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0))
+    odds = np.clip(np.log(r1 / (1 - r1)) - np.log(r0 / (1 - r0)), -4, 4)
     share = y.mean()
-    importance = np.where(y == 1, prior / max(share, 1e-9), (1 - prior) / max(1 - share, 1e-9))
-    x = np.concatenate([w * 0.5, [-2.0, -4.0]])  # weights, bias, leak
+    importance = np.where(y == 1, prior / share, (1 - prior) / (1 - share))
+    x = np.concatenate([0.5 * odds / (1 + np.exp(-2 * (np.abs(z) - 5))), [-3.0, -4.0]])  # weights, bias, leak
     m, v = np.zeros_like(x), np.zeros_like(x)
+    types = int(max(s.word.max(initial=0), s.of.max(initial=0))) + 1
     for t in range(1, params.steps + 1):
-        z = np.bincount(s, x[f], minlength=len(owner)) + x[-2]
+        weight = np.bincount(s.of, x[s.feature], minlength=types)  # of each word type
+        z = np.bincount(s.sentence, weight[s.word], minlength=len(s.owner)) + x[-2]
         p, leak = 1 / (1 + np.exp(-np.clip(z, -30, 30))), 1 / (1 + np.exp(-x[-1]))
-        q = np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(docs)) + np.log1p(-leak)
+        q = np.bincount(s.owner, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n) + np.log1p(-leak)
         none = np.exp(q)  # probability that no sentence is toxic
         pull = importance * np.where(y == 1, none / np.maximum(1 - none, 1e-9), -1.0)
-        dz = pull[owner] * p
-        g = np.concatenate([np.bincount(f, dz[s], minlength=len(w)), [dz.sum(), (pull * leak).sum()]]) / len(docs)
+        dz = pull[s.owner] * p
+        back = np.bincount(s.word, dz[s.sentence], minlength=types)
+        g = np.concatenate([np.bincount(s.feature, back[s.of], minlength=len(s.buckets)), [dz.sum(), (pull * leak).sum()]]) / n
         g[:-2] -= params.ridge * x[:-2]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         x += params.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Model(float(1 / (1 + np.exp(-x[-1]))), float(x[-2]), {b: float(x[i]) for b, i in names.items()})
+    return Model(float(1 / (1 + np.exp(-x[-1]))), float(x[-2]), dict(zip(s.buckets.tolist(), x[:-2].tolist(), strict=True)))
 
 
 def train(docs: DataFrame, labels: DataFrame, params: TrainParams = TrainParams()) -> Model:
-    import math
-
-    rows = stored(training_rows(docs, labels, max_docs=params.max_docs), "labelled-sample")
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = stored(packed_words(training_rows(docs, labels, max_docs=params.max_docs)), "labelled-sample")
     prior = labels.where("toxic in (0, 1)").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).agg(F.avg("toxic")).first()[0]
-    if len(sizes) < 2:
+    if rows.agg(F.countDistinct("toxic")).first()[0] < 2:
         return Model(leak=0.5 if prior is None else min(max(prior, 0.0), 1.0))
-    n1, n0 = sizes[1], sizes[0]
-    rate = lambda c, n: (F.col(c) + 0.5) / (n + 1)
-    both = (F.col("pos") + F.col("neg") + 1) / (n1 + n0 + 2)
-    z = (rate("pos", n1) - rate("neg", n0)) / F.sqrt(both * (1 - both) * (1 / n1 + 1 / n0))
-    odds = F.log(rate("pos", n1) / (1 - rate("pos", n1))) - F.log(rate("neg", n0) / (1 - rate("neg", n0)))
-    telling = feature_counts(rows).where(F.col("pos") + F.col("neg") >= params.min_docs).select("bucket", z.alias("z"), odds.alias("odds"))
-    best = telling.where((F.abs("z") >= params.min_z) & (F.abs("odds") >= params.min_odds)).orderBy(F.abs("z").desc(), "bucket").limit(params.max_features)
-    weights = {r["bucket"]: r["odds"] for r in best.collect()}
-    if not weights:
-        return Model(leak=prior)
-    found = sentence_features(rows, set(weights)).toPandas()  # occurrences of the chosen features in the sample
-    return fit_noisy_or(found, {b: math.copysign(min(abs(o), 4.0), o) for b, o in weights.items()}, prior, params)
+    return fit_noisy_or(gather(rows, params.min_docs), prior, params)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -200,7 +200,8 @@ def marked_copies(docs: DataFrame, salts: int = 16) -> DataFrame:
     least = keyed.groupBy("h").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
     least = stored(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), "repeated-texts")
     rows = keyed.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int"))
-    return rows.join(least, ["h", "salt"], "left").select("doc_id", "text", F.coalesce(F.col("least") < F.col("doc"), F.lit(False)).alias("copy"))
+    # no bound on the repeated texts: never broadcast
+    return rows.join(least.hint("merge"), ["h", "salt"], "left").select("doc_id", "text", F.coalesce(F.col("least") < F.col("doc"), F.lit(False)).alias("copy"))
 
 
 def batches_of(docs: DataFrame, batch_bytes: int, span: int) -> DataFrame:
@@ -284,9 +285,9 @@ def shared_anchors(batches: DataFrame, groups: int, span: int, crowd: int) -> Da
 
 
 def _with(batches: DataFrame, told: DataFrame) -> DataFrame:
-    """(batch, block, told): each batch with the blocks that were sent to it."""
+    """(batch, block, told): each batch with the blocks that were sent to it, which grow with the corpus (no broadcast)."""
     told = told.groupBy("batch").agg(F.collect_list("block").alias("told"))
-    return batches.join(told, "batch", "left")
+    return batches.join(told.hint("merge"), "batch", "left")
 
 
 def _chosen(block: bytes, told: list, span: int, which: int):

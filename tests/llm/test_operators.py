@@ -276,27 +276,6 @@ def test_quality_lines(spark):
     assert rows(quality_report(docs))[0]["kept"]
 
 
-def test_pseudo_likelihood(spark):
-    from catascope.llm import pseudo_likelihood as P
-
-    rng = random.Random(6)
-    pairs = [("red", "ring"), ("blue", "bolt"), ("hot", "gear"), ("old", "anvil")]
-    texts = [" ".join(w for _ in range(60) for w in rng.choice(pairs)) for _ in range(200)]
-    docs = make(spark, [*texts, None, "", "!"])
-    counts = P.corpus_counts(docs)
-    network = P.train(docs, counts)
-    got = rows(P.score(docs, counts, network))
-    assert got[200]["n_tokens"] == got[201]["n_tokens"] == 0 and got[200]["pseudo_log_likelihood"] == 0
-    shuffled = []
-    for t in texts:
-        w = t.split()
-        rng.shuffle(w)
-        shuffled.append(" ".join(w))
-    other = rows(P.score(make(spark, shuffled), counts, network))
-    assert sum(got[i]["mean_log_probability"] > other[i]["mean_log_probability"] for i in range(200)) > 190
-    assert P.score(docs.where("false"), counts, network).count() == 0
-
-
 def test_decontamination(spark, docs, texts, empty):
     from catascope.llm.decontaminate import decontaminate, drop_contaminated
 

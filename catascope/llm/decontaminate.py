@@ -6,12 +6,13 @@ full containment a prefix of one token suffices). Document positions that hold a
 candidates; length and position bounds drop those whose window would leave the document, and the words
 themselves are compared before anything counts.
 
-The corpus text is read once: each document emits its shingle hashes, a broadcast (while the benchmark's
-shingles stay under ``broadcast_rows``; a shuffle join beyond) keeps the positions that hold any
-benchmark shingle together with the words around them, and one sentinel row per document. Everything
-after works on those few rows. Only DataFrame functions are used.
+Documents emit their shingle hashes, and a broadcast of benchmark shingles keeps the positions that hold one
+together with the words around them, and one sentinel row per document. The shingles are broadcast in blocks
+of at most ``block_rows``, which bounds the broadcast: a benchmark of that many shingles is one pass over the
+texts, a larger one takes a pass for each block, always by the same plan. Everything after works on the few
+rows that are kept. Only DataFrame functions are used.
 
-Defined cases: null or wordless texts and items have no window and no hit; rows are keyed by (doc_id,
+Defined cases: null or wordless texts and items have no window and no hit; texts of any length are searched whole; rows are keyed by (doc_id,
 hash of the text), so repeated rows, null ids and differing texts under one id each get their own result;
 empty tables give no hits; other columns are ignored.
 """
@@ -54,7 +55,7 @@ def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
     )
 
 
-def find_occurrences(docs: DataFrame, windows: DataFrame, window: int = 10, broadcast_rows: int = 500_000) -> tuple[DataFrame, DataFrame]:
+def find_occurrences(docs: DataFrame, windows: DataFrame, window: int = 10, block_rows: int = 500_000) -> tuple[DataFrame, DataFrame]:
     """(documents, occurrences): (doc_id, tk, n_words) per row and distinct (doc_id, tk, start, len, w)."""
     width = F.least(F.lit(SHINGLE), F.col("len"))
     shingles = stored(
@@ -65,11 +66,9 @@ def find_occurrences(docs: DataFrame, windows: DataFrame, window: int = 10, broa
         "benchmark-shingles",
     )
     widths = sorted((r.k for r in shingles.select("k").distinct().collect()), reverse=True) or [SHINGLE]
-    small = shingles.count() <= broadcast_rows
-    hint = F.broadcast if small else (lambda df: df)
-
     keys = shingles.select("sh", "k").distinct()
-    keys = hint(keys.unionByName(docs.sparkSession.createDataFrame([(SENTINEL, 0)], keys.schema)))
+    blocks = max(1, -(-keys.count() // block_rows))
+    end = docs.sparkSession.createDataFrame([(SENTINEL, 0)], keys.schema)
     # hashes of all widths one after another; where a width's run begins follows from n_words alone
     n = F.col("n_words")
     runs, begin = {}, F.lit(0)
@@ -89,16 +88,12 @@ def find_occurrences(docs: DataFrame, windows: DataFrame, window: int = 10, broa
         .withColumn("all", F.concat(*[window_hashes(F.col("h"), k) for k in widths], F.array(F.lit(SENTINEL))))
         .select("doc_id", "tk", F.size("words").alias("n_words"), "words", F.posexplode("all").alias("p", "sh"))
     )
-    if small:
-        met = emitted.join(keys, "sh").where(in_run).withColumn("at", position)
-        met = met.withColumn("ctx", F.when(F.col("k") > 0, context(F.col("at"))))
-    else:  # the words around a position travel, not the document
-        spread = emitted.withColumn("ctx", F.when(F.col("sh") != SENTINEL, context(F.lit(0) + F.col("p")))) if len(widths) == 1 else None
-        if spread is None:
-            spread = emitted.withColumn("ctx", F.when(F.col("sh") != SENTINEL, ascii_lower(F.array_join("words", " "))))
-        met = spread.drop("words").join(keys, "sh").where(in_run).withColumn("at", position)
-        if len(widths) > 1:
-            met = met.withColumn("words", F.split("ctx", " ")).withColumn("ctx", F.when(F.col("k") > 0, context(F.col("at"))))
+    met = None
+    for b in range(blocks):  # the sentinels go with the first block
+        block = keys.where(F.pmod(F.xxhash64("sh"), F.lit(blocks)) == b)
+        held = emitted.join(F.broadcast(block if b else block.unionByName(end)), "sh").where(in_run).withColumn("at", position)
+        held = held.withColumn("ctx", F.when(F.col("k") > 0, context(F.col("at"))))
+        met = held if met is None else met.unionByName(held)
     met = stored(met.select("doc_id", "tk", "n_words", "k", "at", "sh", "ctx"), "benchmark-matches")
 
     rarity = met.where("k > 0").groupBy("sh").agg(F.count(F.lit(1)).alias("seen"))
@@ -112,7 +107,7 @@ def find_occurrences(docs: DataFrame, windows: DataFrame, window: int = 10, broa
     start = F.col("at") - F.col("o")
     words_at = F.array_join(F.slice(F.split("ctx", " "), start - F.greatest(F.col("at") - (window - 1), F.lit(0)) + 1, F.col("len")), " ")
     found = (
-        met.where("k > 0").join(hint(prefix), "sh")
+        met.where("k > 0").join(prefix, "sh")
         .where((start >= 0) & (start + F.col("len") <= n))
         .where(words_at == F.col("w"))
         .select("doc_id", "tk", start.alias("start"), "len", "w")
@@ -121,10 +116,10 @@ def find_occurrences(docs: DataFrame, windows: DataFrame, window: int = 10, broa
     return met.where("k = 0").select("doc_id", "tk", "n_words"), found
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, broadcast_rows: int = 500_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_rows: int = 500_000) -> DataFrame:
     """One row per document: words, hit words, items with an occurring window and the digest of their ids."""
     windows = stored(benchmark_windows(benchmark, window), "benchmark-windows")
-    rows, found = find_occurrences(docs, windows, window, broadcast_rows)
+    rows, found = find_occurrences(docs, windows, window, block_rows)
     found = stored(found, "benchmark-hits")
     end = F.col("start") + F.col("len")
     before = F.max(end).over(W.partitionBy("doc_id", "tk").orderBy("start", "len").rowsBetween(W.unboundedPreceding, -1))
@@ -133,10 +128,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, broad
         .withColumn("new", F.greatest(end - F.greatest(F.col("start"), F.coalesce(before, F.lit(0))), F.lit(0)))
         .groupBy("doc_id", "tk").agg(F.sum("new").alias("n_hit"))
     )
-    small = windows.count() <= broadcast_rows
     items = (
         found.select("doc_id", "tk", "w").distinct()
-        .join(F.broadcast(windows.select("w", "item_id")) if small else windows.select("w", "item_id"), "w")
+        .join(windows.select("w", "item_id"), "w")
         .groupBy("doc_id", "tk")
         .agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
     )

@@ -296,8 +296,8 @@ def test_decontamination(spark, docs, texts, empty):
                     hit.update(range(i, i + n))
                     found |= windows[tuple(w[i : i + n])]
         want[d] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit))
-    for limit in (500_000, 0):  # broadcast and shuffled
-        got = rows(decontaminate(docs, bench, broadcast_rows=limit))
+    for limit in (500_000, 20):  # one block and several
+        got = rows(decontaminate(docs, bench, block_rows=limit))
         assert {k: tuple(r[c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for k, r in got.items()} == want
     assert sorted(rows(drop_contaminated(docs, bench))) == [d for d, x in want.items() if not x[4]]
     assert decontaminate(empty, bench).count() == 0

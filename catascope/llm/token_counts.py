@@ -2,9 +2,11 @@
 
 Changes are signed: an insert adds a document and its tokens, a delete takes them away, a revision adds
 the difference (and moves the document when its source or language changed). Totals are additive, so a
-batch is one partial aggregate and never rereads earlier documents. ``TokenLedger`` keeps each committed
-batch in its own folder; a commit is complete once Spark's success mark is there, a half-written batch is
-overwritten by its retry, and a batch that is committed again changes nothing.
+batch is one partial aggregate and never rereads earlier documents. ``TokenLedger`` writes each batch's sums
+to a folder of its own and then commits it by creating the batch's marker, which names that folder: a marker
+is created once or not at all, so of two writers of one batch the first wins, a half-written batch counts
+for nothing, and a batch that is committed again changes nothing. ``compact`` folds the committed batches
+into one, so that totals read one folder and the batches since.
 
 Defined cases: null source or language is a group of its own; null texts have no token; repeated rows are
 counted as often as they are given; groups whose documents and tokens both return to zero leave the
@@ -13,8 +15,11 @@ totals; an empty batch commits and adds nothing; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,29 +69,60 @@ class TokenLedger:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _exists(self, path: str) -> bool:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+    def _at(self, name: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _batches(self) -> list[str]:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [x.getPath().toString() for x in fs.listStatus(at)] if fs.exists(at) else []
-        return [x for x in names if self._exists(f"{x}/_SUCCESS")]
-
-    def commit(self, batch_id: str, changes: DataFrame) -> bool:
-        """Aggregate and write the batch; False (and no work) if it was committed before."""
-        to = f"{self.path}/batch-{batch_id}"
-        if self._exists(f"{to}/_SUCCESS"):
+    def _mark(self, name: str, folder: str, batches: list[str]) -> bool:
+        """Create a marker; False where it exists."""
+        at, fs = self._at(f"commits/{name}")
+        if fs.exists(at):
             return False
-        rows = changes.groupBy(*KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
-        rows.write.mode("overwrite").parquet(to)
+        try:
+            out = fs.create(at, False)
+        except Py4JJavaError:  # another writer came first
+            return False
+        out.write(bytearray(json.dumps([folder, batches]).encode()))
+        out.close()
         return True
 
+    def _markers(self) -> dict[str, tuple[str, list[str]]]:
+        """Folder and batches of every marker: a small file per batch."""
+        at, fs = self._at("commits")
+        if not fs.exists(at):
+            return {}
+        rows = self.spark.read.option("wholetext", True).text(at.toString()).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), "value").collect()
+        return {r["name"]: tuple(json.loads(r["value"])) for r in rows}
+
+    def _write(self, rows: DataFrame) -> str:
+        folder = f"data-{uuid.uuid4().hex}"
+        rows.groupBy(*KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens")).write.parquet(f"{self.path}/{folder}")
+        return folder
+
+    def _live(self, markers: dict[str, tuple[str, list[str]]]) -> list[str]:
+        """Folders that together hold every batch once: the compaction of most batches and the batches since."""
+        folded = max((m for n, m in markers.items() if n.startswith("compact-")), key=lambda m: len(m[1]), default=(None, []))
+        folders = [f for n, (f, _) in markers.items() if n.startswith("batch-") and n not in folded[1]]
+        return [*folders, folded[0]] if folded[0] else folders
+
+    def _changes(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], SCHEMA)
+        return self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/{f}" for f in folders])
+
+    def commit(self, batch_id: str, changes: DataFrame) -> bool:
+        """Aggregate and commit the batch; False (and no work) if it was committed before."""
+        at, fs = self._at(f"commits/batch-{batch_id}")
+        return not fs.exists(at) and self._mark(f"batch-{batch_id}", self._write(changes), [])
+
+    def compact(self) -> bool:
+        """Fold all batches that are committed now; later totals read their sums instead. Changes no total."""
+        markers = self._markers()
+        batches = sorted(n for n in markers if n.startswith("batch-"))
+        return bool(batches) and self._mark(f"compact-{len(batches)}-{uuid.uuid4().hex}", self._write(self._changes(self._live(markers))), batches)
+
     def totals(self) -> DataFrame:
-        at = self._batches()
-        rows = self.spark.read.schema(SCHEMA).parquet(*at) if at else self.spark.createDataFrame([], SCHEMA)
-        sums = rows.groupBy(*KEYS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
+        sums = self._changes(self._live(self._markers())).groupBy(*KEYS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 or n_tokens <> 0")
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,98 +23,129 @@ FIELDS = {
     "sort_key": ("Sort Key", "array<string>", None), "sort_method": ("Sort Method", "string", None), "cte_name": ("CTE Name", "string", None),
     "subplans_removed": ("Subplans Removed", "bigint", None), "shared_hit": ("Shared Hit Blocks", "bigint", None), "shared_read": ("Shared Read Blocks", "bigint", None),
 }
-NODE = ", ".join(f"`{k}` {t}" for k, t, _ in FIELDS.values()) + ", `Plans` array<string>"
+APPENDS = ("Append", "Merge Append")
 
 
 def read_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents with ``plan``, rejected): a list of one plan or a plan by itself."""
-    plan = F.coalesce(F.get_json_object("plan_json", "$[0].Plan"), F.get_json_object("plan_json", "$.Plan"))
-    rows = docs.withColumn("plan", plan)
-    return rows.where("plan is not null"), rows.where("plan is null").drop("plan")
+    """(documents with ``plan`` and the times of an analysed one, rejected): a list of one plan or a plan by itself."""
+    either = lambda key: F.coalesce(F.get_json_object("plan_json", f"$[0]{key}"), F.get_json_object("plan_json", f"${key}"))
+    rows = docs.withColumns({
+        "plan": either(".Plan"), "planning_time": either("['Planning Time']").cast("double"), "execution_time": either("['Execution Time']").cast("double"),
+    })
+    return rows.where("plan is not null"), rows.where("plan is null").drop("plan", "planning_time", "execution_time")
 
 
 def flatten_plans(docs: DataFrame) -> DataFrame:
-    """(K, plan_id, path, parent_path, child_no, depth, fields): a row per node.
+    """(K, plan_id, path, parent_path, child_no, depth, parent_type, fields): a row per node, in document order.
 
-    A level is parsed at a time, subtrees staying text; the loop ends with the deepest level of the corpus.
+    A plan nests to any depth, which no column expression follows, so each document is parsed once in a task.
     """
+    keys, fields = [*K, "plan_id"], FIELDS
+
+    def run(batches: Iterator) -> Iterator:
+        import json
 
-    def parsed(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("node", F.from_json("plan", NODE)).drop("plan")
+        import pyarrow as pa
 
-    level = parsed(docs.select(*K, "plan_id", F.array().cast("array<int>").alias("path"), "plan")).cache()
-    out, depth = None, 0
-    while not level.isEmpty():
-        values = [F.coalesce(F.col("node")[k], F.lit(d)).alias(c) if d is not None else F.col("node")[k].alias(c) for c, (k, _, d) in FIELDS.items()]
-        parent = F.when(F.size("path") > 0, F.slice("path", F.lit(1), F.size("path") - 1))
-        rows = level.select(*K, "plan_id", "path", parent.alias("parent_path"), F.try_element_at("path", F.lit(-1)).alias("child_no"), F.lit(depth).alias("depth"), *values)
-        out = rows if out is None else out.unionByName(rows)
-        below = level.select(*K, "plan_id", "path", F.posexplode("node.Plans").alias("n", "plan"))
-        level = parsed(below.select(*K, "plan_id", F.array_append("path", F.col("n")).alias("path"), "plan")).cache()
-        depth += 1
-    return out if out is not None else docs.sparkSession.createDataFrame([], _schema())
+        kinds = {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64(), "array<string>": pa.list_(pa.string())}
+        places = {"path": pa.list_(pa.int32()), "parent_path": pa.list_(pa.int32()), "child_no": pa.int32(), "depth": pa.int32(), "parent_type": pa.string()}
 
+        def value(node: dict, key: str, kind: str, default):
+            v = node.get(key)
+            if v is None:
+                return default
+            return v if kind.startswith("array") else str(v) if kind == "string" else float(v) if kind == "double" else int(v)
 
-def _schema() -> str:
-    return ", ".join([*(f"{k} string" for k in K), "plan_id long, path array<int>, parent_path array<int>, child_no int, depth int", *(f"{c} {t}" for c, (_, t, _) in FIELDS.items())])
+        for batch in batches:
+            own, rows = [], []
+            for i, plan in enumerate(batch.column(len(keys))):
+                stack = [(json.loads(plan.as_py()), (), None)]
+                while stack:
+                    node, path, above = stack.pop()
+                    own.append(i)
+                    rows.append((path, path[:-1] if path else None, path[-1] if path else None, len(path), above, *(value(node, *f) for f in fields.values())))
+                    below = list(enumerate(node.get("Plans") or []))
+                    stack += [(child, (*path, k), node.get("Node Type")) for k, child in reversed(below)]
+            columns = zip(*rows, strict=True) if rows else [()] * (len(places) + len(fields))
+            types = [*places.values(), *(kinds[t] for _, t, _ in fields.values())]
+            found = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(own, pa.int64())) for c in batch.columns[:-1]] + found, names=[*keys, *places, *fields])
 
+    types = dict(docs.dtypes)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "path array<int>, parent_path array<int>, child_no int, depth int, parent_type string", *(f"{c} {t}" for c, (_, t, _) in FIELDS.items())])
+    return docs.select(*keys, "plan").mapInArrow(run, schema)
 
-def summary(nodes: DataFrame) -> DataFrame:
-    return nodes.where("depth = 0").select(*K, "plan_id", "node_type", "total_cost", F.col("plan_rows").alias("estimated_rows"))
 
+def summary(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Root of every plan, with the times of analysed plans."""
+    roots = nodes.where("depth = 0").select(*K, "plan_id", "node_type", "total_cost", F.col("plan_rows").alias("estimated_rows"))
+    return roots.join(docs.select(*K, "plan_id", "planning_time", "execution_time"), [*K, "plan_id"], "left")
 
-def _note(rows: DataFrame, rule: str, severity: str, table: Column, measure: Column) -> DataFrame:
-    return rows.select(*K, "plan_id", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), table.alias("table"), measure.cast("double").alias("measure"))
+
+def _path(c: Column) -> Column:
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ".")
+
+
+def _note(when: Column, rule: str, severity: str, table: Column, measure: Column, path: Column | None = None) -> Column:
+    """A warning where ``when`` holds, else null."""
+    fields = F.struct(
+        _path(F.col("path") if path is None else path).alias("path"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"),
+        table.cast("string").alias("table"), measure.cast("double").alias("measure"),
+    )
+    return F.when(when, fields)
 
 
 def _own(nodes: DataFrame) -> DataFrame:
     return nodes.withColumns({"table_schema": F.coalesce("rel_schema", F.lit("public")), "table_name": F.col("relation")})
 
 
-def inner_scans(nodes: DataFrame, least: float = 100) -> DataFrame:
-    """Nested loops whose second child is a larger sequential scan: the loop's row with the child's relation."""
-    child = nodes.where((F.col("child_no") == 1) & (F.col("node_type") == "Seq Scan") & (F.col("plan_rows") > least))
-    child = child.select(*K, "plan_id", F.col("parent_path").alias("path"), F.col("relation").alias("inner_relation"), F.col("plan_rows").alias("inner_rows"))
-    return nodes.where("node_type = 'Nested Loop'").join(child, [*K, "plan_id", "path"])
+def _inner_scan(least: float) -> Column:
+    """True for the second child of a nested loop if it is a larger sequential scan."""
+    return (F.col("parent_type") == "Nested Loop") & (F.col("child_no") == 1) & (F.col("node_type") == "Seq Scan") & (F.col("plan_rows") > least)
 
 
-def append_pruning(nodes: DataFrame, children: DataFrame) -> DataFrame:
-    """Appends over partitions: scanned and total partitions of the first parent that owns one of the scanned names."""
+def partition_scans(nodes: DataFrame, children: DataFrame) -> DataFrame:
+    """(K, plan_id, path, parent, scanned, total): Appends over partitions, by the first parent that owns a scanned name."""
     owner = children.groupBy(*K, F.col("child_name").alias("relation")).agg(F.min("parent_name").alias("parent"))
     totals = children.groupBy(*K, F.col("parent_name").alias("parent")).agg(F.count(F.lit(1)).alias("total"))
-    scans = nodes.where("relation is not null").join(owner, [*K, "relation"]).groupBy(*K, "plan_id", F.col("parent_path").alias("path")).agg(F.count(F.lit(1)).alias("scanned"), F.min("parent").alias("parent"))
-    appends = nodes.where("node_type in ('Append', 'Merge Append')").select(*K, "plan_id", "path")
-    return appends.join(scans, [*K, "plan_id", "path"]).join(totals, [*K, "parent"])
+    scans = nodes.where(F.col("relation").isNotNull() & F.col("parent_type").isin(*APPENDS)).select(*K, "plan_id", "relation", F.col("parent_path").alias("path"))
+    scans = scans.join(owner, [*K, "relation"]).groupBy(*K, "plan_id", "path").agg(F.count(F.lit(1)).alias("scanned"), F.min("parent").alias("parent"))
+    return scans.join(totals, [*K, "parent"])
 
 
 def warnings(nodes: DataFrame, stat_table: DataFrame, children: DataFrame) -> DataFrame:
-    n = _own(nodes)
-    known = n.where("node_type = 'Seq Scan'").join(stat_table.select(*TABLE, "reltuples"), TABLE, "left")
+    """(K, plan_id, path, rule, severity, table, measure): each node emits all its warnings in one pass."""
+    appends = partition_scans(nodes, children)
+    # a CTE's own Append is its first or a later child: one step up from the Append
+    below = appends.where("size(path) > 0").groupBy(*K, "plan_id", F.slice("path", F.lit(1), F.size("path") - 1).alias("path")).agg(F.min("parent").alias("over"))
+    n = _own(nodes).join(stat_table.select(*TABLE, "reltuples"), TABLE, "left")
+    n = n.join(appends, [*K, "plan_id", "path"], "left").join(below, [*K, "plan_id", "path"], "left")
     rows = F.when(F.col("plan_rows") > 0, F.col("plan_rows")).otherwise(F.coalesce("reltuples", F.lit(0.0)))
     removed = F.col("rows_removed") / (F.col("rows_removed") + F.col("actual_rows"))
-    pruned = append_pruning(n, children)
-    none = F.lit(None).cast("string")
-    parts = [
-        _note(known.withColumn("rows", rows).where("rows >= 5000"), "seq_scan", "warning", F.col("relation"), F.col("rows")),
-        _note(inner_scans(n), "nested_loop_seq_scan", "warning", F.col("inner_relation"), F.col("inner_rows")),
-        _note(n.where("node_type = 'Sort' and plan_rows > 10000"), "large_sort", "info", none, F.col("plan_rows")),
-        _note(n.where("rows_removed > 0 and actual_rows > 0").where(removed > 0.9), "filter_removes_most", "warning", F.col("relation"), removed),
-        _note(pruned.where("scanned >= total"), "no_pruning", "warning", F.col("parent"), F.col("scanned")),
-        _note(pruned.where("scanned < total and scanned > total div 2"), "weak_pruning", "info", F.col("parent"), F.col("scanned")),
-        _note(n.where("node_type = 'CTE Scan' and plan_rows >= 1000"), "large_cte", "warning", F.col("cte_name"), F.col("plan_rows")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    kind, relation, none = F.col("node_type"), F.col("relation"), F.lit(None)
+    cte = (kind == "CTE Scan") & F.col("cte_name").isNotNull() & (F.col("plan_rows") >= 1000)
+    each = F.array(
+        _note((kind == "Seq Scan") & (rows >= 5000), "seq_scan", "warning", relation, rows),
+        _note(_inner_scan(100), "nested_loop_seq_scan", "warning", relation, F.col("plan_rows"), F.col("parent_path")),
+        _note((kind == "Sort") & (F.col("plan_rows") > 10_000), "large_sort", "info", none, F.col("plan_rows")),
+        _note((F.col("rows_removed") > 0) & (F.col("actual_rows") > 0) & (removed > 0.9), "filter_removes_most", "warning", relation, removed),
+        _note(kind.isin(*APPENDS) & (F.col("scanned") >= F.col("total")), "no_pruning", "warning", F.col("parent"), F.col("scanned")),
+        _note(kind.isin(*APPENDS) & (F.col("scanned") < F.col("total")) & (F.col("scanned") > F.expr("total div 2")), "weak_pruning", "info", F.col("parent"), F.col("scanned")),
+        _note(cte & F.col("over").isNull(), "large_cte", "warning", F.col("cte_name"), F.col("plan_rows")),
+        _note(cte & F.col("over").isNotNull(), "cte_over_partitions", "warning", F.col("over"), F.col("plan_rows")),
+    )
+    return n.select(*K, "plan_id", F.explode(F.array_compact(each)).alias("w")).select(*K, "plan_id", "w.*")
 
 
 def _leading(indexes: DataFrame) -> DataFrame:
     return indexes.select(*TABLE, F.get("columns", F.lit(0)).alias("column_name")).distinct().withColumn("indexed", F.lit(True))
 
 
-def scan_advice(nodes: DataFrame, indexes: DataFrame, columns: DataFrame, stat_column: DataFrame, stat_table: DataFrame, least: float = 10_000) -> DataFrame:
-    """Advice for large sequential scans: analyse where an index leads on the column, else the index to create."""
+def scan_advice(nodes: DataFrame, indexes: DataFrame, columns: DataFrame, stat_column: DataFrame, stat_table: DataFrame, least: float = 10_000, activity: DataFrame | None = None) -> DataFrame:
+    """Advice for large sequential scans: analyse where an index leads on the column, else the index to create.
+
+    ``nodes``: the table's scans per node of ``activity`` (nodes of a database are few), where two or more report.
+    """
     n = _own(nodes).where((F.col("node_type") == "Seq Scan") & (F.col("plan_rows") >= least)).withColumn("column_name", filter_column(F.col("filter")))
     key = [*TABLE, "column_name"]
     rows = n.join(_leading(indexes), key, "left").join(columns.select(*key, "type_name"), key, "left").join(stat_column.select(*key, "null_frac", "n_distinct", "mcv", "mcf", "correlation"), key, "left")
@@ -125,13 +160,24 @@ def scan_advice(nodes: DataFrame, indexes: DataFrame, columns: DataFrame, stat_c
         "mostly_null": F.col("null_frac") > 0.5, "unordered": (F.abs("correlation") < 0.3) & (size > 10_000),
     }
     indexed = F.coalesce("indexed", F.lit(False))
+    if activity is not None:
+        each = F.array_sort(F.collect_list(F.struct("node_label", "seq_scan")))
+        per = activity.groupBy(*TABLE).agg(each.alias("each")).where(F.size("each") > 1)
+        rows = rows.join(per.select(*TABLE, F.array_join(F.transform("each", lambda x: F.concat_ws(": ", x["node_label"], x["seq_scan"])), ", ").alias("nodes")), TABLE, "left")
     return rows.select(
-        *K, "plan_id", "table_name", "column_name", F.when(indexed, "info").otherwise("warning").alias("severity"),
+        *K, "plan_id", "table_name", "column_name", *(["nodes"] if activity is not None else []), F.when(indexed, "info").otherwise("warning").alias("severity"),
         F.when(F.col("column_name").isNotNull(), F.when(indexed, F.concat(F.lit("ANALYZE "), "table_schema", F.lit("."), "table_name")).otherwise(ddl)).alias("ddl"),
         F.array_compact(F.array(*[F.when(c, F.lit(h)) for h, c in hints.items()])).alias("hints"),
     )
 
 
+def nested_loop_advice(nodes: DataFrame, least: float = 100) -> DataFrame:
+    """Inner sequential scans of nested loops: the index on the filtered column that would spare them, if one is named."""
+    n = _own(nodes).where(_inner_scan(least)).withColumn("column_name", filter_column(F.col("filter")))
+    ddl = F.concat(F.lit("CREATE INDEX ON "), "table_schema", F.lit("."), "table_name", F.lit(" ("), "column_name", F.lit(")"))
+    return n.select(*K, "plan_id", "table_name", "column_name", F.lit("warning").alias("severity"), F.col("plan_rows").alias("rows_per_loop"), ddl.alias("ddl"))
+
+
 def sort_advice(nodes: DataFrame, least: float = 10_000) -> DataFrame:
     """Large sorts with keys over a base table: the first table below in document order."""
     sorts = nodes.where((F.col("node_type") == "Sort") & (F.col("plan_rows") >= least) & (F.size("sort_key") > 0)).select(*K, "plan_id", "path", "sort_key", "plan_rows")
@@ -170,3 +216,6 @@ def dedupe_suggestions(rows: DataFrame) -> DataFrame:
 def rollup_suggestions(rows: DataFrame) -> DataFrame:
     """Over the corpus: how many plans support each suggestion."""
     return rows.groupBy(*K, "table_name", "columns").agg(F.countDistinct("plan_id").alias("n_plans"), F.max("plan_rows").alias("max_rows"))
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package

@@ -8,7 +8,11 @@ from catascope.adapters import table
 from catascope.operators import browse as B
 from catascope.operators import migrations as M
 from catascope.operators import querylog as Q
+from catascope.plans.plan_corpus import dedupe_suggestions, suggest_indexes
 from catascope.queries._catalog import SQL, catalog
+from catascope.queries.plan_analysis import SUG as PLANS
+from catascope.queries.plan_analysis import _indexes as _plan_indexes
+from catascope.queries.plan_analysis import _nodes
 
 QUERIES, ORACLES = {}, {}
 
@@ -99,11 +103,11 @@ def q12(s, d):
     return Q.validate(f, issues).select("query_id", "n_objects", "errors", "warnings", "valid")
 
 
-@query("q13_advise", f"{O} SELECT query_id, table_name, column_name, CASE WHEN query_id % 5 = 0 THEN 'plan' ELSE 'query' END AS origin FROM ({SUGG})")
+@query("q13_advise", f"{PLANS}, lo AS (SELECT o_orderkey AS q, o_custkey % 9 AS t, o_orderkey % 3 = 1 AS two FROM orders), s AS ({SUGG.replace('FROM o ', 'FROM lo ')}) SELECT plan_id AS query_id, table_name, columns AS column_name, 'plan' AS origin FROM g UNION ALL SELECT query_id, table_name, column_name, 'query' FROM s WHERE (query_id, table_name, column_name) NOT IN (SELECT plan_id, table_name, columns FROM g)")
 def q13(s, d):
     c = _log_catalog(s)
-    sug = Q.suggest_from_filters(_facts(s, d), c["stats"], c["indexes"])
-    return Q.advise(sug, sug.where("query_id % 5 = 0")).select("query_id", "table_name", "column_name", "origin")
+    plans = dedupe_suggestions(suggest_indexes(_nodes(s, d), _plan_indexes(s))).withColumnsRenamed({"plan_id": "query_id", "columns": "column_name"})
+    return Q.advise(Q.suggest_from_filters(_facts(s, d), c["stats"], c["indexes"]), plans).select("query_id", "table_name", "column_name", "origin")
 
 
 OPS = ("ADD COLUMN", "DROP COLUMN", "SET NOT NULL", "ALTER COLUMN TYPE", "ADD CONSTRAINT", "VALIDATE CONSTRAINT", "CREATE INDEX", "RENAME", "DROP TABLE")

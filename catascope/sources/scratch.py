@@ -9,8 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """A fresh folder under ``spark.checkpoint.dir``; where that is unset, a local one in local mode, else an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if at is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="spark-"))
     return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

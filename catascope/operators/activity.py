@@ -88,12 +88,25 @@ def seq_scan_imbalance(act: DataFrame, ratio: int = 5) -> DataFrame:
     return out.where(F.col("multiplier") >= ratio).select(*TABLE, "hot_node", "multiplier")
 
 
-def compare_nodes(act: DataFrame, stat_table: DataFrame, stale_days: int = 7) -> DataFrame:
-    """Per node and table: planner sizing (the same for all nodes), counters, and whether the capture lags."""
+def compare_nodes(
+    act: DataFrame, stat_table: DataFrame, nodes: DataFrame | None = None, unused: DataFrame | None = None, imbalance: DataFrame | None = None, stale_days: int = 7
+) -> DataFrame:
+    """Per node and table: planner sizing (the same for all nodes), counters, and whether the capture lags.
+
+    With ``nodes``, each of them has a row for every table, without data where it reports none. With ``unused``
+    (unused indexes) and ``imbalance`` their findings stand beside the table.
+    """
     freshest = F.max("captured_at").over(Window.partitionBy(*K))
     lag = F.unix_micros(freshest.cast("timestamp")) - F.unix_micros(F.col("captured_at").cast("timestamp"))
-    out = act.withColumn("stale", lag > stale_days * 86_400_000_000)
-    return with_planner(out, stat_table, TABLE).select(*TABLE, "node_label", "reltuples", "seq_scan", "idx_scan", "captured_at", "stale")
+    out = act.withColumns({"stale": lag > stale_days * 86_400_000_000, "has_data": F.lit(True)}).select(*TABLE, "node_label", "seq_scan", "idx_scan", "captured_at", "stale", "has_data")
+    if nodes is not None:
+        every = nodes.select(*K, "node_label").distinct().join(act.select(*TABLE).distinct(), K)
+        out = every.join(out, [*TABLE, "node_label"], "left").withColumn("has_data", F.coalesce("has_data", F.lit(False)))
+    out = with_planner(out, stat_table, TABLE).select(*TABLE, "node_label", "reltuples", "seq_scan", "idx_scan", "captured_at", "stale", "has_data")
+    if unused is not None:
+        names = unused.groupBy(*K, F.col("index_schema").alias("table_schema"), "table_name").agg(F.array_sort(F.collect_set("index_name")).alias("unused_indexes"))
+        out = out.join(names, TABLE, "left")
+    return out if imbalance is None else out.join(imbalance, TABLE, "left")
 
 
 def detect(unused: DataFrame, stale: DataFrame, imbalance: DataFrame, bloated: DataFrame, kind: str = "all", schema: str | None = None, table: str | None = None) -> DataFrame:

@@ -26,6 +26,13 @@ RESERVED = (
 ).split()
 
 
+#: Every audit that ``audit`` runs unless it is disabled.
+RULES = (
+    "indexes/duplicate", "indexes/redundant", "indexes/too_many", "indexes/wide_columns", "indexes/bloated", "fk/type_mismatch", "fk/circular",
+    "fk/orphan", "pk/non_sequential", "naming/bool_prefix", "naming/reserved", "naming/id_mismatch", "docs/no_comment", "vacuum/large_table_defaults",
+)
+
+
 def _finding(rows: DataFrame, rule: str, severity, obj, message) -> DataFrame:
     as_col = lambda x: F.lit(x) if isinstance(x, str) else x
     return rows.select(*TABLE, obj.alias("object"), F.lit(rule).alias("rule"), as_col(severity).alias("severity"), as_col(message).alias("message"))

@@ -90,9 +90,14 @@ def diff_objects(rows: DataFrame, pairs: DataFrame, kind: str, key: Sequence[str
     return both.where(differs).select(*PAIR, F.lit(kind).alias("kind"), F.concat_ws(".", *key).alias("object"), _change(F.col("old"), F.col("new")).alias("change"), F.size(changed).cast("long").alias("n_details"))
 
 
-def diff_header(pairs: DataFrame, changes: DataFrame) -> DataFrame:
+def diff_header(pairs: DataFrame, changes: DataFrame, versions: DataFrame | None = None) -> DataFrame:
+    """Per pair how many objects changed; with ``versions`` (stream, content_hash, captured_at) also both times."""
     counts = changes.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_changes"))
-    return pairs.join(counts, PAIR, "left").select(*PAIR, F.coalesce("n_changes", F.lit(0)).alias("n_changes"), F.col("n_changes").isNull().alias("is_empty"))
+    out = pairs.join(counts, PAIR, "left").select(*PAIR, F.coalesce("n_changes", F.lit(0)).alias("n_changes"), F.col("n_changes").isNull().alias("is_empty"))
+    for side in () if versions is None else ("from", "to"):
+        at = versions.groupBy(*STREAM, F.col("content_hash").alias(f"{side}_hash")).agg(F.max("captured_at").alias(f"{side}_at"))
+        out = out.join(at, [*STREAM, f"{side}_hash"], "left")
+    return out
 
 
 def drift(changes: DataFrame) -> DataFrame:

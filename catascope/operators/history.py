@@ -20,6 +20,37 @@ def content_hash(rows: DataFrame, by: Sequence[str], included: Sequence[str], or
     return rows.groupBy(*by).agg(F.sha2(F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), 256).alias("content_hash"))
 
 
+#: What of a table and of its parts counts as structure; object ids, storage options and validity do not.
+STRUCTURE = {
+    "columns": ("name", "ordinal", "type_name", "nullable", "default", "identity", "comment"),
+    "constraints": ("name", "kind", "columns", "definition", "fk_table", "fk_columns", "backing_index", "comment"),
+    "indexes": ("name", "columns", "include_columns", "index_type", "is_unique", "is_primary", "predicate", "definition"),
+    "policies": None, "triggers": None,
+}
+
+
+def structural_hash(docs: DataFrame) -> DataFrame:
+    """``docs`` (snapshot documents) with the SHA-256 of their structure, in which the order of objects does not count.
+
+    Version, tables with all their parts, enums, domains, composites, views, functions and extensions count; settings,
+    source, times and the database's name do not.
+    """
+    by_name = lambda items: F.array_sort(F.transform(F.coalesce(items, F.array()), lambda x: F.to_json(x)))
+
+    def part(t: Column, field: str, kept: Sequence[str] | None) -> Column:
+        if kept is None:
+            return by_name(t[field])
+        return by_name(F.transform(F.coalesce(t[field], F.array()), lambda x: F.struct(*[x[k].alias(k) for k in kept])))
+
+    def table(t: Column) -> Column:
+        own = [t[k].alias(k) for k in ("schema", "name", "comment", "partition_info")] + [F.coalesce(t["rls_enabled"], F.lit(False)).alias("rls_enabled")]
+        return F.struct(*own, *[part(t, f, kept).alias(f) for f, kept in STRUCTURE.items()])
+
+    others = ("enums", "domains", "composites", "views", "functions", "extensions")
+    body = F.struct("version", by_name(F.transform("tables", table)).alias("tables"), *[by_name(F.col(k)).alias(k) for k in others])
+    return docs.withColumn("content_hash", F.sha2(F.to_json(body), 256))
+
+
 def payload_hash(payload: Column, captured_at: Column, include_timestamp: bool = True) -> Column:
     """Hash of a capture; with its time, a later capture of the same counters differs."""
     return F.sha2(F.concat_ws("|", payload, captured_at.cast("string")) if include_timestamp else payload, 256)

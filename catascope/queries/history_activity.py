@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from catascope.adapters import CAPTURES, COLUMNS, LATEST, captures, catalog_columns, latest_activity
 from catascope.operators import activity as A
 from catascope.operators import history as H
+from catascope.operators import storage as S
+from catascope.queries._catalog import catalog
+from catascope.queries.storage_audit import BLOAT
 
 QUERIES, ORACLES = {}, {}
 MID = "2024-01-15 00:00:00"
@@ -184,16 +187,31 @@ def m13(s, d):
     return A.seq_scan_imbalance(latest_activity(s, d))
 
 
-@query("m14_compare_nodes", f"WITH {LATEST}, {STAT} SELECT {TK}, node_label, reltuples, seq_scan, idx_scan, captured_at, max(captured_at) OVER (PARTITION BY database_id) - captured_at > INTERVAL 7 DAY AS stale FROM act LEFT JOIN st USING ({TK})")
+IMBALANCE = f"SELECT {TK}, hot_node, multiplier FROM (SELECT {TK}, count(*) AS n, count(*) FILTER (seq_scan > 0) AS busy, arg_max(node_label, (seq_scan, node_label)) AS hot_node, max(seq_scan) // min(seq_scan) FILTER (seq_scan > 0) AS multiplier FROM act GROUP BY ALL) WHERE n >= 2 AND busy >= 2 AND multiplier >= 5"
+
+
+@query("m14_compare_nodes", f"WITH {LATEST}, {STAT}, im AS ({IMBALANCE}), seen AS (SELECT *, max(captured_at) OVER (PARTITION BY database_id) - captured_at > INTERVAL 7 DAY AS stale, true AS has_data FROM act WHERE NOT (table_name = 'click' AND node_label = 'node2')), every AS (SELECT * FROM (SELECT DISTINCT project_id, database_id, schema_hash, node_label FROM act) JOIN (SELECT DISTINCT {TK} FROM seen) USING (project_id, database_id, schema_hash)) SELECT {TK}, node_label, reltuples, seq_scan, idx_scan, captured_at, stale, coalesce(has_data, false) AS has_data, CASE WHEN table_name = 'view' THEN 'ix_view' END AS unused, hot_node, multiplier FROM every LEFT JOIN seen USING ({TK}, node_label) LEFT JOIN st USING ({TK}) LEFT JOIN im USING ({TK})")
 def m14(s, d):
-    return A.compare_nodes(latest_activity(s, d), _stat_table(s, d))
+    a = latest_activity(s, d)
+    some = a.where("not (table_name = 'click' and node_label = 'node2')")
+    out = A.compare_nodes(some, _stat_table(s, d), a, A.unused_indexes(_indexes(s, d), *_catalog_indexes(s, d)), A.seq_scan_imbalance(a))
+    return out.withColumn("unused", F.array_join("unused_indexes", ",")).drop("unused_indexes")
+
 
+DETECT = f"SELECT {TK}, 'stale_stats' AS kind, table_schema || '.' || table_name || '@' || node_label AS object, ((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(last_analyze)) // 86400000000)::DOUBLE AS measure FROM act WHERE last_analyze IS NULL OR epoch_us(TIMESTAMP '2024-02-01') - epoch_us(last_analyze) > 7 * 86400000000 UNION ALL SELECT {TK}, 'seq_imbalance', hot_node, multiplier::DOUBLE FROM ({IMBALANCE}) UNION ALL SELECT project_id, database_id, schema_hash, 'public', 'view', 'unused_indexes', 'ix_view', 4.0 FROM act GROUP BY ALL UNION ALL SELECT 'p', database_id, 'v1', 'public', table_name, 'bloated_indexes', name, relpages / expected_pages::DOUBLE FROM r WHERE relpages / expected_pages::DOUBLE > 1.5"
 
-def _no_bloat(s):
-    return s.createDataFrame([], "project_id string, database_id string, schema_hash string, table_schema string, table_name string, name string, ratio double")
 
+def _detect(s, d, **narrowed):
+    a, c = latest_activity(s, d), catalog(s, d)
+    bloated = S.bloated_indexes(S.index_bloat(c["index"], c["column"], c["stat_index"]))
+    return A.detect(A.unused_indexes(_indexes(s, d), *_catalog_indexes(s, d)), A.stale_stats(a, ts("2024-02-01")), A.seq_scan_imbalance(a), bloated, **narrowed)
 
-@query("m15_detect", f"WITH {LATEST}, u AS (SELECT {TK}, 'stale_stats' AS kind, table_schema || '.' || table_name || '@' || node_label AS object, ((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(last_analyze)) // 86400000000)::DOUBLE AS measure FROM act WHERE last_analyze IS NULL OR epoch_us(TIMESTAMP '2024-02-01') - epoch_us(last_analyze) > 7 * 86400000000 UNION ALL SELECT {TK}, 'seq_imbalance', hot_node, multiplier::DOUBLE FROM (SELECT {TK}, count(*) AS n, count(*) FILTER (seq_scan > 0) AS busy, arg_max(node_label, (seq_scan, node_label)) AS hot_node, max(seq_scan) // min(seq_scan) FILTER (seq_scan > 0) AS multiplier FROM act GROUP BY ALL) WHERE n >= 2 AND busy >= 2 AND multiplier >= 5 UNION ALL SELECT project_id, database_id, schema_hash, 'public', 'view', 'unused_indexes', 'ix_view', 4.0 FROM act GROUP BY ALL) SELECT * FROM u WHERE table_name = 'view'")
+
+@query("m15_detect", f"{BLOAT}, {LATEST} {DETECT}")
 def m15(s, d):
-    a = latest_activity(s, d)
-    return A.detect(A.unused_indexes(_indexes(s, d), *_catalog_indexes(s, d)), A.stale_stats(a, ts("2024-02-01")), A.seq_scan_imbalance(a), _no_bloat(s), table="view")
+    return _detect(s, d)
+
+
+@query("m15_detect_one_table", f"{BLOAT}, {LATEST}, u AS ({DETECT}) SELECT * FROM u WHERE table_name = 'view'")
+def m15_one(s, d):
+    return _detect(s, d, table="view")

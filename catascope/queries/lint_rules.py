@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catascope.adapters import table
 from catascope.operators import lint as L
 from catascope.queries._catalog import SQL, catalog
 
@@ -54,8 +55,13 @@ SHOWN = ["project_id", "database_id", "table_name", "column_name", "rule", "seve
 
 
 def _query(names):
+    """Only the asked rules, and those whose findings hide theirs, enter the plan."""
+    wanted = {*names, *(by for by, hidden in L.HIDES if hidden in names)}
+    others = tuple(n for g in RULES for n in _names(g) if n not in wanted)
+
     def run(s, d):
-        return L.lint(catalog(s, d), ALL).where(F.col("rule").isin(*names)).select(*SHOWN)
+        found = L.lint(catalog(s, d), L.LintConfig(min_severity="info", disabled=others))
+        return found.where(F.col("rule").isin(*names)).select(*SHOWN)
 
     return run
 
@@ -83,8 +89,21 @@ def l1(s, d):
     return L.table_style(catalog(s, d)["table"]).select("database_id", "style")
 
 
-QUERIES |= {"l1_table_style": l1, "l22_l23_report_summary": l23, "l24_compact_report": l24}
+def l17(s, d):
+    """Partitions from ``lineitem``: an order's lines are children of its customerless table; over three are many."""
+    li = table(s, d, "lineitem")
+    key = [F.lit("p").alias("project_id"), F.concat(F.lit("db"), (F.col("l_orderkey") % 5).cast("string")).alias("database_id"), F.lit("v1").alias("schema_hash")]
+    name = F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))
+    tables = li.select(*key, F.lit("public").alias("table_schema"), name.alias("table_name"), F.lit("hash").alias("partition_strategy")).distinct()
+    bound = F.when(F.col("l_linenumber") == 5, "DEFAULT").otherwise("FOR VALUES")
+    kids = li.select(*key, F.lit("public").alias("parent_schema"), name.alias("parent_name"), F.lit("public").alias("child_schema"), F.concat_ws("_", name, "l_linenumber").alias("child_name"), bound.alias("bound"))
+    settings = s.createDataFrame([], "project_id string, database_id string, schema_hash string, name string, setting string")
+    return L.partition_rules(tables, kids, settings, L.LintConfig(max_partitions=3)).select("database_id", "table_name", "rule", "severity")
+
+
+QUERIES |= {"l17_partition_counts": l17, "l1_table_style": l1, "l22_l23_report_summary": l23, "l24_compact_report": l24}
 ORACLES |= {
+    "l17_partition_counts": "WITH c AS (SELECT 'db' || (l_orderkey % 5) AS database_id, 'o' || l_orderkey AS table_name, count(*) AS n, bool_or(l_linenumber = 5) AS dflt FROM lineitem GROUP BY l_orderkey) SELECT database_id, table_name, 'partition/too_many_children' AS rule, 'warning' AS severity FROM c WHERE n > 3 UNION ALL SELECT database_id, table_name, 'partition/no_default', 'info' FROM c WHERE NOT dflt",
     "l1_table_style": f"WITH {SQL} SELECT database_id, CASE WHEN plural THEN 'snake_plural' ELSE 'snake_singular' END AS style FROM {STYLE}",
     "l22_l23_report_summary": f"{EVERY} SELECT database_id, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, 0::BIGINT AS infos, (SELECT count(*) FROM tabs x WHERE x.database_id = f.database_id) AS tables_checked FROM f GROUP BY database_id",
     "l24_compact_report": f"{EVERY} SELECT database_id, rule, severity, count(*) AS n, greatest(count(*) - 5, 0) AS omitted FROM f GROUP BY ALL",

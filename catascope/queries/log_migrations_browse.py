@@ -158,24 +158,59 @@ def g10(s, d):
     return M.per_migration(_assessed(s, d)).select("migration_id", "has_dangerous", "worst")
 
 
-@query("x1_list_tables", f"WITH {SQL} SELECT database_id, table_name, reltuples, CASE WHEN table_name = 'log_all' THEN (SELECT count(*) FROM kids k WHERE k.database_id = t.database_id) ELSE 0 END AS n_partitions, count(*) OVER (PARTITION BY database_id) AS total FROM tabs t ORDER BY reltuples DESC, database_id, table_name LIMIT 10 OFFSET 2")
+@query("x1_list_tables", f"WITH {SQL} SELECT database_id, table_name, reltuples, CASE WHEN table_name = 'log_all' THEN (SELECT count(*) FROM kids k WHERE k.database_id = t.database_id) ELSE 0 END AS n_partitions, CASE WHEN database_id = 'db0' THEN 0 ELSE 4 END AS n_nodes, count(*) OVER (PARTITION BY database_id) AS total FROM tabs t ORDER BY reltuples DESC, database_id, table_name LIMIT 10 OFFSET 2")
 def x1(s, d):
     c = catalog(s, d)
-    return B.list_tables(c["table"], c["stat_table"], c["partition_child"], sort="rows", limit=10, offset=2).select("database_id", "table_name", "reltuples", "n_partitions", "total")
+    nodes = c["column"].where("database_id <> 'db0'").select("project_id", "database_id", "schema_hash", (F.col("ordinal") % 4).alias("node_label"))
+    return B.list_tables(c["table"], c["stat_table"], c["partition_child"], sort="rows", limit=10, offset=2, nodes=nodes).select("database_id", "table_name", "reltuples", "n_partitions", "n_nodes", "total")
 
 
-@query("x2_describe_tables", f"WITH {SQL} SELECT t.database_id, t.table_name, n_columns AS n_cols, (SELECT count(*) FROM cons c WHERE c.database_id = t.database_id AND c.table_name = t.table_name) AS n_cons, (SELECT count(*) FROM idx i WHERE i.database_id = t.database_id AND i.table_name = t.table_name) AS n_idx, reltuples FROM tabs t")
-def x2(s, d):
+DESCRIBED = """SELECT t.database_id, t.table_name, reltuples, (SELECT string_agg(column_name || ' ' || type_name, ',' ORDER BY ordinal) FROM cols c WHERE c.database_id = t.database_id AND c.table_name = t.table_name) AS columns,
+ (SELECT string_agg(name || ' ' || kind || ' ' || col, ',' ORDER BY name) FROM cons c WHERE c.database_id = t.database_id AND c.table_name = t.table_name) AS constraints,
+ (SELECT string_agg(name || ' ' || index_type || ' ' || k, ',' ORDER BY name) FROM idx i WHERE i.database_id = t.database_id AND i.table_name = t.table_name) AS indexes,
+ CASE WHEN table_name = 'log_all' THEN (SELECT string_agg(child_name || ' ' || CAST(s.reltuples AS BIGINT), ',' ORDER BY child_name) FROM kids k JOIN tabs s ON s.database_id = k.database_id AND s.table_name = k.child_name WHERE k.database_id = t.database_id) END AS partitions,
+ (SELECT string_agg(column_name || ' ' || k, ',' ORDER BY ordinal) FROM cols c WHERE c.database_id = t.database_id AND c.table_name = t.table_name AND k % 3 = 0) AS profiles FROM tabs t"""
+
+
+def _described(s, d, detail):
     c = catalog(s, d)
-    size = lambda x: F.coalesce(F.size(x), F.lit(0)).cast("long")
-    out = B.describe_tables(c["table"], c["column"], c["constraint"], c["index"], c["stat_table"])
-    return out.select("database_id", "table_name", size("columns").alias("n_cols"), F.greatest(size("constraints"), F.lit(0)).alias("n_cons"), F.greatest(size("indexes"), F.lit(0)).alias("n_idx"), "reltuples")
+    profiles = c["column"].where("k % 3 = 0").select(*B.TABLE, "column_name", F.col("k").alias("note"))
+    return B.describe_tables(c["table"], c["column"], c["constraint"], c["index"], c["stat_table"], children=c["partition_child"], profiles=profiles, stat_index=c["stat_index"], detail=detail)
+
+
+def _line(c, *fields):
+    items = F.array_join(F.transform(c, lambda x: F.concat_ws(" ", *[x[f].cast("long") if f == "reltuples" else x[f] for f in fields])), ",")
+    return F.when(F.size(c) > 0, items)
+
+
+@query("x2_describe_tables", f"WITH {SQL} {DESCRIBED}")
+def x2(s, d):
+    return _described(s, d, "full").select(
+        "database_id", "table_name", "reltuples", _line("columns", "column_name", "type_name").alias("columns"), _line("constraints", "name", "kind", "definition").alias("constraints"),
+        _line("indexes", "name", "index_type", "index_size").alias("indexes"), _line("partitions", "child_name", "reltuples").alias("partitions"), _line("profiles", "column_name", "note").alias("profiles"),
+    ).withColumn("constraints", F.regexp_replace("constraints", " (primary_key|foreign_key) (primary_key|foreign_key) ", " $1 "))
+
+
+@query("x2_describe_stats", f"WITH {SQL}, x AS ({DESCRIBED}) SELECT database_id, table_name, reltuples, partitions, profiles FROM x")
+def x2_stats(s, d):
+    return _described(s, d, "stats").select("database_id", "table_name", "reltuples", _line("partitions", "child_name", "reltuples").alias("partitions"), _line("profiles", "column_name", "note").alias("profiles"))
+
+
+FOUND = """SELECT database_id, table_name, 'table' AS kind, table_name AS object FROM tabs WHERE table_name ILIKE '%log%' UNION ALL SELECT database_id, table_name, 'column', column_name FROM cols WHERE column_name ILIKE '%log%'
+ UNION ALL SELECT database_id, table_name, 'constraint', name FROM cons WHERE kind || ' ' || col ILIKE '%log%' UNION ALL SELECT database_id, table_name, 'index', name FROM idx WHERE name ILIKE '%log%' OR col ILIKE '%log%'
+ UNION ALL SELECT database_id, 'v' || k, 'view', 'v' || k FROM cols WHERE table_name ILIKE '%log%' UNION ALL SELECT database_id, table_name || k, 'function', table_name || k FROM cols WHERE table_name ILIKE '%log%'
+ UNION ALL SELECT database_id, 'e' || k, 'enum', 'e' || k FROM cols WHERE column_name ILIKE '%log%' OR table_name ILIKE '%log%'"""
 
 
-@query("x3_search_catalog", f"WITH {SQL} SELECT database_id, table_name, 'table' AS kind, table_name AS object FROM tabs WHERE table_name ILIKE '%log%' UNION ALL SELECT database_id, table_name, 'column', column_name FROM cols WHERE column_name ILIKE '%log%' UNION ALL SELECT database_id, table_name, 'constraint', name FROM cons WHERE kind || ' ' || col ILIKE '%log%' UNION ALL SELECT database_id, table_name, 'index', name FROM idx WHERE name ILIKE '%log%' OR col ILIKE '%log%'")
+@query("x3_search_catalog", f"WITH {SQL} {FOUND}")
 def x3(s, d):
+    """Views, functions and enums from the columns: a view's definition, a function's name and an enum's labels hold the text."""
     c = catalog(s, d)
-    return B.search_catalog("LOG", c["table"], c["column"], c["constraint"], c["index"], limit=None).select("database_id", "table_name", "kind", "object")
+    own = c["column"].select(*B.K, F.lit("public").alias("schema"), "table_name", "column_name", F.col("k").cast("string").alias("k"))
+    views = own.select(*B.K, "schema", F.concat(F.lit("v"), "k").alias("name"), F.concat(F.lit("SELECT * FROM "), F.upper("table_name")).alias("definition"))
+    functions = own.select(*B.K, "schema", F.concat("table_name", "k").alias("name"))
+    enums = own.select(*B.K, "schema", F.concat(F.lit("e"), "k").alias("name"), F.array("column_name", "table_name").alias("labels"))
+    return B.search_catalog("LOG", c["table"], c["column"], c["constraint"], c["index"], limit=None, views=views, functions=functions, enums=enums).select("database_id", "table_name", "kind", "object")
 
 
 @query("x4_find_related", f"WITH {SQL}, f AS (SELECT database_id, 'public.' || table_name AS own, fk_table, name, 'SELECT * FROM public.' || table_name || ' a JOIN ' || fk_table || ' b ON a.' || col || ' = b.' || col AS sample_join FROM cons WHERE kind = 'foreign_key') SELECT database_id, own AS this, 'outgoing' AS direction, fk_table AS other, name, sample_join FROM f UNION ALL SELECT database_id, fk_table, 'incoming', own, name, sample_join FROM f")

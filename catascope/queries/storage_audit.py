@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catascope.adapters import table
 from catascope.functions.names import type_width
 from catascope.operators import audit as A
+from catascope.operators import lint as L
 from catascope.operators import storage as S
 from catascope.queries._catalog import SQL, catalog
 
@@ -220,9 +221,32 @@ def a14(s, d):
     return A.large_table_defaults(c["table"], c["stat_table"]).select("database_id", "table_name")
 
 
-@query("a15_a16_audit_summary", f"WITH {SQL} SELECT 'naming/reserved' AS rule, count(*) AS n FROM cols WHERE column_name = 'order' UNION ALL SELECT 'pk/non_sequential', count(*) FROM cols WHERE type_name = 'uuid' AND {PKC} HAVING count(*) > 0")
+FOUND = f"""SELECT 'naming/reserved' AS rule, count(*) AS n FROM cols WHERE column_name = 'order'
+ UNION ALL SELECT 'naming/reserved', count(*) FROM tabs WHERE table_name IN ('order', 'group') UNION ALL SELECT 'pk/non_sequential', count(*) FROM cols WHERE type_name = 'uuid' AND {PKC}
+ UNION ALL SELECT 'indexes/wide_columns', count(*) FROM idx i JOIN cols c ON c.database_id = i.database_id AND c.table_name = i.table_name AND c.column_name = i.col WHERE type_name IN ('text', 'varchar(20)')
+ UNION ALL SELECT 'indexes/bloated', count(*) FROM r WHERE relpages / expected_pages::DOUBLE > 1.5
+ UNION ALL SELECT 'indexes/too_many', count(*) FROM (SELECT 1 FROM idx GROUP BY database_id, table_name HAVING count(*) > 10)
+ UNION ALL SELECT 'indexes/duplicate', count(*) FROM idx a JOIN idx b ON a.database_id = b.database_id AND a.table_name = b.table_name AND a.col = b.col AND a.index_type = b.index_type AND a.pos < b.pos WHERE NOT a.is_primary AND NOT b.is_primary
+ UNION ALL SELECT 'fk/type_mismatch', count(*) FROM cons x JOIN cols a ON a.database_id = x.database_id AND a.table_name = x.table_name AND a.column_name = x.col JOIN cols b ON b.database_id = x.database_id AND 'public.' || b.table_name = x.fk_table AND b.column_name = x.col WHERE kind = 'foreign_key' AND a.type_name <> b.type_name
+ UNION ALL SELECT 'fk/orphan', count(*) FROM tabs t WHERE NOT EXISTS (SELECT 1 FROM cons c WHERE kind = 'foreign_key' AND c.database_id = t.database_id AND (c.table_name = t.table_name OR c.fk_table = 'public.' || t.table_name))
+ UNION ALL SELECT 'fk/circular', count(*) FROM (SELECT DISTINCT database_id, table_name FROM cons WHERE kind = 'foreign_key' AND fk_table = 'public.' || table_name)
+ UNION ALL SELECT 'fk/circular', count(*) FROM (SELECT DISTINCT database_id FROM cons a WHERE kind = 'foreign_key' AND table_name = 'item' AND fk_table = 'public.orders' AND EXISTS (SELECT 1 FROM cons b WHERE b.kind = 'foreign_key' AND b.database_id = a.database_id AND b.table_name = 'orders' AND b.fk_table = 'public.item'))
+ UNION ALL SELECT 'naming/bool_prefix', count(*) FROM cols WHERE type_name = 'boolean' AND column_name NOT LIKE 'is!_%' ESCAPE '!'
+ UNION ALL SELECT 'naming/id_mismatch', count(*) FROM (SELECT 1 FROM cons WHERE kind = 'foreign_key' GROUP BY database_id, fk_table HAVING count(DISTINCT col) > 1)
+ UNION ALL SELECT 'docs/no_comment', count(*) FROM tabs WHERE n_columns >= 5 AND comment IS NULL
+ UNION ALL SELECT 'docs/no_comment', count(*) FROM (SELECT 1 FROM cols GROUP BY database_id, table_name HAVING count(*) >= 5 AND count(*) FILTER (comment IS NULL) > 0)
+ UNION ALL SELECT 'vacuum/large_table_defaults', count(*) FROM tabs WHERE reltuples >= 1000000 AND table_name <> 'tags'"""
+
+
+@query("a15_audit_summary", f"{BLOAT} SELECT rule, sum(n)::BIGINT AS n FROM ({FOUND}) GROUP BY rule HAVING sum(n) > 0")
 def a15(s, d):
+    return A.audit(catalog(s, d)).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a16_lint_schema", f"{BLOAT} SELECT 'audit' AS scope, rule, sum(n)::BIGINT AS n FROM ({FOUND}) WHERE rule IN ('pk/non_sequential', 'naming/bool_prefix') GROUP BY rule HAVING sum(n) > 0 UNION ALL SELECT 'conventions', 'pk/exists', count(*) FROM tabs WHERE (database_id, 'log_all', table_name) NOT IN (SELECT database_id, parent_name, child_name FROM kids) AND (database_id, table_name) NOT IN (SELECT database_id, table_name FROM cons WHERE kind = 'primary_key') HAVING count(*) > 0")
+def a16(s, d):
+    """Two audits and one convention under one roof."""
     c = catalog(s, d)
-    none = s.createDataFrame([], "project_id string, database_id string, schema_hash string, table_schema string, table_name string, rule string, severity string, message string")
-    others = [r for r in ("indexes/duplicate", "indexes/redundant", "indexes/too_many", "indexes/wide_columns", "indexes/bloated", "fk/type_mismatch", "fk/circular", "fk/orphan", "naming/bool_prefix", "naming/id_mismatch", "docs/no_comment", "vacuum/large_table_defaults")]
-    return A.lint_schema(none, A.audit(c, disabled=others)).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    audits = A.audit(c, disabled=[r for r in A.RULES if r not in ("pk/non_sequential", "naming/bool_prefix")])
+    conventions = L.lint(c, L.LintConfig(min_severity="error", disabled=("constraints/fk_has_index",)))
+    return A.lint_schema(conventions, audits).groupBy("scope", "rule").agg(F.count(F.lit(1)).alias("n"))

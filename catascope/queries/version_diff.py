@@ -11,7 +11,7 @@ QUERIES, ORACLES = {}, {}
 
 
 def _cat(s, d):
-    cols = catalog_columns(s, d).cache()
+    cols = catalog_columns(s, d)
     tables = cols.groupBy("project_id", "database_id", "schema_hash", "version", "table_schema", "table_name").agg(F.min("comment").alias("comment"), F.bool_or(F.col("p_partkey") % 10 == 1).alias("rls_enabled"))
     pairs = D.consecutive_pairs(cols.select("project_id", "database_id", F.col("schema_hash").alias("content_hash"), F.col("version").alias("captured_at")).distinct())
     return cols, tables, pairs
@@ -50,9 +50,40 @@ def d1(s, d):
     return _changes(s, d)[0].select("kind", "object", "change", "n_details")
 
 
+def _versions(cols):
+    return cols.select("project_id", "database_id", F.col("schema_hash").alias("content_hash"), F.col("version").alias("captured_at")).distinct()
+
+
 def d8(s, d):
     changes, pairs = _changes(s, d)
-    return D.diff_header(pairs, changes).select("from_hash", "to_hash", "n_changes", "is_empty")
+    return D.diff_header(pairs, changes, _versions(catalog_columns(s, d))).select("from_hash", "to_hash", "from_at", "to_at", "n_changes", "is_empty")
+
+
+def d6(s, d):
+    """A function per third column: overloads differ by argument, the second version changes results and rights."""
+    cols, _, pairs = _cat(s, d)
+    p = F.col("p_partkey")
+    rows = cols.where(p % 3 == 0).select(
+        "project_id", "database_id", "schema_hash", "table_schema", F.concat(F.lit("f"), (p % 97).cast("string")).alias("function_name"), p.cast("string").alias("identity_args"),
+        F.col("type_name").alias("return_type"), F.when((F.col("version") == 2) & (p % 4 == 0), "stable").otherwise("volatile").alias("volatility"), ((F.col("version") == 2) & (p % 5 == 0)).alias("security_definer"),
+    )
+    return D.diff_objects(rows, pairs, "function", ["table_schema", "function_name", "identity_args"], ["return_type", "volatility", "security_definer"]).select("kind", "object", "change", "n_details")
+
+
+def d7(s, d):
+    """Enums, domains, composites and extensions from a quarter of the columns each."""
+    cols, _, pairs = _cat(s, d)
+    base = cols.select("project_id", "database_id", "schema_hash", "table_schema", "column_name", "type_name", "default", (F.col("p_partkey") % 4).alias("of"))
+    parts = [
+        D.diff_objects(base.where("of = 0").withColumn("labels", F.array("type_name", "default")), pairs, "enum", ["table_schema", "column_name"], ["labels"]),
+        D.diff_objects(base.where("of = 1").withColumn("checks", F.array("default")), pairs, "domain", ["table_schema", "column_name"], ["type_name", "checks"]),
+        D.diff_objects(base.where("of = 2").withColumn("fields", F.array(F.struct("column_name", "type_name"))), pairs, "composite", ["table_schema", "column_name"], ["fields"]),
+        D.diff_objects(base.where("of = 3"), pairs, "extension", ["column_name"], ["type_name"]),
+    ]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.select("kind", "object", "change", "n_details")
 
 
 def d9(s, d):
@@ -65,13 +96,16 @@ def d10(s, d):
     return D.choose_pair(v.where("captured_at = 1"), None, v.where("captured_at = 2")).select("from_hash", "to_hash")
 
 
-QUERIES |= {"d2_column_details": d2, "d3_member_details": d3, "d4_table_details": d4, "d1_d5_d6_d7_changes": d1, "d8_diff_header": d8, "d9_drift": d9, "d10_choose_versions": d10}
+BOTH = f"WITH {COLUMNS}, j2 AS (SELECT coalesce(a.p_partkey, b.p_partkey) AS p, coalesce(a.column_name, b.column_name) AS n, a.p_partkey AS ka, b.p_partkey AS kb, a.type_name AS ta, b.type_name AS tb, a.\"default\" AS da, b.\"default\" AS db FROM (SELECT * FROM cols WHERE version = 1) a FULL JOIN (SELECT * FROM cols WHERE version = 2) b ON a.p_partkey = b.p_partkey)"
+QUERIES |= {"d2_column_details": d2, "d3_member_details": d3, "d4_table_details": d4, "d1_d5_d6_d7_changes": d1, "d6_function_changes": d6, "d7_type_changes": d7, "d8_diff_header": d8, "d9_drift": d9, "d10_choose_versions": d10}
 ORACLES |= {
     "d2_column_details": f"{J} SELECT * FROM dt",
     "d3_member_details": f"{J} SELECT table_name, column_name AS object, 'index ' || detail AS detail FROM dt WHERE detail IN ('added', 'removed')",
     "d4_table_details": f"{J} SELECT * FROM tj",
     "d1_d5_d6_d7_changes": f"{CH} SELECT * FROM ch",
-    "d8_diff_header": f"{CH} SELECT 'v1' AS from_hash, 'v2' AS to_hash, count(*) AS n_changes, count(*) = 0 AS is_empty FROM ch",
+    "d6_function_changes": f"{BOTH}, x AS (SELECT p, ka IS NULL AS isnew, kb IS NULL AS isgone, CAST(ta <> tb AS INT) + CAST(p % 4 = 0 AS INT) + CAST(p % 5 = 0 AS INT) AS nd FROM j2 WHERE p % 3 = 0) SELECT 'function' AS kind, 'public.f' || (p % 97) || '.' || p AS object, CASE WHEN isnew THEN 'added' WHEN isgone THEN 'removed' ELSE 'modified' END AS change, CASE WHEN isnew OR isgone THEN 0 ELSE nd END AS n_details FROM x WHERE isnew OR isgone OR nd > 0",
+    "d7_type_changes": f"{BOTH}, x AS (SELECT *, ka IS NULL AS isnew, kb IS NULL AS isgone, ta <> tb AS ty, da IS DISTINCT FROM db AS de FROM j2), y AS (SELECT ['enum', 'domain', 'composite', 'extension'][p % 4 + 1] AS kind, CASE WHEN p % 4 = 3 THEN n ELSE 'public.' || n END AS object, CASE WHEN isnew THEN 'added' WHEN isgone THEN 'removed' ELSE 'modified' END AS change, CASE WHEN isnew OR isgone THEN 0 WHEN p % 4 = 0 THEN CAST(ty OR de AS INT) WHEN p % 4 = 1 THEN CAST(ty AS INT) + CAST(de AS INT) ELSE CAST(ty AS INT) END AS n_details FROM x) SELECT * FROM y WHERE change <> 'modified' OR n_details > 0",
+    "d8_diff_header": f"{CH} SELECT 'v1' AS from_hash, 'v2' AS to_hash, 1 AS from_at, 2 AS to_at, count(*) AS n_changes, count(*) = 0 AS is_empty FROM ch",
     "d9_drift": f"{CH} SELECT 'v1' AS from_hash, 'v2' AS to_hash, count(*) FILTER (change = 'added') AS ahead, count(*) FILTER (change = 'removed') AS behind, count(*) FILTER (change = 'modified') AS diverged FROM ch",
     "d10_choose_versions": f"WITH {COLUMNS} SELECT 'v1' AS from_hash, 'v2' AS to_hash FROM cols LIMIT 1",
 }

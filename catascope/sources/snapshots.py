@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catascope import schemas
-from catascope.functions.names import constraint_kind, parse_pg_array, partition_strategy
+from catascope.functions.names import constraint_kind, parse_pg_array, partition_strategy, policy_command
 
 K = ["project_id", "database_id", "schema_hash"]
 
@@ -51,8 +51,14 @@ def explode_catalog(docs: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def assemble_tables(tables: DataFrame, columns: DataFrame, constraints: DataFrame, indexes: DataFrame, children: DataFrame | None = None) -> DataFrame:
-    """Nested tables from flat dumps keyed by (K, oid); unknown constraint kinds and strategies are dropped."""
+def assemble_tables(
+    tables: DataFrame, columns: DataFrame, constraints: DataFrame, indexes: DataFrame, children: DataFrame | None = None,
+    policies: DataFrame | None = None, triggers: DataFrame | None = None, comments: DataFrame | None = None,
+) -> DataFrame:
+    """Nested tables from flat dumps keyed by (K, oid); unknown constraint kinds and strategies are dropped.
+
+    ``comments`` (K, oid, column_name, comment): of the table where the column is null, else of the column.
+    """
     key = [*K, "oid"]
 
     def gather(rows: DataFrame, order: str, name: str) -> DataFrame:
@@ -61,7 +67,12 @@ def assemble_tables(tables: DataFrame, columns: DataFrame, constraints: DataFram
 
     known = constraints.withColumn("kind", constraint_kind(F.col("contype"))).where("kind is not null").drop("contype")
     out = tables.withColumn("partition_strategy", partition_strategy(F.col("partstrat"))).drop("partstrat") if "partstrat" in tables.columns else tables
-    for rows, order, name in ((columns, "ordinal", "columns"), (known, "name", "constraints"), (indexes, "name", "indexes"), (children, "child_name", "children")):
+    if comments is not None:
+        columns = columns.join(comments.where("column_name is not null").select(*key, "column_name", "comment"), [*key, "column_name"], "left")
+        out = out.join(comments.where("column_name is null").select(*key, "comment"), key, "left")
+    rules = policies.withColumn("command", policy_command(F.col("polcmd"))).drop("polcmd") if policies is not None else None
+    parts = ((columns, "ordinal", "columns"), (known, "name", "constraints"), (indexes, "name", "indexes"), (children, "child_name", "children"), (rules, "name", "policies"), (triggers, "name", "triggers"))
+    for rows, order, name in parts:
         if rows is not None:
             out = out.join(gather(rows, order, name), key, "left")
     return out

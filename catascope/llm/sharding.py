@@ -5,11 +5,12 @@ round, to the shard that already holds most bytes of their group, within each sh
 every group its target, another the room left there, and where the demand is larger than the room the
 groups of the lowest hashes get in. A group larger than a share of the quota is cut into parts of about
 that share first, so a text that a third of all rows repeat is still spread evenly. Leftover differences
-in size are settled by moving unlinked documents, which cut no edge: surpluses and deficits are laid on
-one line (prefix sums per shard and hash bucket) and matched.
+in size are settled on one line, on which surpluses and deficits (prefix sums per shard and hash bucket) are
+matched: unlinked documents move first, which cuts no edge, then parts of groups, one after another, so only
+those at the ends of a surplus are cut.
 
-The law is ``bytes``: shard sizes end up equal to within about one document, as far as unlinked documents
-allow. Everything but per-shard and per-bucket sums stays distributed, and no window spans a whole shard.
+The law is ``bytes``: shard sizes end up equal to within about one document, however many rows are linked.
+Everything but per-shard and per-bucket sums stays distributed, and no window spans a whole shard.
 
 Defined cases: a null text has no bytes (size 8) and belongs to the group of null texts; rows that repeat
 doc_id and text keep a shard each and get slots of their own; an empty table gives an empty result; other
@@ -85,46 +86,42 @@ def propagate(rows: DataFrame, shards: int, rounds: int = 6, part: float = 0.125
     return now
 
 
-def settle(rows: DataFrame, shards: int) -> DataFrame:
-    """Move unlinked documents from the larger shards to the smaller until all sizes are about equal."""
+def settle(rows: DataFrame, shards: int, lots: int = 16) -> DataFrame:
+    """Move documents from the larger shards to the smaller until all sizes are about equal."""
     spark = rows.sparkSession
-    loads = {r["shard"]: int(r["load"]) for r in _loads(rows, shards).collect()}
-    free = {r["shard"]: int(r["load"]) for r in rows.where("piece is null").groupBy("shard").agg(F.sum("size").alias("load")).collect()}
+    loads = {r["shard"]: int(r["load"]) for r in _loads(rows, shards).collect()}  # a row per shard
     mean = sum(loads.values()) / shards
-    surplus = {s: float(min(loads[s] - mean, free.get(s, 0))) for s in loads if loads[s] > mean}
-    # deficits on one line, as intervals of [0, sum of surpluses)
-    line, at = [], 0.0
+    # surpluses and deficits on one line, as intervals of equal total length
+    givers, line, up, at = [], [], 0.0, 0.0
     for s in sorted(loads):
-        if loads[s] < mean:
+        if loads[s] > mean:
+            givers.append((s, up, loads[s] - mean))
+            up += loads[s] - mean
+        elif loads[s] < mean:
             line.append((s, at, at + mean - loads[s]))
             at += mean - loads[s]
-    begins, up = [], 0.0
-    for s in sorted(surplus):
-        begins.append((s, up, surplus[s]))
-        up += surplus[s]
-    if not line or not begins:
+    if not line or not givers:
         return rows
     buckets = max(16, partitions(spark))
-    lot = F.pmod(F.xxhash64("doc_id", "g", F.lit(1)), F.lit(buckets)).cast("int")
+    lot = F.pmod(F.xxhash64("doc_id", "g", F.lit(1)), F.lit(buckets))
+    # unlinked documents come before all parts of groups, and a part is not mixed with others of its lot's bucket order
+    place = F.when(F.col("piece").isNull(), lot).otherwise((F.pmod(F.xxhash64("g", "piece"), F.lit(lots)) + 1) * buckets + lot).cast("int")
     # both tables have a row per shard
-    donors = F.broadcast(spark.createDataFrame(begins, "shard int, begin double, surplus double"))
+    donors = F.broadcast(spark.createDataFrame(givers, "shard int, begin double, surplus double"))
     takers = F.broadcast(spark.createDataFrame(line, "taker int, lo double, hi double"))
-    singles = rows.where("piece is null").join(donors, "shard").withColumn("b", lot)
-    sums = singles.groupBy("shard", "b").agg(F.sum("size").alias("s"))
+    give = rows.join(donors, "shard").withColumn("b", place)
+    sums = give.groupBy("shard", "b").agg(F.sum("size").alias("s"))
     before = F.sum("s").over(W.partitionBy("shard").orderBy("b").rowsBetween(W.unboundedPreceding, -1))
     sums = sums.select("shard", "b", F.coalesce(before, F.lit(0)).alias("before"))
-    inner = F.sum("size").over(W.partitionBy("shard", "b").orderBy("doc_id", "g").rowsBetween(W.unboundedPreceding, -1))
-    placed = singles.withColumn("i", inner).join(sums, ["shard", "b"]).withColumn("mid", F.coalesce("i", F.lit(0)) + F.col("before") + F.col("size") / 2)
-    chosen = placed.where(F.col("mid") < F.col("surplus")).withColumn("point", F.col("begin") + F.col("mid"))
-    moved = chosen.join(takers, (F.col("point") >= F.col("lo")) & (F.col("point") < F.col("hi"))).select("doc_id", "g", "taker").distinct()
-    single, m = rows.where("piece is null").alias("r"), moved.alias("m")
-    settled = single.join(m, F.col("r.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("r.g") == F.col("m.g")), "left")
-    settled = settled.select(*[F.coalesce("m.taker", "r.shard").alias("shard") if c == "shard" else F.col(f"r.{c}") for c in rows.columns])
-    return rows.where("piece is not null").unionByName(settled)
+    inner = F.sum("size").over(W.partitionBy("shard", "b").orderBy("g", "piece", "doc_id", "row").rowsBetween(W.unboundedPreceding, -1))
+    mid = F.coalesce("i", F.lit(0)) + F.col("before") + F.col("size") / 2
+    placed = give.withColumn("i", inner).join(sums, ["shard", "b"]).withColumn("point", F.when(mid < F.col("surplus"), F.col("begin") + mid))
+    moved = placed.join(takers, (F.col("point") >= F.col("lo")) & (F.col("point") < F.col("hi")), "left").withColumn("shard", F.coalesce("taker", "shard"))
+    return rows.join(donors, "shard", "left_anti").select(*rows.columns).unionByName(moved.select(*rows.columns))
 
 
 def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
-    rows = stored(base_rows(docs), "rows")
+    rows = stored(base_rows(docs).withColumn("row", F.monotonically_increasing_id()), "rows")
     placed = stored(settle(propagate(rows, shards), shards), "placed")
     slots = ranked(placed, "shard", partitions(docs.sparkSession), "doc_id", "g", "size")
     return slots.select(

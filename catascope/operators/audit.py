@@ -106,7 +106,9 @@ def fk_cycles(edges: DataFrame, max_len: int = 10) -> DataFrame:
         inner = inner.join(live.select(*K, F.col("a").alias("b")).distinct(), [*K, "b"], "left_semi").select(*K, "a", "b").cache()
         m = inner.count()
         if m == n:
+            inner.unpersist()
             break
+        live.unpersist()
         live, n = inner, m
     paths = live.where("b >= a").select(*K, F.array("a").alias("path"), F.col("a").alias("start"), F.col("b").alias("at"))
     found = paths.where("at = start").select(*K, "path")

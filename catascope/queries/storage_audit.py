@@ -57,13 +57,14 @@ def b2(s, d):
 
 
 def _settings(s, d):
-    n = table(s, d, "nation")
-    name = F.when(F.col("n_nationkey") % 3 == 0, "autovacuum_vacuum_threshold").when(F.col("n_nationkey") % 3 == 1, "autovacuum_vacuum_scale_factor").otherwise("autovacuum")
-    value = F.when(F.col("n_nationkey") % 3 == 2, F.lit("off")).when(F.col("n_nationkey") == 4, F.lit("bad")).otherwise((F.col("n_nationkey") * 2).cast("string"))
-    return n.where("n_nationkey < 8").select(F.lit("p").alias("project_id"), F.concat(F.lit("db"), (F.col("n_nationkey") % 4).cast("string")).alias("database_id"), F.lit("v1").alias("schema_hash"), name.alias("name"), value.alias("setting"))
+    """Three settings for each database, from ``part``; some values do not parse."""
+    k = F.col("p_partkey")
+    name = F.when(k % 3 == 0, "autovacuum_vacuum_threshold").when(k % 3 == 1, "autovacuum_vacuum_scale_factor").otherwise("autovacuum")
+    value = F.when(k % 3 == 2, F.when(k % 2 == 0, "off").otherwise("on")).when(k % 7 == 4, F.lit("bad")).otherwise((k % 90).cast("string"))
+    return table(s, d, "part").select(F.lit("p").alias("project_id"), F.concat(F.lit("db"), F.floor(k / 3).cast("string")).alias("database_id"), F.lit("v1").alias("schema_hash"), name.alias("name"), value.alias("setting"))
 
 
-DEFAULTS = "n AS (SELECT 'db' || (n_nationkey % 4) AS database_id, n_nationkey % 3 AS r, CASE WHEN n_nationkey % 3 = 2 THEN 'off' WHEN n_nationkey = 4 THEN 'bad' ELSE CAST(n_nationkey * 2 AS VARCHAR) END AS v FROM nation WHERE n_nationkey < 8), df AS (SELECT database_id, NOT bool_or(r = 2) AS autovacuum, coalesce(try_cast(max(v) FILTER (r = 0) AS DOUBLE), 50) AS thr, coalesce(try_cast(max(v) FILTER (r = 1) AS DOUBLE), 0.2) AS sf FROM n GROUP BY 1)"
+DEFAULTS = "n AS (SELECT 'db' || (p_partkey // 3) AS database_id, p_partkey % 3 AS r, CASE WHEN p_partkey % 3 = 2 THEN CASE WHEN p_partkey % 2 = 0 THEN 'off' ELSE 'on' END WHEN p_partkey % 7 = 4 THEN 'bad' ELSE CAST(p_partkey % 90 AS VARCHAR) END AS v FROM part), df AS (SELECT database_id, coalesce(bool_or(v = 'on') FILTER (r = 2), true) AS autovacuum, coalesce(try_cast(max(v) FILTER (r = 0) AS DOUBLE), 50) AS thr, coalesce(try_cast(max(v) FILTER (r = 1) AS DOUBLE), 0.2) AS sf FROM n GROUP BY 1)"
 
 
 @query("v1_autovacuum_defaults", f"WITH {DEFAULTS} SELECT database_id, autovacuum, thr AS autovacuum_vacuum_threshold, sf AS autovacuum_vacuum_scale_factor FROM df")
@@ -146,23 +147,27 @@ def a6(s, d):
 
 
 def _edges(s, d):
-    n = F.col("n_nationkey")
+    """A foreign-key graph of up to twelve tables for every eight parts."""
+    n = F.col("p_partkey")
     name = lambda x: F.concat(F.lit("public.t"), x.cast("string"))
-    return table(s, d, "nation").select(F.lit("p").alias("project_id"), F.lit("db").alias("database_id"), F.lit("v1").alias("schema_hash"), name(n % 12).alias("a"), name((n * 5 + F.col("n_regionkey")) % 12).alias("b")).distinct()
+    key = [F.lit("p").alias("project_id"), F.concat(F.lit("db"), F.floor(n / 8).cast("string")).alias("database_id"), F.lit("v1").alias("schema_hash")]
+    return table(s, d, "part").select(*key, name(n % 12).alias("a"), name((n * 5 + F.col("p_size")) % 12).alias("b")).distinct()
 
 
-EDGES = "e AS (SELECT DISTINCT 'public.t' || (n_nationkey % 12) AS a, 'public.t' || ((n_nationkey * 5 + n_regionkey) % 12) AS b FROM nation)"
+EDGES = "e AS (SELECT DISTINCT 'db' || (p_partkey // 8) AS database_id, 'public.t' || (p_partkey % 12) AS a, 'public.t' || ((p_partkey * 5 + p_size) % 12) AS b FROM part)"
 
 
-@query("a7_fk_cycles", f"WITH RECURSIVE {EDGES}, p AS (SELECT a AS start, b AS cur, [a] AS path FROM e WHERE b >= a UNION ALL SELECT start, e.b, list_append(path, cur) FROM p JOIN e ON e.a = p.cur WHERE p.cur <> start AND e.b >= start AND (e.b = start OR NOT list_contains(list_append(path, cur), e.b)) AND len(path) < 10) SELECT array_to_string(path, ' -> ') AS cycle FROM p WHERE cur = start")
+@query("a7_fk_cycles", f"WITH RECURSIVE {EDGES}, p AS (SELECT database_id, a AS start, b AS cur, [a] AS path FROM e WHERE b >= a UNION ALL SELECT p.database_id, start, e.b, list_append(path, cur) FROM p JOIN e ON e.a = p.cur AND e.database_id = p.database_id WHERE p.cur <> start AND e.b >= start AND (e.b = start OR NOT list_contains(list_append(path, cur), e.b)) AND len(path) < 10) SELECT database_id, array_to_string(path, ' -> ') AS cycle FROM p WHERE cur = start")
 def a7(s, d):
-    return A.fk_cycles(_edges(s, d)).select(F.array_join("path", " -> ").alias("cycle"))
+    return A.fk_cycles(_edges(s, d)).select("database_id", F.array_join("path", " -> ").alias("cycle"))
 
 
-@query("a8_fk_orphans", f"WITH {EDGES} SELECT 't' || n_nationkey AS table_name FROM nation WHERE 'public.t' || n_nationkey NOT IN (SELECT a FROM e UNION SELECT b FROM e)")
+@query("a8_fk_orphans", f"WITH {EDGES}, t AS (SELECT DISTINCT 'db' || (p_partkey // 8) AS database_id, 't' || i AS table_name FROM part, range(14) x(i)) SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.database_id = t.database_id AND (a = 'public.' || table_name OR b = 'public.' || table_name))")
 def a8(s, d):
-    t = table(s, d, "nation").select(F.lit("p").alias("project_id"), F.lit("db").alias("database_id"), F.lit("v1").alias("schema_hash"), F.lit("public").alias("table_schema"), F.concat(F.lit("t"), F.col("n_nationkey").cast("string")).alias("table_name"))
-    return A.fk_orphans(t, _edges(s, d)).select("table_name")
+    n = F.explode(F.sequence(F.lit(0), F.lit(13))).alias("i")
+    t = table(s, d, "part").select(F.floor(F.col("p_partkey") / 8).cast("string").alias("g")).distinct().select("g", n)
+    t = t.select(F.lit("p").alias("project_id"), F.concat(F.lit("db"), "g").alias("database_id"), F.lit("v1").alias("schema_hash"), F.lit("public").alias("table_schema"), F.concat(F.lit("t"), F.col("i").cast("string")).alias("table_name"))
+    return A.fk_orphans(t, _edges(s, d)).select("database_id", "table_name")
 
 
 PKC = "(database_id, table_name, column_name) IN (SELECT database_id, table_name, col FROM cons WHERE kind = 'primary_key')"

@@ -3,7 +3,7 @@
 ``compute_column_stats`` unpivots the asked columns and aggregates once per (column, value); everything
 else works on those counts: distinct values, most common values, histogram bounds over the rest, and the
 correlation of value rank with a physical position that the caller names. The exact mode ranks the distinct
-values of each column; the approximate mode keeps only mergeable sketches (HyperLogLog, quantile summaries)
+values in ranges that are written once, so a column of very many values is ranked by many tasks; the approximate mode keeps only mergeable sketches (HyperLogLog, quantile summaries)
 and needs one pass without a shuffle of values.
 """
 
@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catascope.sources.scratch import shared_folder
+
 TEXT_TYPES = ("text", "varchar", "character varying")
 
 
@@ -36,29 +38,33 @@ def signed_distinct(distinct: Column, rows: Column) -> Column:
 
 
 def compute_column_stats(df: DataFrame, columns: Sequence[str], position: str, top: int = 10, bins: int = 10, approximate: bool = False) -> DataFrame:
-    """(column_name, reltuples, null_frac, n_distinct, mcv, mcf, bounds, correlation) per column."""
+    """(column_name, reltuples, null_frac, n_distinct, mcv, mcf, bounds, text_bounds, correlation) per column."""
     rows = _unpivot(df, columns, position)
-    cuts = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
     if approximate:
+        cuts = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
         n, d = F.count(F.lit(1)), F.approx_count_distinct("v", 0.01)
         return rows.groupBy("column_name").agg(
             n.alias("reltuples"), (F.count_if(F.col("v").isNull()) / n).alias("null_frac"), signed_distinct(d, n).alias("n_distinct"),
             F.percentile_approx("num", cuts, 1000).alias("bounds"), F.corr("num", "pos").alias("correlation"),
         )
     counts = rows.groupBy("column_name", "v", "num").agg(F.count(F.lit(1)).alias("cnt"), F.sum("pos").alias("sp"), F.sum(F.col("pos") * F.col("pos")).alias("spp"))
+    # values in ranges: no window and no list spans all distinct values of a column
+    path = shared_folder(df.sparkSession, "value-counts")
+    counts.repartitionByRange("column_name", "num", "v").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    counts = df.sparkSession.read.parquet(path)
     known = F.col("v").isNotNull()
     whole = counts.groupBy("column_name").agg(F.sum("cnt").alias("reltuples"), F.sum(F.when(known, F.col("cnt"))).alias("n"), F.count_if(known).alias("d"))
-    order = Window.partitionBy("column_name").orderBy("num", "v")
-    upto = F.sum("cnt").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("double")
-    place = F.row_number().over(Window.partitionBy("column_name").orderBy(F.col("cnt").desc(), "num", "v"))
-    ranked = counts.where(known).select("*", upto.alias("r"), place.alias("place"))
-    common = F.col("place") <= top
-    lists = F.array_sort(F.collect_list(F.when(common, F.struct("place", "v", "cnt"))))
+    values = counts.where(known)
+    common = _most_common(values, top)
+    # as many rows as columns times ``top``
+    ranked = values.join(F.broadcast(common.select("column_name", "v", "place")), ["column_name", "v"], "left")
+    ranked = _cumulated(ranked.withColumn("other", F.when(F.col("place").isNull(), F.col("cnt")).otherwise(0)), {"r": "cnt", "o": "other"})
+    lists = F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "v", "cnt"))))
+    r = F.col("r").cast("double")
     sums = ranked.groupBy("column_name").agg(
-        lists.alias("top"), F.percentile(F.when(~common, F.col("num")), cuts, F.when(~common, F.col("cnt")).otherwise(0)).alias("bounds"),
+        lists.alias("top"),
         *[F.sum(e).alias(a) for a, e in {
-            "m": F.col("cnt"), "sr": F.col("r") * F.col("cnt"), "srr": F.col("r") * F.col("r") * F.col("cnt"),
-            "srp": F.col("r") * F.col("sp"), "p": F.col("sp"), "pp": F.col("spp"),
+            "m": F.col("cnt"), "sr": r * F.col("cnt"), "srr": r * r * F.col("cnt"), "srp": r * F.col("sp"), "p": F.col("sp"), "pp": F.col("spp"),
         }.items()],
     )
     spread = lambda n, x, xx: n * F.col(xx) - F.col(x) * F.col(x)
@@ -66,12 +72,52 @@ def compute_column_stats(df: DataFrame, columns: Sequence[str], position: str, t
     both = F.sqrt(F.greatest(spread(m, "sr", "srr"), F.lit(0.0))) * F.sqrt(F.greatest(spread(m, "p", "pp"), F.lit(0.0)))
     corr = F.when(both > 0, (m * F.col("srp") - F.col("sr") * F.col("p")) / both)
     n = F.col("reltuples")
-    return whole.join(sums, "column_name", "left").select(
+    return whole.join(sums, "column_name", "left").join(_bounds(ranked, bins), "column_name", "left").select(
         "column_name", "reltuples", ((n - F.coalesce("n", F.lit(0))) / n).alias("null_frac"), signed_distinct(F.col("d"), n).alias("n_distinct"),
-        F.transform("top", lambda x: x["v"]).alias("mcv"), F.transform("top", lambda x: x["cnt"] / n).alias("mcf"), "bounds", corr.alias("correlation"),
+        F.transform("top", lambda x: x["v"]).alias("mcv"), F.transform("top", lambda x: x["cnt"] / n).alias("mcf"), "bounds", "text_bounds", corr.alias("correlation"),
     )
 
 
+def _most_common(values: DataFrame, top: int) -> DataFrame:
+    """The ``top`` values of each column, picked within the ranges first."""
+    order = [F.col("cnt").desc(), "num", "v"]
+    for by in (["column_name", "part"], ["column_name"]):
+        values = values.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= top)
+    return values
+
+
+def _cumulated(values: DataFrame, sums: dict[str, str]) -> DataFrame:
+    """Running sums of columns over each column's values in order: inside the ranges, plus what the ranges before hold."""
+    inside = Window.partitionBy("column_name", "part").orderBy("num", "v").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("column_name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = values.groupBy("column_name", "part").agg(*[F.sum(c).alias(f"__{a}") for a, c in sums.items()])
+    parts = parts.select("column_name", "part", *[F.coalesce(F.sum(f"__{a}").over(earlier), F.lit(0)).alias(f"__{a}") for a in sums])
+    out = values.withColumns({a: F.sum(c).over(inside) for a, c in sums.items()}).join(parts, ["column_name", "part"])
+    return out.withColumns({a: F.col(a) + F.col(f"__{a}") for a in sums}).drop(*[f"__{a}" for a in sums])
+
+
+def _bounds(ranked: DataFrame, bins: int) -> DataFrame:
+    """(column_name, bounds, text_bounds): equal-frequency bounds of the values that are not most common.
+
+    Numbers are interpolated between the values beside a position; a column without numbers has the values themselves.
+    """
+    at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: F.struct(i.alias("i"), ((F.col("total") - 1) * (i / bins)).alias("at"))))
+    cuts = ranked.groupBy("column_name").agg(F.max("o").alias("total")).where("total > 0").select("column_name", at.alias("c")).select("column_name", "c.i", "c.at")
+    # as many rows as columns times ``bins``
+    hit = ranked.where("other > 0").join(F.broadcast(cuts), "column_name")
+    before, o = F.col("o") - F.col("other"), F.col("o")
+    inside = lambda x: (before <= x) & (x < o)
+    low, high = F.floor("at"), F.ceil("at")
+    hit = hit.where(inside(low) | inside(high))
+    pick = lambda x, c: F.max(F.when(inside(x), F.col(c)))
+    each = hit.groupBy("column_name", "i", "at").agg(pick(low, "num").alias("a"), pick(high, "num").alias("b"), pick(low, "v").alias("v"))
+    mixed = F.when(low == high, F.col("a")).otherwise((high - F.col("at")) * F.col("a") + (F.col("at") - low) * F.col("b"))
+    listed = F.array_sort(F.collect_list(F.struct("i", mixed.alias("x"), "v")))
+    out = each.groupBy("column_name").agg(listed.alias("l"))
+    numbers = F.exists("l", lambda e: e["x"].isNotNull())
+    return out.select("column_name", F.when(numbers, F.transform("l", lambda e: e["x"])).alias("bounds"), F.when(~numbers, F.transform("l", lambda e: e["v"])).alias("text_bounds"))
+
+
 def profile_nulls(frac: Column, rows: Column) -> Column:
     return F.struct(F.when(frac <= 0, 0.0).otherwise(frac * 100).alias("null_pct"), F.when(frac <= 0, 0).otherwise(F.round(frac * rows)).cast("long").alias("null_rows"))
 

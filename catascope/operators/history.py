@@ -76,7 +76,8 @@ def latest_at(rows: DataFrame, by: Sequence[str], at: Column, ts: str = "capture
 def as_of(probes: DataFrame, rows: DataFrame, by: Sequence[str], probe_ts: str, ts: str, values: Sequence[str]) -> DataFrame:
     """``probes`` with the ``values`` of the newest row not later than each probe (null if none).
 
-    Union and a running last value: one shuffle by series, no range join.
+    Union and a running last value: one shuffle by series, no range join. A series is one window: split ``by`` by
+    time ranges, with the last value carried over, where a single series outgrows a task.
     """
     left = probes.withColumns({"__ts": F.col(probe_ts), "__probe": F.lit(1), "__v": F.lit(None).cast(rows.select(F.struct(*values).alias("s")).schema["s"].dataType)})
     right = rows.select(*by, F.col(ts).alias("__ts"), F.lit(0).alias("__probe"), F.struct(*values).alias("__v"))

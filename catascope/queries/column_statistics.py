@@ -8,21 +8,21 @@ from catascope.adapters import table
 from catascope.operators import colstats as C
 
 QUERIES, ORACLES = {}, {}
-COLUMNS = ["l_quantity", "l_discount", "l_returnflag", "l_linestatus", "l_extendedprice", "l_linenumber", "tax"]
+COLUMNS = ["l_quantity", "l_discount", "l_returnflag", "l_linestatus", "l_extendedprice", "l_linenumber", "tax", "note"]
 
 
 def _lines(s, d):
     """lineitem with a nullable column and a physical position."""
-    return table(s, d, "lineitem").withColumns({"tax": F.when(F.col("l_tax") > 0.02, F.col("l_tax")), "pos": F.col("l_orderkey") * 8 + F.col("l_linenumber")})
+    return table(s, d, "lineitem").withColumns({"tax": F.when(F.col("l_tax") > 0.02, F.col("l_tax")), "pos": F.col("l_orderkey") * 8 + F.col("l_linenumber"), "note": F.concat(F.lit("n"), F.col("l_partkey").cast("string"))})
 
 
 def _sql_column(c: str) -> str:
-    num = "CAST(NULL AS DOUBLE)" if c in ("l_returnflag", "l_linestatus") else f"CAST({c} AS DOUBLE)"
+    num = "CAST(NULL AS DOUBLE)" if c in ("l_returnflag", "l_linestatus", "note") else f"CAST({c} AS DOUBLE)"
     return f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS v, {num} AS num, CAST(pos AS DOUBLE) AS pos FROM l"
 
 
 CUTS = ", ".join(str(i / 10) for i in range(11))
-STATS = f"""WITH l AS (SELECT *, CASE WHEN l_tax > 0.02 THEN l_tax END AS tax, l_orderkey * 8 + l_linenumber AS pos FROM lineitem),
+STATS = f"""WITH l AS (SELECT *, CASE WHEN l_tax > 0.02 THEN l_tax END AS tax, l_orderkey * 8 + l_linenumber AS pos, 'n' || l_partkey AS note FROM lineitem),
 u AS ({" UNION ALL ".join(map(_sql_column, COLUMNS))}),
 c AS (SELECT column_name, v, num, count(*) AS cnt FROM u GROUP BY ALL),
 w AS (SELECT column_name, sum(cnt) AS reltuples, sum(cnt) FILTER (v IS NOT NULL) AS n, count(*) FILTER (v IS NOT NULL) AS d FROM c GROUP BY 1),
@@ -30,10 +30,10 @@ r AS (SELECT *, sum(cnt) OVER (PARTITION BY column_name ORDER BY num, v ROWS UNB
  row_number() OVER (PARTITION BY column_name ORDER BY cnt DESC, num, v) AS place FROM c WHERE v IS NOT NULL),
 x AS (SELECT u.*, r.r, r.place FROM u JOIN r ON u.column_name = r.column_name AND u.v = r.v),
 s AS (SELECT column_name, corr(CAST(r AS DOUBLE), pos) AS correlation,
- quantile_cont(num, [{CUTS}]) FILTER (place > 10) AS bounds FROM x GROUP BY 1),
+ quantile_cont(num, [{CUTS}]) FILTER (place > 10) AS bounds, list(v ORDER BY v) FILTER (place > 10 AND num IS NULL) AS vs FROM x GROUP BY 1),
 t AS (SELECT r.column_name, list(v ORDER BY place) AS mcv, list(cnt / reltuples ORDER BY place) AS mcf FROM r JOIN w USING (column_name) WHERE place <= 10 GROUP BY 1),
 stat AS (SELECT w.column_name, CAST(reltuples AS BIGINT) AS reltuples, (reltuples - n) / reltuples AS null_frac,
- CASE WHEN d > 0.1 * reltuples THEN -d / reltuples ELSE CAST(d AS DOUBLE) END AS n_distinct, mcv, mcf, bounds, round(correlation, 6) AS correlation
+ CASE WHEN d > 0.1 * reltuples THEN -d / reltuples ELSE CAST(d AS DOUBLE) END AS n_distinct, mcv, mcf, bounds, vs, round(correlation, 6) AS correlation
  FROM w JOIN s USING (column_name) JOIN t USING (column_name))"""
 
 
@@ -42,6 +42,7 @@ def c1(s, d):
         "column_name", "reltuples", "null_frac", "n_distinct", F.array_join("mcv", ",").alias("mcv"),
         F.array_join(F.transform("mcf", lambda x: F.format_string("%.6f", x)), ",").alias("mcf"),
         F.element_at("bounds", 1).alias("b0"), F.element_at("bounds", 6).alias("b5"), F.element_at("bounds", 11).alias("b10"), F.round("correlation", 6).alias("correlation"),
+        F.concat_ws(" ", *[F.element_at("text_bounds", i) for i in (1, 6, 11)]).alias("texts"),
     )
 
 
@@ -69,7 +70,7 @@ def c1_approximate(s, d):
 
 QUERIES |= {"c1_column_stats": c1, "c1_column_stats_approximate": c1_approximate, "c2_c11_profile_columns": c11, "c12_not_null_precheck": c12, "c12_not_null_estimate": c12_estimate}
 ORACLES |= {
-    "c1_column_stats": f"{STATS} SELECT column_name, reltuples, null_frac, n_distinct, array_to_string(mcv, ',') AS mcv, array_to_string(list_transform(mcf, lambda x: printf('%.6f', x)), ',') AS mcf, bounds[1] AS b0, bounds[6] AS b5, bounds[11] AS b10, correlation FROM stat",
+    "c1_column_stats": f"{STATS} SELECT column_name, reltuples, null_frac, n_distinct, array_to_string(mcv, ',') AS mcv, array_to_string(list_transform(mcf, lambda x: printf('%.6f', x)), ',') AS mcf, bounds[1] AS b0, bounds[6] AS b5, bounds[11] AS b10, correlation, concat_ws(' ', vs[1], vs[1 + CAST(floor((len(vs) - 1) * 0.5) AS INT)], vs[len(vs)]) AS texts FROM stat",
     "c1_column_stats_approximate": f"{STATS} SELECT column_name, reltuples, null_frac FROM stat",
     "c12_not_null_precheck": "SELECT * FROM (SELECT 'tax' AS column_name, count(*) FILTER (NOT (l_tax > 0.02)) AS n_nulls, count(*) FILTER (NOT (l_tax > 0.02)) > 0 AS blocked FROM lineitem UNION ALL SELECT 'l_quantity', count(*) FILTER (l_quantity IS NULL), count(*) FILTER (l_quantity IS NULL) > 0 FROM lineitem UNION ALL SELECT 'l_shipdate', count(*) FILTER (l_shipdate IS NULL), count(*) FILTER (l_shipdate IS NULL) > 0 FROM lineitem)",
     "c12_not_null_estimate": f"{STATS} SELECT column_name, CAST(round(null_frac * reltuples) AS BIGINT) AS estimated_nulls FROM stat",

@@ -25,7 +25,10 @@ def read_captures(spark: SparkSession, path: str, files_per_trigger: int = 1000)
 
 
 def changed_only(captures: DataFrame) -> DataFrame:
-    """Captures whose hash differs from the last one of their series, kept as state (hash, time)."""
+    """Captures whose hash differs from the last one of their series, kept as state (hash, time).
+
+    A series' rows of one micro-batch are put in order together; ``files_per_trigger`` of the source bounds them.
+    """
 
     columns = captures.columns
 
@@ -58,7 +61,8 @@ def ingest(captures: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 def latest_activity(captures: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Per micro-batch, merge the newest row of every series into a new version of the table under ``path``.
 
-    Versions are folders named by batch, so a batch that is run again replaces its own version only.
+    Versions are folders named by batch, so a batch that is run again replaces its own version only. The version
+    before the last one is removed: a batch that runs again needs no older one than that.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
@@ -67,6 +71,8 @@ def latest_activity(captures: DataFrame, path: str, checkpoint: str) -> Streamin
         if batch_id > 0:
             new = latest(spark.read.schema(batch.schema).parquet(f"{path}/v{batch_id - 1}").unionByName(new), SERIES)
         new.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{batch_id - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return captures.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catascope.adapters import table
+from catascope.sources.scratch import shared_folder
 
 PARTS = {
     "base": """SELECT 'db' || (p_partkey % 3) AS database_id,
@@ -32,9 +33,11 @@ PARTS = {
 }
 SQL = ",\n".join(f"{k} AS ({v})" for k, v in PARTS.items())
 K = ["project_id", "database_id", "schema_hash"]
+#: Where the frames of a session and input were written, and their types.
+_WRITTEN: dict[tuple[str, str], dict[str, tuple]] = {}
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def derived(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The same rows as frames of the operators' shape."""
     part = table(spark, sf_dir, "part")
     frame = lambda name: spark.sql("WITH " + ", ".join(f"{k} AS ({v})" for k, v in PARTS.items()).replace("FROM part ", "FROM {part} ") + f" SELECT * FROM {name}", part=part)
@@ -55,5 +58,16 @@ def catalog(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             (F.col("k") * 1000).cast("double").alias("reltuples"), F.col("k").alias("size"),
         ),
     }
-    # every rule group reads the same small frames; kept in executors, recomputed from lineage if lost
-    return {k: v.cache() for k, v in frames.items()}
+    return frames
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The derived frames, written once per session and input: every query reads what it needs, nothing stays cached."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _WRITTEN:
+        path = shared_folder(spark, "catalog")
+        frames = derived(spark, sf_dir)
+        for name, frame in frames.items():
+            frame.write.parquet(f"{path}/{name}")
+        _WRITTEN[at] = {name: (f"{path}/{name}", frame.schema) for name, frame in frames.items()}
+    return {name: spark.read.schema(schema).parquet(path) for name, (path, schema) in _WRITTEN[at].items()}

@@ -68,7 +68,7 @@ FEATURES = (*FORMAT, *CONTEXT[1:])
 #: Number of values of each feature; their product bounds the table that the trees are fitted on.
 BINS = dict(zip(FEATURES, (len(KINDS), 5, 6, 3, 4, 3, 2, 2, 2, 2, 3), strict=True))
 FOLDS = 5
-BLOCK = 256  # elements that are appended one by one
+BLOCK = 128  # elements that one aggregate gathers
 
 
 @dataclass(frozen=True)
@@ -80,20 +80,34 @@ class BoostParams:
 
 
 def scan(items: Column, state: Column, step, element: str) -> Column:
-    """Array of what ``step(state, x)`` -> (new state, element) gives along ``items``; ``element``: its type.
+    """Array of what ``step(state, x)`` -> (new state, element) gives along ``items``; the state is an int.
 
-    ``array_append`` copies its array, so elements are gathered in blocks and the blocks are flattened.
+    An aggregate copies what it has gathered at every step, so it gathers at most ``BLOCK`` elements: a first
+    pass carries the state alone from block to block, a second fills each block from its first state.
     """
     none = F.array().cast(f"array<{element}>")
-    begin = F.struct(state.alias("s"), none.alias("block"), F.array().cast(f"array<array<{element}>>").alias("done"))
 
-    def one(acc: Column, x: Column) -> Column:
-        s, e = step(acc["s"], x)
-        full = F.size(acc["block"]) >= BLOCK
-        block = F.when(full, F.array(e)).otherwise(F.array_append(acc["block"], e))
-        return F.struct(s.alias("s"), block.alias("block"), F.when(full, F.array_append(acc["done"], acc["block"])).otherwise(acc["done"]).alias("done"))
+    def after(block: Column, first: Column) -> Column:
+        return F.aggregate(block, first, lambda s, x: step(s, x)[0].cast("int"))
 
-    return F.aggregate(items, begin, one, lambda a: F.flatten(F.array_append(a["done"], a["block"])))
+    def within(block: Column, first: Column) -> Column:
+        def one(acc: Column, x: Column) -> Column:
+            s, e = step(acc["s"], x)
+            return F.struct(s.cast("int").alias("s"), F.array_append(acc["out"], e).alias("out"))
+
+        return F.aggregate(block, F.struct(first.alias("s"), none.alias("out")), one, lambda a: a["out"])
+
+    def firsts(blocks: Column) -> Column:
+        begin = F.struct(state.cast("int").alias("s"), F.array().cast("array<int>").alias("at"))
+        carry = lambda acc, b: F.struct(after(b, acc["s"]).alias("s"), F.array_append(acc["at"], acc["s"]).alias("at"))
+        return F.aggregate(blocks, begin, carry, lambda a: a["at"])
+
+    def blocked(all_: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int"))
+        cut = F.transform(numbers, lambda k: F.slice(all_, k * BLOCK + 1, F.lit(BLOCK)))
+        return F.when(F.size(all_) > 0, bind(cut, lambda bs: F.flatten(F.zip_with(bs, firsts(bs), within)))).otherwise(none)
+
+    return bind(items, blocked)
 
 
 def _digits(m: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catascope.functions.names import canonical_type
+from catascope.operators.cycles import elementary_cycles
 from catascope.operators.storage import index_bloat, tuned
 
 K = ["project_id", "database_id", "schema_hash"]
@@ -94,34 +95,8 @@ def fk_type_mismatch(constraints: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def fk_cycles(edges: DataFrame, max_len: int = 10) -> DataFrame:
-    """Every elementary cycle of at most ``max_len`` tables once, as (K, path) from its smallest table.
-
-    Tables without an incoming or without an outgoing edge are peeled off first; what is left grows paths
-    from the smallest table of each possible cycle. The frames shrink with the graph, not the catalogs.
-    """
-    live = edges.cache()
-    n = live.count()
-    while n:
-        inner = live.join(live.select(*K, F.col("b").alias("a")).distinct(), [*K, "a"], "left_semi")
-        inner = inner.join(live.select(*K, F.col("a").alias("b")).distinct(), [*K, "b"], "left_semi").select(*K, "a", "b").cache()
-        m = inner.count()
-        if m == n:
-            inner.unpersist()
-            break
-        live.unpersist()
-        live, n = inner, m
-    paths = live.where("b >= a").select(*K, F.array("a").alias("path"), F.col("a").alias("start"), F.col("b").alias("at"))
-    found = paths.where("at = start").select(*K, "path")
-    step = live.select(*K, F.col("a").alias("at"), F.col("b").alias("next"))
-    for _ in range(max_len - 1):
-        grown = paths.where("at <> start").join(step, [*K, "at"]).where("next >= start")
-        grown = grown.select(*K, F.array_append("path", F.col("at")).alias("path"), "start", F.col("next").alias("at"))
-        grown = grown.where((F.col("at") == F.col("start")) | ~F.array_contains("path", F.col("at"))).cache()
-        if grown.isEmpty():
-            break
-        found = found.unionByName(grown.where("at = start").select(*K, "path"))
-        paths = grown
-    return found
+    """Every elementary cycle of at most ``max_len`` tables once, as (K, path) from its smallest table."""
+    return elementary_cycles(edges, max_len)
 
 
 def fk_orphans(tables: DataFrame, edges: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pkgutil
 
 
 def _modules():
-    """The query modules: op01 ... op10."""
+    """The query modules: op01, op02 and so on."""
     return [importlib.import_module(f"{__name__}.{m.name}") for m in pkgutil.iter_modules(__path__) if m.name.startswith("op")]
 
 

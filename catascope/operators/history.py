@@ -5,7 +5,7 @@ A stream is (project_id, database_id). Every operator works on all streams at on
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,8 +57,8 @@ def payload_hash(payload: Column, captured_at: Column, include_timestamp: bool =
 
 
 def collapse_unchanged(rows: DataFrame, by: Sequence[str], ts: str = "captured_at") -> DataFrame:
-    """Rows whose hash differs from the one just before in the same series (A, B, A keeps all three)."""
-    before = F.lag("content_hash").over(Window.partitionBy(*by).orderBy(ts))
+    """Rows whose hash differs from the one just before in the same series (A, B, A keeps all three); equal times follow by hash."""
+    before = F.lag("content_hash").over(Window.partitionBy(*by).orderBy(ts, "content_hash"))
     return rows.withColumn("__before", before).where(~F.col("content_hash").eqNullSafe(F.col("__before"))).drop("__before")
 
 
@@ -73,17 +73,29 @@ def latest_at(rows: DataFrame, by: Sequence[str], at: Column, ts: str = "capture
     return latest(rows.where(F.col(ts) <= at), by, ts)
 
 
-def as_of(probes: DataFrame, rows: DataFrame, by: Sequence[str], probe_ts: str, ts: str, values: Sequence[str]) -> DataFrame:
+def as_of(probes: DataFrame, rows: DataFrame, by: Sequence[str], probe_ts: str, ts: str, values: Sequence[str], slice_of: Callable[[Column], Column] | None = None) -> DataFrame:
     """``probes`` with the ``values`` of the newest row not later than each probe (null if none).
 
-    Union and a running last value: one shuffle by series, no range join. A series is one window: split ``by`` by
-    time ranges, with the last value carried over, where a single series outgrows a task.
+    No window holds a whole series: probes and rows are cut into time slices (days, or ``slice_of`` the time, which must
+    not fall as time grows), a running last value covers one slice, and what a slice ends with is carried to later
+    slices by a window over the ends of slices, one row each. Of rows with equal times, the greatest ``values`` count.
     """
-    left = probes.withColumns({"__ts": F.col(probe_ts), "__probe": F.lit(1), "__v": F.lit(None).cast(rows.select(F.struct(*values).alias("s")).schema["s"].dataType)})
-    right = rows.select(*by, F.col(ts).alias("__ts"), F.lit(0).alias("__probe"), F.struct(*values).alias("__v"))
-    run = Window.partitionBy(*by).orderBy("__ts", "__probe").rowsBetween(Window.unboundedPreceding, 0)
-    seen = left.unionByName(right, allowMissingColumns=True).withColumn("__v", F.last("__v", ignorenulls=True).over(run))
-    return seen.where("__probe = 1").select(*probes.columns, *[F.col(f"__v.{v}").alias(v) for v in values])
+    cut = slice_of or (lambda c: F.to_date(c) if probes.schema[probe_ts].dataType.typeName().startswith("timestamp") else F.floor(c / 86400))
+    kind = rows.select(F.struct(*values).alias("s")).schema["s"].dataType
+    left = probes.withColumns({"__ts": F.col(probe_ts), "__probe": F.lit(1), "__v": F.lit(None).cast(kind)})
+    right = rows.select(*by, F.col(ts).alias("__ts"), F.lit(0).alias("__probe"), F.struct(*values).alias("__v")).where("__ts is not null")
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("__slice", cut(F.col("__ts")))
+    run = Window.partitionBy(*by, "__slice").orderBy("__ts", "__probe", "__v").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("__v", F.last("__v", ignorenulls=True).over(run)).where("__probe = 1")
+    # every slice with its last row, if any; then the last of the slices before
+    ends = both.groupBy(*by, "__slice").agg(F.max(F.when(F.col("__probe") == 0, F.struct("__ts", "__v"))).alias("__end"))
+    earlier = F.last("__end", ignorenulls=True).over(Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.withColumn("__carry", earlier["__v"]).select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__slice").alias("__at"), "__carry")
+    same = F.col("__slice").eqNullSafe(F.col("__at"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    found = F.coalesce("__v", "__carry")
+    return seen.join(carried, same, "left").select(*probes.columns, *[found[v].alias(v) for v in values])
 
 
 def by_hash(rows: DataFrame, project_id: str, database_id: str, value: str) -> DataFrame:

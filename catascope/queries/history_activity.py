@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from catascope.adapters import CAPTURES, COLUMNS, LATEST, captures, catalog_columns, latest_activity
 from catascope.operators import activity as A
 from catascope.operators import history as H
 from catascope.operators import storage as S
+from catascope.operators.stored_history import StoredHistory
 from catascope.queries._catalog import catalog
 from catascope.queries.storage_audit import BLOAT
+from catascope.sources.scratch import shared_folder
 
 QUERIES, ORACLES = {}, {}
 MID = "2024-01-15 00:00:00"
@@ -87,6 +91,31 @@ def h8(s, d):
     return kept.groupBy("kind").agg(F.count(F.lit(1)).alias("kept")).join(F.broadcast(gone.agg(F.count(F.lit(1)).alias("deleted"))))  # one row
 
 
+def _stored(s, d):
+    """All captures put in three batches by time, the second of them twice; half are schema captures."""
+    rows = captures(s, d).withColumns({"kind": F.when(F.col("event_id") % 2 == 0, "schema").otherwise("activity_stats"), "payload": F.col("event_id").cast("string")})
+    store, out = StoredHistory(s, shared_folder(s, "stored")), []
+    spans = [("1970-01-01", "2024-01-10"), ("2024-01-10", MID), ("2024-01-10", MID), (MID, "2100-01-01")]
+    for batch, (start, stop) in zip((1, 2, 2, 3), spans, strict=True):
+        out.append(store.put(rows.where((F.col("captured_at") >= ts(start)) & (F.col("captured_at") < ts(stop))), batch))
+    return store, out[0].unionByName(out[2]).unionByName(out[3])
+
+
+PUT = "put AS (SELECT project_id, database_id, CASE WHEN event_id % 2 = 0 THEN 'schema' ELSE 'activity_stats' END AS kind, node_label, captured_at, content_hash, lag(content_hash) OVER (PARTITION BY database_id, event_id % 2, node_label ORDER BY captured_at, content_hash) AS b FROM captures)"
+
+
+@query("h3_put_history", f"WITH {CAPTURES}, {PUT} SELECT project_id, database_id, kind, node_label, captured_at, content_hash, CASE WHEN content_hash IS NOT DISTINCT FROM b THEN 'deduped' ELSE 'inserted' END AS outcome FROM put")
+def h3_put(s, d):
+    return _stored(s, d)[1]
+
+
+@query("h8_delete_stored", f"WITH {CAPTURES}, {PUT}, kept AS (SELECT * FROM put WHERE content_hash IS DISTINCT FROM b) SELECT kind, node_label, count(*) AS n, (SELECT count(*) FROM kept WHERE kind = 'schema' AND captured_at < TIMESTAMP '2024-01-12') AS deleted FROM kept WHERE NOT (kind = 'schema' AND captured_at < TIMESTAMP '2024-01-12') GROUP BY 1, 2")
+def h8_stored(s, d):
+    store, _ = _stored(s, d)
+    gone = store.delete_before(dt.datetime(2024, 1, 12))
+    return store.read().groupBy("kind", "node_label").agg(F.count(F.lit(1)).alias("n")).withColumn("deleted", F.lit(gone).cast("long"))
+
+
 @query("h9_list_keys", f"WITH {CAPTURES} SELECT DISTINCT project_id, database_id FROM captures")
 def h9(s, d):
     return H.list_keys(captures(s, d))

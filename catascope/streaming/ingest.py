@@ -1,21 +1,19 @@
-"""Structured Streaming over capture files: change-only ingest and running latest rows.
-
-Late data: a capture that is not newer than the last one kept of its series is dropped, whatever its hash.
-"""
+"""Structured Streaming over capture files: change-only ingest with keyed state, and running latest rows in buckets."""
 
 from __future__ import annotations
 
+import datetime as dt
 import sys
 from collections.abc import Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from catascope import schemas
-from catascope.operators.history import latest
+from catascope.sources.manifest import Manifest
 
 SERIES = ["project_id", "database_id", "kind", "node_label"]
 
@@ -24,57 +22,105 @@ def read_captures(spark: SparkSession, path: str, files_per_trigger: int = 1000)
     return spark.readStream.schema(schemas.CAPTURE).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
-def changed_only(captures: DataFrame) -> DataFrame:
-    """Captures whose hash differs from the last one of their series, kept as state (hash, time).
+class ChangedOnly(StatefulProcessor):
+    """Captures of one series in order of time, and those of them that differ from the one before.
 
-    A series' rows of one micro-batch are put in order together; ``files_per_trigger`` of the source bounds them.
+    State: the last hash and time that were settled, and the captures that wait for the watermark, by time and hash. A
+    timer at a capture's time settles all that wait up to the watermark, in order. A capture that is not newer than what
+    is settled comes too late and is dropped, whatever its hash. What waits is bounded by the watermark's delay.
     """
 
-    columns = captures.columns
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "content_hash string, micros long")
+        self.waiting = handle.getMapState("waiting", "micros long, content_hash string", "payload string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        settled = self.last.get()[1] if self.last.exists() else None
+        for row in rows:
+            at = micros(row["captured_at"])
+            if settled is None or at > settled:
+                self.waiting.updateValue((at, row["content_hash"]), (row["payload"],))
+                self.handle.registerTimer(at // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        from pyspark.sql import Row
+
+        # all that the watermark covers, so the timers that follow find nothing left
+        until = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
+        due = sorted((k[0], k[1] or "", k[1], v[0]) for k, v in self.waiting.iterator() if k[0] < until)
+        last = self.last.get()[0] if self.last.exists() else None
+        out, first = [], not self.last.exists()
+        for at, _, value, payload in due:
+            if first or value != last:
+                out.append(Row(**dict(zip(SERIES, key, strict=True)), content_hash=value, captured_at=moment(at), payload=payload))
+            last, first = value, False
+            self.waiting.removeKey((at, value))
+        if due:
+            self.last.update((last, due[-1][0]))
+        return iter(out)
+
+    def close(self) -> None:
+        pass
+
 
-    def run(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
-        import pandas as pd
+def micros(at: dt.datetime) -> int:
+    """Microseconds since 1970 of a time as Spark hands it over (local if it has no zone)."""
+    at = at.astimezone(dt.timezone.utc)
+    return (at - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) // dt.timedelta(microseconds=1)
 
-        last_hash, last_at = state.get if state.exists else (None, None)
-        rows = pd.concat(list(batches)).sort_values("captured_at", kind="stable")
-        keep = []
-        for i, (value, at) in enumerate(zip(rows["content_hash"], rows["captured_at"], strict=True)):
-            at = at.value // 1000
-            if last_at is not None and at <= last_at:
-                continue
-            if value != last_hash:
-                keep.append(i)
-            last_hash, last_at = value, at
-        state.update((last_hash, last_at))
-        yield rows.iloc[keep][columns]
 
-    keyed = captures.withColumn("node_label", F.coalesce("node_label", F.lit("")))
-    return keyed.groupBy(*SERIES).applyInPandasWithState(run, schemas.CAPTURE, "content_hash string, at long", "append", GroupStateTimeout.NoTimeout)
+def moment(at: int) -> dt.datetime:
+    return (dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(microseconds=at)).astimezone().replace(tzinfo=None)
 
 
-def ingest(captures: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append changed captures to the history table until the source is exhausted."""
-    out = changed_only(captures).writeStream.format("parquet").partitionBy("project_id", "database_id", "kind")
+def changed_only(captures: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """Captures that differ from the one before in their series, in order of time, as late as ``delay`` behind the newest."""
+    captures.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    keyed = captures.withColumn("node_label", F.coalesce("node_label", F.lit(""))).withWatermark("captured_at", delay)
+    return keyed.groupBy(*SERIES).transformWithState(ChangedOnly(), schemas.CAPTURE, "append", "eventTime")
+
+
+def ingest(captures: DataFrame, path: str, checkpoint: str, delay: str = "0 seconds") -> StreamingQuery:
+    """Append changed captures to the history table until the source is exhausted.
+
+    What is not older than the watermark waits in the state, the newest capture of all at least. A backfill that is to be
+    settled whole ends with a later capture of another series.
+    """
+    out = changed_only(captures, delay).writeStream.format("parquet").partitionBy("project_id", "database_id", "kind")
     return out.option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start()
 
 
-def latest_activity(captures: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Per micro-batch, merge the newest row of every series into a new version of the table under ``path``.
+def latest_activity(captures: DataFrame, path: str, checkpoint: str, buckets: int = 32) -> StreamingQuery:
+    """Keep the newest row of every series under ``path``, dealt to ``buckets`` by series; ``read_latest`` reads it.
 
-    Versions are folders named by batch, so a batch that is run again replaces its own version only. The version
-    before the last one is removed: a batch that runs again needs no older one than that.
+    A micro-batch rewrites the buckets that it touches and commits a new list of buckets; its number is part of the
+    list, so a batch that runs again changes nothing. Rows of equal time count by hash. The version before is kept for
+    readers that hold it; older ones are removed.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = latest(batch, SERIES)
-        if batch_id > 0:
-            new = latest(spark.read.schema(batch.schema).parquet(f"{path}/v{batch_id - 1}").unionByName(new), SERIES)
-        new.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{batch_id - 2}")
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        table = Manifest(batch.sparkSession, path)
+        version, content = table.read()
+        if batch_id <= content.get("last", -1):
+            return
+        dealt = lambda df: df.withColumn("bucket", F.pmod(F.xxhash64(*SERIES), F.lit(buckets)).cast("int"))
+        touched = [str(r["bucket"]) for r in dealt(batch).select("bucket").distinct().collect()]  # at most ``buckets``
+        both = dealt(table.load(content, batch.schema, touched).unionByName(batch))
+        newest = both.groupBy("bucket", *SERIES).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in SERIES]), F.struct("captured_at", "content_hash")).alias("r"))
+        folder = table.folder(f"v{version + 1}")
+        newest.select("bucket", *SERIES, "r.*").repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/{folder}")
+        table.commit(version + 1, {"last": batch_id, "parts": content["parts"] | {b: {"folder": f"{folder}/bucket={b}"} for b in touched}})
+        table.clean()
 
     return captures.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest row of every series, as of the last committed micro-batch."""
+    table = Manifest(spark, path)
+    return table.load(table.read()[1], schemas.CAPTURE)
+
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package

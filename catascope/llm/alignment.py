@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from catascope.llm.common import by_value, stored
 
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 LANE = 512
 CACHE = 600_000
 #: The byte-level tokenizer's word pattern (fixed by its file); l, n and s stand for letters, numbers and spaces.

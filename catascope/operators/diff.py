@@ -1,11 +1,14 @@
 """Differences between catalog versions, for every pair of versions of every stream at once.
 
-``pairs`` (stream, from_hash, to_hash) names what to compare; each object grain is one full outer join.
+``pairs`` (stream, from_hash, to_hash) names what to compare; each object grain is one full outer join. For all versions
+of all streams, one after the other, pass a ``Timeline`` instead: each grain becomes validity intervals, made in one
+pass over the rows of all versions, and changes are where intervals begin and end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,10 +17,58 @@ STREAM = ["project_id", "database_id"]
 PAIR = [*STREAM, "from_hash", "to_hash"]
 
 
+@dataclass(frozen=True)
+class Timeline:
+    """Versions of streams in order: (stream, seq from 1, content_hash, from_hash: the one before, last: their number)."""
+
+    versions: DataFrame
+
+    @classmethod
+    def of(cls, versions: DataFrame, ts: str = "captured_at") -> Timeline:
+        """From (stream, content_hash, ``ts``); equal times follow by hash, a hash that comes again is a version of its own."""
+        order = Window.partitionBy(*STREAM).orderBy(ts, "content_hash")
+        rows = versions.select(*STREAM, "content_hash", F.row_number().over(order).alias("seq"), F.lag("content_hash").over(order).alias("from_hash"), F.count(F.lit(1)).over(Window.partitionBy(*STREAM)).alias("last"))
+        return cls(rows)
+
+    def pairs(self) -> DataFrame:
+        return self.versions.where("seq > 1").select(*STREAM, "from_hash", F.col("content_hash").alias("to_hash"))
+
+
+def intervals(rows: DataFrame, timeline: Timeline, key: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """(stream, key, start, stop, body): every stretch of versions in which an object stays the same, ``stop`` exclusive.
+
+    ``key`` identifies a row within its version. Each version's rows are read once; a window holds one object.
+    """
+    body = F.struct(*[F.col(v) for v in values]) if values else F.struct(F.lit(1).alias("one"))
+    at = timeline.versions.select(*STREAM, "seq", "content_hash").join(rows.withColumnRenamed("schema_hash", "content_hash"), [*STREAM, "content_hash"]).select(*STREAM, *key, "seq", body.alias("body"))
+    order = Window.partitionBy(*STREAM, *key).orderBy("seq")
+    goes_on = (F.lag("seq").over(order) == F.col("seq") - 1) & F.lag("body").over(order).eqNullSafe(F.col("body"))
+    runs = at.withColumn("new", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("run", F.sum("new").over(order))
+    return runs.groupBy(*STREAM, *key, "run").agg(F.min("seq").alias("start"), (F.max("seq") + 1).alias("stop"), F.first("body").alias("body")).drop("run")
+
+
+def version_at(spans: DataFrame, seq: int) -> DataFrame:
+    """The objects of one version, by number, from their intervals."""
+    return spans.where((F.col("start") <= seq) & (F.col("stop") > seq))
+
+
+def _interval_sides(spans: DataFrame, timeline: Timeline, key: Sequence[str]) -> DataFrame:
+    """(pair, key, old, new) of every object at every version where it appears, changes or goes."""
+    order = Window.partitionBy(*STREAM, *key).orderBy("start")
+    before = F.lag("stop").over(order) == F.col("start")
+    begins = F.struct(F.col("start").alias("seq"), F.when(before, F.lag("body").over(order)).alias("old"), F.col("body").alias("new"))
+    kind = spans.schema["body"].dataType
+    ends = F.when(~F.coalesce(F.lead("start").over(order) == F.col("stop"), F.lit(False)), F.struct(F.col("stop").alias("seq"), F.col("body").alias("old"), F.lit(None).cast(kind).alias("new")))
+    both = spans.select(*STREAM, *key, begins.alias("begins"), ends.alias("ends"))
+    events = both.select(*STREAM, *key, F.explode(F.array_compact(F.array("begins", "ends"))).alias("e")).select(*STREAM, *key, "e.*")
+    # the first version has none before it, the last none after it
+    at = timeline.versions.where("seq > 1").select(*STREAM, "seq", "from_hash", F.col("content_hash").alias("to_hash"))
+    return events.join(at, [*STREAM, "seq"]).select(*PAIR, *key, "old", "new")
+
+
 def consecutive_pairs(versions: DataFrame, ts: str = "captured_at") -> DataFrame:
     """Each version with the one before it in its stream."""
-    before = F.lag("content_hash").over(Window.partitionBy(*STREAM).orderBy(ts))
-    return versions.select(*STREAM, before.alias("from_hash"), F.col("content_hash").alias("to_hash")).where("from_hash is not null")
+    return Timeline.of(versions, ts).pairs()
 
 
 def choose_pair(versions: DataFrame, from_hash: str | None, current: DataFrame) -> DataFrame:
@@ -27,8 +78,13 @@ def choose_pair(versions: DataFrame, from_hash: str | None, current: DataFrame)
     return start.join(current.select(*STREAM, F.col("content_hash").alias("to_hash")), STREAM)
 
 
-def _sides(rows: DataFrame, pairs: DataFrame, key: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Full outer join of both versions' rows: key, struct ``old``, struct ``new`` (null where absent)."""
+def _sides(rows: DataFrame, pairs: DataFrame | Timeline, key: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """(pair, key, struct ``old``, struct ``new``), null where absent: a full outer join of both versions' rows.
+
+    For a timeline, from intervals, and only what differs.
+    """
+    if isinstance(pairs, Timeline):
+        return _interval_sides(intervals(rows, pairs, key, values), pairs, key)
     body = F.struct(*[F.col(v) for v in values]) if values else F.struct(F.lit(1).alias("one"))
     old = pairs.join(rows.withColumnRenamed("schema_hash", "from_hash"), [*STREAM, "from_hash"]).select(*PAIR, *key, body.alias("old"))
     new = pairs.join(rows.withColumnRenamed("schema_hash", "to_hash"), [*STREAM, "to_hash"]).select(*PAIR, *key, body.alias("new"))
@@ -39,7 +95,7 @@ def _change(old: Column, new: Column) -> Column:
     return F.when(old.isNull(), "added").when(new.isNull(), "removed").otherwise("modified")
 
 
-def column_details(columns: DataFrame, pairs: DataFrame) -> DataFrame:
+def column_details(columns: DataFrame, pairs: DataFrame | Timeline) -> DataFrame:
     """(pair, table, column, detail): added, removed, type, nullability, default, comment."""
     key = ["table_schema", "table_name", "column_name"]
     both = _sides(columns, pairs, key, ["type_name", "nullable", "default", "comment"])
@@ -54,13 +110,13 @@ def column_details(columns: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select(*PAIR, *key, each)
 
 
-def member_details(rows: DataFrame, pairs: DataFrame, kind: str, name: str = "name") -> DataFrame:
+def member_details(rows: DataFrame, pairs: DataFrame | Timeline, kind: str, name: str = "name") -> DataFrame:
     """Constraint or index names added and removed; changed definitions do not count."""
     both = _sides(rows, pairs, ["table_schema", "table_name", name], []).where("old is null or new is null")
     return both.select(*PAIR, "table_schema", "table_name", F.col(name).alias("object"), F.concat_ws(" ", F.lit(kind), _change(F.col("old"), F.col("new"))).alias("detail"))
 
 
-def table_details(tables: DataFrame, pairs: DataFrame) -> DataFrame:
+def table_details(tables: DataFrame, pairs: DataFrame | Timeline) -> DataFrame:
     both = _sides(tables, pairs, ["table_schema", "table_name"], ["comment", "rls_enabled"]).where("old is not null and new is not null")
     o, n = F.col("old"), F.col("new")
     each = F.array_compact(F.array(
@@ -70,19 +126,20 @@ def table_details(tables: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select(*PAIR, "table_schema", "table_name", F.explode(each).alias("detail"))
 
 
-def diff_tables(tables: DataFrame, columns: DataFrame, pairs: DataFrame, constraints: DataFrame | None = None, indexes: DataFrame | None = None) -> DataFrame:
+def diff_tables(tables: DataFrame, columns: DataFrame, pairs: DataFrame | Timeline, constraints: DataFrame | None = None, indexes: DataFrame | None = None) -> DataFrame:
     """(pair, table, change, n_details): added (with its columns), removed, or modified where anything differs."""
-    presence = _sides(tables, pairs, ["table_schema", "table_name"], [])
+    key = ["table_schema", "table_name"]
+    came = _sides(tables, pairs, key, []).where("old is null or new is null").withColumn("change", _change(F.col("old"), F.col("new")))
     details = column_details(columns, pairs).select(*PAIR, "table_schema", "table_name", "detail").unionByName(table_details(tables, pairs))
     for rows, kind in ((constraints, "constraint"), (indexes, "index")):
         if rows is not None:
             details = details.unionByName(member_details(rows, pairs, kind).select(*PAIR, "table_schema", "table_name", "detail"))
     counts = details.groupBy(*PAIR, "table_schema", "table_name").agg(F.count(F.lit(1)).alias("n_details"))
-    out = presence.join(counts, [*PAIR, "table_schema", "table_name"], "left").withColumn("change", _change(F.col("old"), F.col("new")))
-    return out.where("change <> 'modified' or n_details > 0").select(*PAIR, F.lit("table").alias("kind"), F.concat_ws(".", "table_schema", "table_name").alias("object"), "change", F.coalesce("n_details", F.lit(0)).alias("n_details"))
+    out = came.join(counts, [*PAIR, *key], "full_outer").withColumn("change", F.coalesce("change", F.lit("modified")))
+    return out.select(*PAIR, F.lit("table").alias("kind"), F.concat_ws(".", *key).alias("object"), "change", F.coalesce("n_details", F.lit(0)).alias("n_details"))
 
 
-def diff_objects(rows: DataFrame, pairs: DataFrame, kind: str, key: Sequence[str], compared: Sequence[str]) -> DataFrame:
+def diff_objects(rows: DataFrame, pairs: DataFrame | Timeline, kind: str, key: Sequence[str], compared: Sequence[str]) -> DataFrame:
     """Views, functions, enums, domains, composites, extensions: added, removed, or any compared field changed."""
     both = _sides(rows, pairs, key, compared)
     differs = F.col("old").isNull() | F.col("new").isNull() | ~F.col("old").eqNullSafe(F.col("new"))

@@ -28,8 +28,7 @@ TYPE_WIDTHS = {
 }
 TYPE_ALIASES = {
     "int2": "smallint", "int4": "integer", "int": "integer", "int8": "bigint", "float4": "real", "float8": "double precision",
-    "bool": "boolean", "varchar": "character varying", "timestamptz": "timestamp with time zone", "timestamp": "timestamp without time zone",
-    "decimal": "numeric",
+    "bool": "boolean", "timestamptz": "timestamp with time zone", "timestamp": "timestamp without time zone",
 }
 
 

@@ -54,6 +54,37 @@ def duplicate_indexes(indexes: DataFrame) -> DataFrame:
     return _finding(pairs, "indexes/duplicate", severity, F.concat_ws(",", "name_a", "name_b"), F.coalesce(F.concat(F.lit("drop "), drop), F.lit("both back constraints")))
 
 
+def duplicate_index_classes(indexes: DataFrame) -> DataFrame:
+    """One finding per index that another of its class makes superfluous; as many rows as indexes, however many are alike.
+
+    The class keeps a unique index before others, then one that backs a constraint, then the first. Every other member
+    forms a pair with it; the severity and the advice are those of that pair in ``duplicate_indexes``.
+    """
+    same = [*TABLE, "columns", "index_type", "include_columns", "predicate"]
+    rows = indexes.where("not is_primary").select(*TABLE, "name", "pos", "columns", "index_type", "include_columns", F.coalesce("predicate", F.lit("")).alias("predicate"), "is_unique", "backs_constraint")
+    best = F.max_by(F.struct("name", "pos", "is_unique", "backs_constraint"), F.struct("is_unique", "backs_constraint", -F.col("pos"), "name"))
+    kept = rows.groupBy(*same).agg(best.alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    pairs = rows.join(kept, same).where("name <> keep.name or pos <> keep.pos")
+    alike = F.col("is_unique") == F.col("keep.is_unique")
+    both = F.col("backs_constraint") & F.col("keep.backs_constraint")
+    message = F.when(alike & both, "both back constraints").otherwise(F.concat(F.lit("drop "), "name"))
+    return _finding(pairs, "indexes/duplicate", F.when(alike & ~both, "error").otherwise("warning"), F.concat_ws(",", "name", "keep.name"), message)
+
+
+def redundant_index_classes(indexes: DataFrame) -> DataFrame:
+    """One finding per redundant index: the cover with the fewest columns (then by name), and how many there are.
+
+    Every index hands its proper prefixes to an aggregate by prefix, combined before the shuffle: linear in indexes
+    times columns, with no join of indexes that share a first column.
+    """
+    rows = indexes.where("index_type = 'btree' and predicate is null and not is_primary").select(*TABLE, "name", "columns", "is_unique")
+    sizes = F.when(F.size("columns") > 1, F.sequence(F.lit(1), F.size("columns") - 1))
+    prefixes = rows.withColumn("n", F.explode(sizes)).select(*TABLE, F.slice("columns", F.lit(1), F.col("n")).alias("columns"), F.struct(F.size("columns").alias("size"), "name").alias("cover"))
+    covers = prefixes.groupBy(*TABLE, "columns").agg(F.min("cover").alias("cover"), F.count(F.lit(1)).alias("n"))
+    out = rows.where("not is_unique").join(covers, [*TABLE, "columns"])
+    return _finding(out, "indexes/redundant", "warning", F.concat_ws(",", "name", "cover.name"), F.concat(F.lit("covered by "), F.col("n").cast("string")))
+
+
 def redundant_indexes(indexes: DataFrame) -> DataFrame:
     """Plain non-unique B-trees whose columns begin another plain B-tree's."""
     rows = indexes.where("index_type = 'btree' and predicate is null").select(*TABLE, "name", "columns", F.get("columns", F.lit(0)).alias("c0"), "is_unique", "is_primary")
@@ -145,8 +176,8 @@ def large_table_defaults(tables: DataFrame, stats: DataFrame, least: float = 1_0
     return _finding(rows, "vacuum/large_table_defaults", "info", F.lit(None).cast("string"), F.concat_ws("/", *[v.cast("string") for v in t.values()]))
 
 
-def audit(cat: dict[str, DataFrame], disabled: Sequence[str] = (), max_len: int = 10) -> DataFrame:
-    """All audits that are not disabled, as one frame."""
+def audit(cat: dict[str, DataFrame], disabled: Sequence[str] = (), max_len: int = 10, classes: bool = False) -> DataFrame:
+    """All audits that are not disabled, as one frame; with ``classes``, alike indexes by representative instead of all pairs."""
     t, c, k, i = cat["table"], cat["column"], cat["constraint"], cat["index"]
     edges = fk_edges(k)
 
@@ -155,7 +186,8 @@ def audit(cat: dict[str, DataFrame], disabled: Sequence[str] = (), max_len: int
         return _finding(rows, "fk/circular", "warning", F.lit(None).cast("string"), F.array_join("path", " -> "))
 
     parts = {
-        "indexes/duplicate": lambda: duplicate_indexes(i), "indexes/redundant": lambda: redundant_indexes(i), "indexes/too_many": lambda: too_many_indexes(i),
+        "indexes/duplicate": lambda: (duplicate_index_classes if classes else duplicate_indexes)(i),
+        "indexes/redundant": lambda: (redundant_index_classes if classes else redundant_indexes)(i), "indexes/too_many": lambda: too_many_indexes(i),
         "indexes/wide_columns": lambda: wide_columns(i, c), "indexes/bloated": lambda: bloated(i, c, cat["stat_index"]), "fk/type_mismatch": lambda: fk_type_mismatch(k, c),
         "fk/circular": circular, "fk/orphan": lambda: fk_orphans(t, edges), "pk/non_sequential": lambda: non_sequential_pk(k, c), "naming/bool_prefix": lambda: bool_prefix(c),
         "naming/reserved": lambda: reserved_names(t, c), "naming/id_mismatch": lambda: id_mismatch(k), "docs/no_comment": lambda: no_comment(t, c),

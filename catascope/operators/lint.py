@@ -38,6 +38,7 @@ class LintConfig:
     require_created_at: bool = True
     require_updated_at: bool = True
     max_partitions: int = 500
+    typed_bounds: bool = False
     min_severity: str = "warning"
     disabled: Sequence[str] = field(default_factory=tuple)
 
@@ -136,13 +137,6 @@ def _pattern(pattern: str, columns: Column) -> Column:
 
 def constraint_rules(constraints: DataFrame, indexes: DataFrame, config: LintConfig) -> DataFrame:
     fk = (F.col("kind") == "foreign_key") & (F.size("columns") > 0)
-    lead = indexes.select(*TABLE, F.get("columns", F.lit(0)).alias("c0"), F.col("columns").alias("ix"))
-    fks = constraints.where(fk)
-    bare = fks.withColumn("c0", F.get("columns", F.lit(0))).alias("f").join(
-        lead.alias("i"),
-        [F.col(f"f.{c}") == F.col(f"i.{c}") for c in [*TABLE, "c0"]] + [F.slice("i.ix", F.lit(1), F.size("f.columns")) == F.col("f.columns")],
-        "left_anti",
-    )
     unnamed = F.col("name").rlike("_(?:pkey|fkey|key|check|excl)$")
     rules = [
         ("naming/fk_pattern", "info", fk & (F.col("name") != _pattern(config.fk_pattern, F.col("columns"))), F.col("name")),
@@ -150,6 +144,14 @@ def constraint_rules(constraints: DataFrame, indexes: DataFrame, config: LintCon
     ]
     each = constraints.withColumn("column_name", F.array_join("columns", ","))
     out = _emit(each, rules, config, "column_name")
+    if "constraints/fk_has_index" in config.disabled:
+        return out
+    lead = indexes.select(*TABLE, F.get("columns", F.lit(0)).alias("c0"), F.col("columns").alias("ix"))
+    bare = constraints.where(fk).withColumn("c0", F.get("columns", F.lit(0))).alias("f").join(
+        lead.alias("i"),
+        [F.col(f"f.{c}") == F.col(f"i.{c}") for c in [*TABLE, "c0"]] + [F.slice("i.ix", F.lit(1), F.size("f.columns")) == F.col("f.columns")],
+        "left_anti",
+    )
     return out.unionByName(_emit(bare.withColumn("column_name", F.array_join("columns", ",")), [("constraints/fk_has_index", "error", F.lit(True), F.col("name"))], config, "column_name"))
 
 
@@ -164,22 +166,49 @@ def parse_bounds(bound: Column) -> Column:
     return F.struct(part(1).alias("lo"), part(2).alias("hi"))
 
 
+def range_breaks(bounds: DataFrame, typed: bool = False) -> DataFrame:
+    """(TABLE, kind, ends, starts): where the range partitions of a table leave a gap, or overlap.
+
+    As text, each range is compared with the next one by its start, and any difference counts as a gap. ``typed`` reads a
+    table's bounds as numbers if all are, else as times if all are, else as text, and sweeps them by their start with the
+    greatest end so far: a later start leaves a gap, an earlier one overlaps. Equal starts follow by end.
+    """
+    rows = bounds.where("b.lo is not null and b.hi is not null").select(*TABLE, "b.lo", "b.hi")
+    if not typed:
+        after = F.lead("lo").over(Window.partitionBy(*TABLE).orderBy("lo", "hi"))
+        return rows.withColumn("next", after).where("next is not null and hi <> next").select(*TABLE, F.lit("gap").alias("kind"), F.col("hi").alias("ends"), F.col("next").alias("starts"))
+    as_number = lambda c: F.expr(f"try_cast({c} as double)")
+    as_time = lambda c: F.unix_micros(F.expr(f"try_cast({c} as timestamp)")).cast("double")
+    every = lambda read: F.bool_and(read("lo").isNotNull() & read("hi").isNotNull())
+    kinds = rows.groupBy(*TABLE).agg(every(as_number).alias("numbers"), every(as_time).alias("times"))
+    value = lambda c: F.when(F.col("numbers"), as_number(c)).when(F.col("times"), as_time(c))
+    # texts have no number; null first, so each kind is ordered by what it has
+    point = lambda c: F.struct(value(c).alias("x"), F.when(~F.col("numbers") & ~F.col("times"), F.col(c)).alias("t"), F.col(c).alias("shown"))
+    order = Window.partitionBy(*TABLE).orderBy("lo", "hi")
+    placed = rows.join(kinds, TABLE).select(*TABLE, point("lo").alias("lo"), point("hi").alias("hi"))
+    swept = placed.withColumn("reach", F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))).where("reach is not null")
+    key = lambda c: F.struct(F.col(c)["x"], F.col(c)["t"])
+    kind = F.when(key("lo") > key("reach"), "gap").when(key("lo") < key("reach"), "overlap")
+    return swept.withColumn("kind", kind).where("kind is not null").select(*TABLE, "kind", F.col("reach.shown").alias("ends"), F.col("lo.shown").alias("starts"))
+
+
 def partition_rules(tables: DataFrame, children: DataFrame, settings: DataFrame, config: LintConfig) -> DataFrame:
+    """Rules of partitioned tables; one without any partition has none by default either, and counts for the settings."""
     parent = children.withColumnsRenamed({"parent_schema": "table_schema", "parent_name": "table_name"})
     counts = parent.groupBy(*TABLE).agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.upper("bound").contains("DEFAULT")).alias("default"))
-    parents = tables.where("partition_strategy is not null").join(counts, TABLE)
+    parents = tables.where("partition_strategy is not null").join(counts, TABLE, "left")
     whole = _emit(
         parents,
         [
             ("partition/too_many_children", "warning", F.col("n") > config.max_partitions, "many partitions"),
-            ("partition/no_default", "info", ~F.col("default"), "no default partition"),
+            ("partition/no_default", "info", ~F.coalesce("default", F.lit(False)), "no default partition"),
         ],
         config,
     )
     ranges = parent.join(tables.where("partition_strategy = 'range'").select(*TABLE), TABLE, "left_semi").withColumn("b", parse_bounds(F.col("bound")))
-    after = F.lead("b.lo").over(Window.partitionBy(*TABLE).orderBy("b.lo"))
-    gaps = ranges.where("b.lo is not null and b.hi is not null").withColumn("next", after).where("next is not null and b.hi <> next")
-    gap = _emit(gaps, [("partition/range_gaps", "warning", F.lit(True), F.concat_ws(" -> ", "b.hi", "next"))], config)
+    breaks = range_breaks(ranges, config.typed_bounds)
+    text = F.concat_ws(" -> ", "ends", "starts") if not config.typed_bounds else F.concat(F.col("kind"), F.lit(": "), F.col("ends"), F.lit(" -> "), F.col("starts"))
+    gap = _emit(breaks, [("partition/range_gaps", "warning", F.lit(True), text)], config)
     on = settings.where(F.col("name").isin(*GUCS)).select(*K, F.col("name").alias("guc"), "setting")
     keys = parents.select(*K).distinct().select(*K, F.explode(F.array(*[F.lit(g) for g in GUCS])).alias("guc"))
     off = keys.join(on, [*K, "guc"], "left").where("setting is not null and lower(setting) <> 'on'")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catascope.adapters import table
@@ -101,6 +102,38 @@ def l17(s, d):
     return L.partition_rules(tables, kids, settings, L.LintConfig(max_partitions=3)).select("database_id", "table_name", "rule", "severity")
 
 
+def _ranges(s, d):
+    """Partitioned tables from ``orders``: a customer's is split by order keys; every third has no partitions, some ranges are short or long."""
+    o = table(s, d, "orders").select("o_custkey", "o_orderkey", F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("next"))
+    key = [F.lit("p").alias("project_id"), F.concat(F.lit("db"), (F.col("o_custkey") % 5).cast("string")).alias("database_id"), F.lit("v1").alias("schema_hash")]
+    name = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    tables = o.select(*key, F.lit("public").alias("table_schema"), name.alias("table_name"), F.lit("range").alias("partition_strategy")).distinct()
+    k = F.col("o_orderkey")
+    stop = F.when(k % 10 == 0, F.col("next") - 1).when(k % 10 == 1, F.col("next") + 1).otherwise(F.col("next"))
+    bound = F.concat(F.lit("FOR VALUES FROM ('"), k.cast("string"), F.lit("') TO ('"), stop.cast("string"), F.lit("')"))
+    kids = o.where("o_custkey % 3 > 0 and next is not null").select(*key, F.lit("public").alias("parent_schema"), name.alias("parent_name"), F.lit("public").alias("child_schema"), F.concat_ws("_", name, k).alias("child_name"), bound.alias("bound"))
+    settings = tables.select("project_id", "database_id", "schema_hash").distinct().select("*", F.lit("enable_partition_pruning").alias("name"), F.when(F.col("database_id") == "db1", "off").otherwise("on").alias("setting"))
+    return tables, kids, settings
+
+
+def l18_typed(s, d):
+    """Gaps and overlaps of numbers, which text order would not see."""
+    found = L.partition_rules(*_ranges(s, d), L.LintConfig(typed_bounds=True, disabled=("partition/no_default", "partition/gucs")))
+    return found.select("database_id", "table_name", "rule", "message")
+
+
+def l19_l20(s, d):
+    found = L.partition_rules(*_ranges(s, d), L.LintConfig(disabled=("partition/range_gaps",)))
+    return found.select("database_id", "table_name", "rule", "message")
+
+
+QUERIES |= {"l18_typed_range_breaks": l18_typed, "l19_l20_childless_parents": l19_l20}
+RANGES = "o AS (SELECT o_custkey AS c, o_orderkey AS k, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nx FROM orders), r AS (SELECT *, CASE WHEN k % 10 = 0 THEN nx - 1 WHEN k % 10 = 1 THEN nx + 1 ELSE nx END AS hi FROM o WHERE c % 3 > 0 AND nx IS NOT NULL)"
+ORACLES |= {
+    "l18_typed_range_breaks": f"WITH {RANGES}, w AS (SELECT c, k, max(hi) OVER (PARTITION BY c ORDER BY k, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r) SELECT 'db' || (c % 5) AS database_id, 'c' || c AS table_name, 'partition/range_gaps' AS rule, CASE WHEN k > reach THEN 'gap' ELSE 'overlap' END || ': ' || reach || ' -> ' || k AS message FROM w WHERE k <> reach",
+    "l19_l20_childless_parents": "SELECT DISTINCT 'db' || (o_custkey % 5) AS database_id, 'c' || o_custkey AS table_name, 'partition/no_default' AS rule, 'no default partition' AS message FROM orders UNION ALL SELECT DISTINCT 'db1', '', 'partition/gucs', 'enable_partition_pruning' FROM orders WHERE o_custkey % 5 = 1",
+}
+
 QUERIES |= {"l17_partition_counts": l17, "l1_table_style": l1, "l22_l23_report_summary": l23, "l24_compact_report": l24}
 ORACLES |= {
     "l17_partition_counts": "WITH c AS (SELECT 'db' || (l_orderkey % 5) AS database_id, 'o' || l_orderkey AS table_name, count(*) AS n, bool_or(l_linenumber = 5) AS dflt FROM lineitem GROUP BY l_orderkey) SELECT database_id, table_name, 'partition/too_many_children' AS rule, 'warning' AS severity FROM c WHERE n > 3 UNION ALL SELECT database_id, table_name, 'partition/no_default', 'info' FROM c WHERE NOT dflt",

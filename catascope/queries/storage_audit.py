@@ -115,6 +115,16 @@ def a2(s, d):
     return A.redundant_indexes(_line_indexes(s, d)).select("database_id", "table_name", "object")
 
 
+@query("a1_duplicate_index_classes", f"WITH {LI}, k AS (SELECT database_id, table_name, n, count(*) AS m, arg_max({{'name': name, 'pos': pos, 'u': u, 'c': c}}, (u, c, -pos, name)) AS keep FROM li GROUP BY 1, 2, 3 HAVING count(*) > 1) SELECT li.database_id, li.table_name, li.name || ',' || keep.name AS object, CASE WHEN li.u = keep.u AND NOT (li.c AND keep.c) THEN 'error' ELSE 'warning' END AS severity, CASE WHEN li.u = keep.u AND li.c AND keep.c THEN 'both back constraints' ELSE 'drop ' || li.name END AS message FROM li JOIN k USING (database_id, table_name, n) WHERE li.name <> keep.name OR li.pos <> keep.pos")
+def a1_classes(s, d):
+    return A.duplicate_index_classes(_line_indexes(s, d)).select("database_id", "table_name", "object", "severity", "message")
+
+
+@query("a2_redundant_index_classes", f"WITH {LI} SELECT a.database_id, a.table_name, a.name || ',' || arg_min(b.name, (b.n, b.name)) AS object, 'covered by ' || count(*) AS message FROM li a JOIN li b ON a.database_id = b.database_id AND a.table_name = b.table_name AND a.n < b.n AND NOT a.u GROUP BY a.database_id, a.table_name, a.name, a.pos")
+def a2_classes(s, d):
+    return A.redundant_index_classes(_line_indexes(s, d)).select("database_id", "table_name", "object", "message")
+
+
 @query("a3_too_many_indexes", f"WITH {LI} SELECT database_id, table_name FROM li GROUP BY 1, 2 HAVING count(*) > 3")
 def a3(s, d):
     return A.too_many_indexes(_line_indexes(s, d), 3).select("database_id", "table_name")

@@ -35,10 +35,12 @@ def read_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where("plan is not null"), rows.where("plan is null").drop("plan", "planning_time", "execution_time")
 
 
-def flatten_plans(docs: DataFrame) -> DataFrame:
-    """(K, plan_id, path, parent_path, child_no, depth, parent_type, fields): a row per node, in document order.
+def parse_plans(docs: DataFrame) -> DataFrame:
+    """(K, plan_id, problem, path, parent_path, child_no, depth, parent_type, fields): a row per node, in document order.
 
-    A plan nests to any depth, which no column expression follows, so each document is parsed once in a task.
+    A plan nests to any depth, which no column expression follows, so each document is parsed once in a task. Numbers may
+    be written as texts. A document with any value that cannot be read as its field's type, a node that is no object or
+    children that are no list gives one row with its ``problem`` instead, and does not end the job.
     """
     keys, fields = [*K, "plan_id"], FIELDS
 
@@ -54,28 +56,67 @@ def flatten_plans(docs: DataFrame) -> DataFrame:
             v = node.get(key)
             if v is None:
                 return default
-            return v if kind.startswith("array") else str(v) if kind == "string" else float(v) if kind == "double" else int(v)
+            try:
+                if kind.startswith("array"):
+                    if not isinstance(v, list):
+                        raise TypeError
+                    return [None if x is None else str(x) for x in v]
+                if kind == "string":
+                    return str(v)
+                if isinstance(v, bool):
+                    raise TypeError
+                number = float(v)
+                if kind == "double":
+                    return number
+                if number != int(number) or abs(number) >= 1 << 63:
+                    raise ValueError
+                return int(v) if isinstance(v, int) else int(number)
+            except (TypeError, ValueError, OverflowError):
+                raise ValueError(f"{key}: {json.dumps(v)[:100]}") from None
+
+        def nodes(text: str) -> list[tuple]:
+            stack, rows = [(json.loads(text), (), None)], []
+            while stack:
+                node, path, above = stack.pop()
+                if not isinstance(node, dict):
+                    raise ValueError(f"node is no object: {json.dumps(node)[:100]}")
+                below = node.get("Plans") or []
+                if not isinstance(below, list):
+                    raise ValueError(f"Plans: {json.dumps(below)[:100]}")
+                rows.append((None, path, path[:-1] if path else None, path[-1] if path else None, len(path), above, *(value(node, *f) for f in fields.values())))
+                kind = node.get("Node Type")
+                stack += [(child, (*path, k), None if kind is None else str(kind)) for k, child in reversed(list(enumerate(below)))]
+            return rows
 
         for batch in batches:
             own, rows = [], []
             for i, plan in enumerate(batch.column(len(keys))):
-                stack = [(json.loads(plan.as_py()), (), None)]
-                while stack:
-                    node, path, above = stack.pop()
-                    own.append(i)
-                    rows.append((path, path[:-1] if path else None, path[-1] if path else None, len(path), above, *(value(node, *f) for f in fields.values())))
-                    below = list(enumerate(node.get("Plans") or []))
-                    stack += [(child, (*path, k), node.get("Node Type")) for k, child in reversed(below)]
-            columns = zip(*rows, strict=True) if rows else [()] * (len(places) + len(fields))
-            types = [*places.values(), *(kinds[t] for _, t, _ in fields.values())]
+                try:
+                    found = nodes(plan.as_py())
+                except (ValueError, RecursionError) as e:  # also JSON that does not parse
+                    found = [(str(e) or type(e).__name__, *[None] * (len(places) + len(fields)))]
+                own += [i] * len(found)
+                rows += found
+            columns = zip(*rows, strict=True) if rows else [()] * (1 + len(places) + len(fields))
+            types = [pa.string(), *places.values(), *(kinds[t] for _, t, _ in fields.values())]
             found = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([c.take(pa.array(own, pa.int64())) for c in batch.columns[:-1]] + found, names=[*keys, *places, *fields])
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(own, pa.int64())) for c in batch.columns[:-1]] + found, names=[*keys, "problem", *places, *fields])
 
     types = dict(docs.dtypes)
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "path array<int>, parent_path array<int>, child_no int, depth int, parent_type string", *(f"{c} {t}" for c, (_, t, _) in FIELDS.items())])
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "problem string, path array<int>, parent_path array<int>, child_no int, depth int, parent_type string", *(f"{c} {t}" for c, (_, t, _) in FIELDS.items())])
     return docs.select(*keys, "plan").mapInArrow(run, schema)
 
 
+def flatten_plans(docs: DataFrame) -> DataFrame:
+    """The nodes of all documents that can be read."""
+    return parse_plans(docs).where("problem is null").drop("problem")
+
+
+def unreadable_plans(docs: DataFrame) -> DataFrame:
+    """(K, plan_id, problem) of the documents that ``flatten_plans`` leaves out."""
+    return parse_plans(docs).where("problem is not null").select(*K, "plan_id", "problem")
+
+
 def summary(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Root of every plan, with the times of analysed plans."""
     roots = nodes.where("depth = 0").select(*K, "plan_id", "node_type", "total_cost", F.col("plan_rows").alias("estimated_rows"))
@@ -207,15 +248,29 @@ def suggest_indexes(nodes: DataFrame, indexes: DataFrame, scan_rows: float = 100
     return scans.unionByName(sorts).withColumn("impact", impact(F.col("plan_rows")))
 
 
+def with_query_suggestions(plan_rows: DataFrame, query_rows: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+    """Suggestions of plans and those of query filters (K, table, query_id, column_name) as one frame, plans first.
+
+    Plans and queries of one statement share their id. With ``columns`` (K, table, column_name, type_name) each
+    suggestion of a single column names the index method of the column's type; others take a B-tree.
+    """
+    queries = query_rows.select(*K, F.col("query_id").alias("plan_id"), "table_name", F.col("column_name").alias("columns"), F.lit(0.0).alias("plan_rows"), F.lit(2).alias("place"), F.lit(None).cast("string").alias("impact"))
+    both = plan_rows.select(*queries.columns).unionByName(queries)
+    if columns is None:
+        return both
+    types = columns.groupBy(*K, "table_name", F.col("column_name").alias("columns")).agg(F.min("type_name").alias("type_name"))
+    return both.join(types, [*K, "table_name", "columns"], "left").withColumn("method", F.coalesce(index_method(F.col("type_name")), F.lit("btree"))).drop("type_name")
+
+
 def dedupe_suggestions(rows: DataFrame) -> DataFrame:
-    """First suggestion per plan, table and columns."""
+    """First suggestion per plan, table and columns: from scans, then sorts, then query filters; the larger of equals."""
     first = F.row_number().over(Window.partitionBy(*K, "plan_id", "table_name", "columns").orderBy("place", F.col("plan_rows").desc()))
     return rows.withColumn("__n", first).where("__n = 1").drop("__n")
 
 
-def rollup_suggestions(rows: DataFrame) -> DataFrame:
-    """Over the corpus: how many plans support each suggestion."""
-    return rows.groupBy(*K, "table_name", "columns").agg(F.countDistinct("plan_id").alias("n_plans"), F.max("plan_rows").alias("max_rows"))
+def rollup_suggestions(rows: DataFrame, *more: str) -> DataFrame:
+    """Over the corpus: how many plans support each suggestion; by ``more`` columns too, such as the index method."""
+    return rows.groupBy(*K, "table_name", "columns", *more).agg(F.countDistinct("plan_id").alias("n_plans"), F.max("plan_rows").alias("max_rows"))
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package

@@ -8,7 +8,7 @@ from catascope.adapters import table
 from catascope.operators import browse as B
 from catascope.operators import migrations as M
 from catascope.operators import querylog as Q
-from catascope.plans.plan_corpus import dedupe_suggestions, suggest_indexes
+from catascope.plans.plan_corpus import dedupe_suggestions, rollup_suggestions, suggest_indexes, with_query_suggestions
 from catascope.queries._catalog import SQL, catalog
 from catascope.queries.plan_analysis import SUG as PLANS
 from catascope.queries.plan_analysis import _indexes as _plan_indexes
@@ -110,6 +110,15 @@ def q13(s, d):
     return Q.advise(Q.suggest_from_filters(_facts(s, d), c["stats"], c["indexes"]), plans).select("query_id", "table_name", "column_name", "origin")
 
 
+@query("p19_all_suggestions", f"{PLANS}, lo AS (SELECT o_orderkey AS q, o_custkey % 9 AS t, o_orderkey % 3 = 1 AS two FROM orders), s AS ({SUGG.replace('FROM o ', 'FROM lo ')}), u AS (SELECT plan_id, table_name, columns FROM g UNION SELECT query_id, table_name, column_name FROM s) SELECT table_name, columns, 'btree' AS method, count(*) AS n_plans FROM u GROUP BY 1, 2")
+def p19_all(s, d):
+    """Suggestions of plans and of query filters, deduped together, over the whole corpus."""
+    c = _log_catalog(s)
+    queries = Q.suggest_from_filters(_facts(s, d), c["stats"], c["indexes"])
+    both = with_query_suggestions(suggest_indexes(_nodes(s, d), _plan_indexes(s)), queries, c["columns"].withColumn("type_name", F.lit("bigint")))
+    return rollup_suggestions(dedupe_suggestions(both), "method").select("table_name", "columns", "method", "n_plans")
+
+
 OPS = ("ADD COLUMN", "DROP COLUMN", "SET NOT NULL", "ALTER COLUMN TYPE", "ADD CONSTRAINT", "VALIDATE CONSTRAINT", "CREATE INDEX", "RENAME", "DROP TABLE")
 
 

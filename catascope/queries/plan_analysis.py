@@ -119,14 +119,23 @@ def p16(s, d):
     return table(s, d, "orders").select("o_orderkey", P.version_note(parse_version(v)).alias("note"), parse_version(v)["minor"].alias("minor"))
 
 
+def p1_bad(s, d):
+    """Why plans cannot be read: every third has a root whose cost or rows are words, an odd one is a list."""
+    k = F.col("plan_id")
+    words = F.regexp_replace("plan_json", '"Plan Rows":[0-9]+', '"Plan Rows":"many"')
+    docs = documents(s, d).withColumn("plan_json", F.when(k % 3 == 1, words).when(k % 3 == 2, F.lit('{"Plan":[1]}')).otherwise(F.col("plan_json")))
+    return P.unreadable_plans(P.read_documents(docs)[0]).select("plan_id", "problem")
+
+
 def s11(s, d):
     good, bad = P.read_documents(documents(s, d))
     return good.select(F.lit("accepted").alias("outcome")).unionByName(bad.select(F.lit("rejected").alias("outcome"))).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 SUG = f"{N}, g AS (SELECT plan_id, 't' || t AS table_name, 'c' || (k % 3) AS columns, r FROM o WHERE r >= 1000 AND NOT (t % 2 = 0 AND k % 3 = 1) UNION ALL SELECT plan_id, 'u', 'a,b', r FROM o WHERE k % 4 <> 0 AND r >= 5000)"
-QUERIES |= {"p1_flatten_plans": p1, "p2_plan_summary": p2, "p3_p8_plan_warnings": p3, "p9_p10_p14_p15_scan_advice": p9, "p11_nested_loop_advice": p11, "p12_sort_advice": p12, "p13_cte_advice": p13, "p16_version_note": p16, "p17_p18_suggest_indexes": p17, "p19_suggestion_rollup": p19, "s11_read_plan_documents": s11}
+QUERIES |= {"p1_unreadable_plans": p1_bad, "p1_flatten_plans": p1, "p2_plan_summary": p2, "p3_p8_plan_warnings": p3, "p9_p10_p14_p15_scan_advice": p9, "p11_nested_loop_advice": p11, "p12_sort_advice": p12, "p13_cte_advice": p13, "p16_version_note": p16, "p17_p18_suggest_indexes": p17, "p19_suggestion_rollup": p19, "s11_read_plan_documents": s11}
 ORACLES |= {
+    "p1_unreadable_plans": "SELECT o_orderkey AS plan_id, CASE WHEN o_orderkey % 3 = 1 THEN 'Plan Rows: \"many\"' ELSE 'node is no object: [1]' END AS problem FROM orders WHERE o_orderkey % 3 = 2 OR (o_orderkey % 3 = 1 AND o_orderkey % 97 <> 0)",
     "p1_flatten_plans": f"{N} SELECT plan_id, path, depth, node_type, relation, plan_rows FROM n",
     "p2_plan_summary": f"{N} SELECT plan_id, CASE WHEN k % 11 = 5 THEN 'Append' WHEN k % 13 = 6 THEN 'CTE Scan' ELSE 'Nested Loop' END AS node_type, CASE WHEN k % 11 = 5 OR k % 13 = 6 THEN 0.0 ELSE CAST(k % 1000 AS DOUBLE) END AS total_cost, CASE WHEN k % 11 <> 5 AND k % 13 = 6 THEN CAST(k % 3000 AS DOUBLE) ELSE r END AS estimated_rows, CASE WHEN k % 2 = 0 THEN 1.5 END AS planning_time, CASE WHEN k % 2 = 0 THEN CAST(k AS DOUBLE) END AS execution_time FROM al",
     "p11_nested_loop_advice": f"{N} SELECT plan_id, 'u' AS table_name, 'z' AS column_name, CAST(k % 250 AS DOUBLE) AS rows_per_loop, 'CREATE INDEX ON public.u (z)' AS ddl FROM o WHERE k % 4 = 0 AND k % 250 > 100",

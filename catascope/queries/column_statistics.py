@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from catascope.adapters import table
 from catascope.operators import colstats as C
+from catascope.operators.colsketch import StoredStatistics
+from catascope.sources.scratch import shared_folder
 
 QUERIES, ORACLES = {}, {}
 COLUMNS = ["l_quantity", "l_discount", "l_returnflag", "l_linestatus", "l_extendedprice", "l_linenumber", "tax", "note"]
@@ -68,6 +70,23 @@ def c1_approximate(s, d):
     return C.compute_column_stats(_lines(s, d), COLUMNS, "pos", approximate=True).select("column_name", "reltuples", "null_frac")
 
 
+def c1_sketches(s, d):
+    """Statistics of ``lineitem`` from stored sketches of seven parts, one of them added twice; what sketches keep exactly."""
+    store = StoredStatistics(s, shared_folder(s, "sketches"))
+    lines = _lines(s, d)
+    for part in (1, 2, 3, 4, 5, 6, 7, 2):
+        store.add(f"line-{part}", lines.where(F.col("l_linenumber") == part), COLUMNS, "pos")
+    few = F.col("column_name").isin("l_returnflag", "l_linestatus", "l_linenumber")
+    return store.stats(top=8).select(
+        "column_name", "reltuples", "null_frac", F.get("bounds", F.lit(0)).alias("least"), F.get("bounds", F.lit(10)).alias("greatest"),
+        F.when(few, F.array_join(F.array_sort(F.transform(F.arrays_zip("mcv", "mcf"), lambda x: F.concat(x["mcv"], F.lit(":"), F.round(x["mcf"] * F.col("reltuples")).cast("long").cast("string")))), ",")).alias("common"),
+    )
+
+
+QUERIES |= {"c1_stored_sketches": c1_sketches}
+ORACLES |= {
+    "c1_stored_sketches": f"{STATS}, e AS (SELECT column_name, min(num) AS least, max(num) AS greatest FROM u WHERE v IS NOT NULL GROUP BY 1), k AS (SELECT column_name, string_agg(v || ':' || cnt, ',' ORDER BY v || ':' || cnt) AS common FROM c WHERE column_name IN ('l_returnflag', 'l_linestatus', 'l_linenumber') GROUP BY 1) SELECT column_name, reltuples, null_frac, least, greatest, common FROM stat LEFT JOIN e USING (column_name) LEFT JOIN k USING (column_name)",
+}
 QUERIES |= {"c1_column_stats": c1, "c1_column_stats_approximate": c1_approximate, "c2_c11_profile_columns": c11, "c12_not_null_precheck": c12, "c12_not_null_estimate": c12_estimate}
 ORACLES |= {
     "c1_column_stats": f"{STATS} SELECT column_name, reltuples, null_frac, n_distinct, array_to_string(mcv, ',') AS mcv, array_to_string(list_transform(mcf, lambda x: printf('%.6f', x)), ',') AS mcf, bounds[1] AS b0, bounds[6] AS b5, bounds[11] AS b10, correlation, concat_ws(' ', vs[1], vs[1 + CAST(floor((len(vs) - 1) * 0.5) AS INT)], vs[len(vs)]) AS texts FROM stat",

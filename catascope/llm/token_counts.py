@@ -3,10 +3,10 @@
 Changes are signed: an insert adds a document and its tokens, a delete takes them away, a revision adds
 the difference (and moves the document when its source or language changed). Totals are additive, so a
 batch is one partial aggregate and never rereads earlier documents. ``TokenLedger`` writes each batch's sums
-to a folder of its own and then commits it by creating the batch's marker, which names that folder: a marker
-is created once or not at all, so of two writers of one batch the first wins, a half-written batch counts
-for nothing, and a batch that is committed again changes nothing. ``compact`` folds the committed batches
-into one, so that totals read one folder and the batches since.
+to a folder of its own and then commits it by the batch's marker, which names that folder: a marker gets its
+name by a rename that does not overwrite, whole or not at all, so of two writers of one batch the first wins, a
+half-written batch counts for nothing, and a batch that is committed again changes nothing. ``compact`` folds
+the committed batches into one, so that totals read one folder and the batches since.
 
 Defined cases: null source or language is a group of its own; null texts have no token; repeated rows are
 counted as often as they are given; groups whose documents and tokens both return to zero leave the
@@ -74,16 +74,29 @@ class TokenLedger:
         return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _mark(self, name: str, folder: str, batches: list[str]) -> bool:
-        """Create a marker; False where it exists."""
+        """Make a marker, whole or not at all: a draft takes its name by a rename that does not overwrite. False where it exists.
+
+        A writer that ends before the rename leaves a hidden draft, and the batch can be committed again. Errors other
+        than an existing marker are raised.
+        """
         at, fs = self._at(f"commits/{name}")
         if fs.exists(at):
             return False
-        try:
-            out = fs.create(at, False)
-        except Py4JJavaError:  # another writer came first
-            return False
+        draft, _ = self._at(f"commits/.draft-{uuid.uuid4().hex}")
+        out = fs.create(draft, False)
         out.write(bytearray(json.dumps([folder, batches]).encode()))
         out.close()
+        jvm = self.spark._jvm
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(at).toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(fs.makeQualified(draft), fs.makeQualified(at), options)
+        except Py4JJavaError as e:
+            fs.delete(draft, False)
+            if e.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+                raise
+            return False  # another writer came first
         return True
 
     def _markers(self) -> dict[str, tuple[str, list[str]]]:

@@ -49,6 +49,12 @@ class Model:
     weights: dict[int, float] = field(default_factory=dict)
 
 
+def lower(text: str) -> str:
+    """Lower case, letter by letter where that would change the length, so that places stay those of the text."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join([c.lower()[:1] for c in text])
+
+
 def features(word: str) -> list[int]:
     """Hashed buckets of a lower-case word and of its prefixes."""
     out = [zlib.crc32(word.encode()) % BUCKETS]
@@ -78,7 +84,7 @@ def packed_words(rows: DataFrame) -> DataFrame:
             names, blocks = [], []
             for text in batch.column(2):
                 place: dict[str, int] = {}
-                lines = [WORD.findall(s) for s in SENTENCE.findall((text.as_py() or "").lower())]
+                lines = [WORD.findall(s) for s in SENTENCE.findall(lower(text.as_py() or ""))]
                 lines = [[place.setdefault(w, len(place)) for w in line] for line in lines if line]
                 sizes = np.array([len(line) for line in lines], dtype=np.int32)
                 blocks.append(len(sizes).to_bytes(4, "little") + sizes.tobytes() + np.array([i for line in lines for i in line], dtype=np.int32).tobytes())
@@ -195,8 +201,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             return out
 
         def judge(text: str) -> tuple[float, int | None, int | None, int]:
-            low = text.lower()
-            low = low if len(low) == len(text) else text
+            low = lower(text)
             words = WORD.findall(low)
             none, worst, start, end, flagged = 1 - model.leak, 0.0, None, None, 0
             if any([known[w] if w in known else weight(w) for w in words]):

@@ -96,9 +96,9 @@ def compare_nodes(
     With ``nodes``, each of them has a row for every table, without data where it reports none. With ``unused``
     (unused indexes) and ``imbalance`` their findings stand beside the table.
     """
-    freshest = F.max("captured_at").over(Window.partitionBy(*K))
-    lag = F.unix_micros(freshest.cast("timestamp")) - F.unix_micros(F.col("captured_at").cast("timestamp"))
-    out = act.withColumns({"stale": lag > stale_days * 86_400_000_000, "has_data": F.lit(True)}).select(*TABLE, "node_label", "seq_scan", "idx_scan", "captured_at", "stale", "has_data")
+    freshest = act.groupBy(*K).agg(F.max("captured_at").alias("freshest"))  # a row per catalog
+    lag = F.unix_micros(F.col("freshest").cast("timestamp")) - F.unix_micros(F.col("captured_at").cast("timestamp"))
+    out = act.join(freshest, K).withColumns({"stale": lag > stale_days * 86_400_000_000, "has_data": F.lit(True)}).select(*TABLE, "node_label", "seq_scan", "idx_scan", "captured_at", "stale", "has_data")
     if nodes is not None:
         every = nodes.select(*K, "node_label").distinct().join(act.select(*TABLE).distinct(), K)
         out = every.join(out, [*TABLE, "node_label"], "left").withColumn("has_data", F.coalesce("has_data", F.lit(False)))

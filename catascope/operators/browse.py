@@ -30,11 +30,12 @@ def list_tables(tables: DataFrame, stats: DataFrame, children: DataFrame, schema
 def describe_tables(
     tables: DataFrame, columns: DataFrame, constraints: DataFrame, indexes: DataFrame, stats: DataFrame, merged: DataFrame | None = None,
     children: DataFrame | None = None, profiles: DataFrame | None = None, stat_index: DataFrame | None = None, detail: str = "full",
+    act_index: DataFrame | None = None,
 ) -> DataFrame:
     """One nested row per table. ``detail``: summary (structure and sizing), stats (sizing, partitions, profiles) or full.
 
     ``children`` are listed with their own sizing, ``profiles`` (a row per column) in the order of the columns, and
-    ``stat_index`` puts its sizing beside each index; ``merged`` (a row per table) joins its counters.
+    ``stat_index`` puts its sizing beside each index, ``act_index`` (rows per node) its scans over all nodes; ``merged`` (a row per table) joins its counters.
     """
     if detail not in ("summary", "stats", "full"):
         raise ValueError(f"unknown detail {detail}; one of summary, stats, full")
@@ -48,9 +49,12 @@ def describe_tables(
         if stat_index is not None:
             sizes = stat_index.select(*K, F.col("index_schema").alias("table_schema"), F.col("index_name").alias("name"), F.col("size").alias("index_size"))
             sized = indexes.join(sizes, [*K, "table_schema", "name"], "left")
+        if act_index is not None:
+            scans = act_index.groupBy(*K, F.col("index_schema").alias("table_schema"), F.col("index_name").alias("name")).agg(F.sum("idx_scan").alias("idx_scan"))
+            sized = sized.join(scans, [*K, "table_schema", "name"], "left")
         out = out.join(gather(columns, ["ordinal"], ["column_name", "type_name", "nullable"], "columns"), TABLE, "left")
         out = out.join(gather(constraints, ["name"], ["kind", "definition"], "constraints"), TABLE, "left")
-        out = out.join(gather(sized, ["name"], ["index_type", "is_unique", "definition", *(["index_size"] if stat_index is not None else [])], "indexes"), TABLE, "left")
+        out = out.join(gather(sized, ["name"], ["index_type", "is_unique", "definition", *(["index_size"] if stat_index is not None else []), *(["idx_scan"] if act_index is not None else [])], "indexes"), TABLE, "left")
     if detail != "summary" and children is not None:
         own = stats.select(*K, F.col("table_schema").alias("child_schema"), F.col("table_name").alias("child_name"), "reltuples", "table_size")
         kids = children.join(own, [*K, "child_schema", "child_name"], "left").withColumnsRenamed({"parent_schema": "table_schema", "parent_name": "table_name"})

@@ -33,13 +33,18 @@ def bloated_indexes(bloat: DataFrame, threshold: float = 1.5) -> DataFrame:
     return bloat.where(F.col("ratio") > threshold).orderBy(F.col("ratio").desc(), "name")
 
 
+def number(raw: Column, name: str) -> Column:
+    """A setting's value: thresholds are whole numbers, so one with a fraction does not count."""
+    return raw.try_cast("bigint").cast("double") if name.endswith("threshold") else raw.try_cast("double")
+
+
 def autovacuum_defaults(settings: DataFrame) -> DataFrame:
     """One row per catalog of the five settings; what is absent or unreadable keeps its default."""
 
     def value(name: str) -> Column:
         raw = F.max(F.when(F.col("name") == name, F.col("setting")))
         default = DEFAULTS[name]
-        return F.coalesce(raw == "on", F.lit(True)) if name == "autovacuum" else F.coalesce(raw.try_cast("double"), F.lit(default))
+        return F.coalesce(raw == "on", F.lit(True)) if name == "autovacuum" else F.coalesce(number(raw, name), F.lit(default))
 
     return settings.groupBy(*K).agg(*[value(n).alias(n) for n in DEFAULTS])
 
@@ -57,7 +62,7 @@ def vacuum_health(tables: DataFrame, stats: DataFrame, merged: DataFrame, defaul
     rows = rows.join(merged.select(*TABLE, F.col("n_dead_tup_sum").alias("dead")), TABLE, "left").join(defaults, K, "left")
 
     def setting(name: str) -> Column:
-        return F.coalesce(F.try_element_at("o", F.lit(name)).try_cast("double"), F.col(name), F.lit(DEFAULTS[name]))
+        return F.coalesce(number(F.try_element_at("o", F.lit(name)), name), F.col(name), F.lit(DEFAULTS[name]))
 
     off = F.coalesce(F.lower(F.try_element_at("o", F.lit("autovacuum_enabled"))).isin("false", "off", "0"), F.lit(False))
     enabled = F.coalesce(F.col("autovacuum"), F.lit(True)) & ~off

@@ -127,6 +127,24 @@ def l19_l20(s, d):
     return found.select("database_id", "table_name", "rule", "message")
 
 
+STYLES = {"camelCase": "^[a-z][a-zA-Z0-9]*$", "PascalCase": "^[A-Z][a-zA-Z0-9]*$", "custom_regex": "^(log|is)"}
+
+
+def l3_l4(s, d):
+    """Names of tables and columns against every style that is not drawn from the names themselves."""
+    c, out = catalog(s, d), None
+    tables, columns, constraints = (L.without_children(c[n], c["partition_child"]) for n in ("table", "column", "constraint"))
+    for style, pattern in STYLES.items():
+        config = L.LintConfig(table_style=style, table_regex=pattern, column_style=style, column_regex=pattern)
+        found = L.table_rules(tables, columns, constraints, c["table"], config).unionByName(L.column_rules(columns, constraints, config)).where(F.col("rule").isin("naming/table_style", "naming/column_style")).select(F.lit(style).alias("style"), "database_id", "table_name", "column_name", "rule")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+QUERIES |= {"l3_l4_other_styles": l3_l4}
+ORACLES |= {
+    "l3_l4_other_styles": f"{FREE}, s AS (SELECT * FROM (VALUES {', '.join(f'({k!r}, {v!r})' for k, v in STYLES.items())}) v(style, pattern)) SELECT style, database_id, table_name, NULL AS column_name, 'naming/table_style' AS rule FROM t, s WHERE NOT regexp_matches(table_name, pattern) UNION ALL SELECT style, database_id, table_name, column_name, 'naming/column_style' FROM c, s WHERE NOT regexp_matches(column_name, pattern)",
+}
 QUERIES |= {"l18_typed_range_breaks": l18_typed, "l19_l20_childless_parents": l19_l20}
 RANGES = "o AS (SELECT o_custkey AS c, o_orderkey AS k, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nx FROM orders), r AS (SELECT *, CASE WHEN k % 10 = 0 THEN nx - 1 WHEN k % 10 = 1 THEN nx + 1 ELSE nx END AS hi FROM o WHERE c % 3 > 0 AND nx IS NOT NULL)"
 ORACLES |= {

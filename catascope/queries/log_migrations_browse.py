@@ -178,12 +178,12 @@ DESCRIBED = """SELECT t.database_id, t.table_name, reltuples, (SELECT string_agg
  (SELECT string_agg(name || ' ' || kind || ' ' || col, ',' ORDER BY name) FROM cons c WHERE c.database_id = t.database_id AND c.table_name = t.table_name) AS constraints,
  (SELECT string_agg(name || ' ' || index_type || ' ' || k, ',' ORDER BY name) FROM idx i WHERE i.database_id = t.database_id AND i.table_name = t.table_name) AS indexes,
  CASE WHEN table_name = 'log_all' THEN (SELECT string_agg(child_name || ' ' || CAST(s.reltuples AS BIGINT), ',' ORDER BY child_name) FROM kids k JOIN tabs s ON s.database_id = k.database_id AND s.table_name = k.child_name WHERE k.database_id = t.database_id) END AS partitions,
- (SELECT string_agg(column_name || ' ' || k, ',' ORDER BY ordinal) FROM cols c WHERE c.database_id = t.database_id AND c.table_name = t.table_name AND k % 3 = 0) AS profiles FROM tabs t"""
+ (SELECT string_agg(column_name || ' ' || k, ',' ORDER BY ordinal) FROM cols c WHERE c.database_id = t.database_id AND c.table_name = t.table_name) AS profiles FROM tabs t"""
 
 
 def _described(s, d, detail):
     c = catalog(s, d)
-    profiles = c["column"].where("k % 3 = 0").select(*B.TABLE, "column_name", F.col("k").alias("note"))
+    profiles = c["column"].select(*B.TABLE, "column_name", F.col("k").alias("note"))
     return B.describe_tables(c["table"], c["column"], c["constraint"], c["index"], c["stat_table"], children=c["partition_child"], profiles=profiles, stat_index=c["stat_index"], detail=detail)
 
 
@@ -200,6 +200,16 @@ def x2(s, d):
     ).withColumn("constraints", F.regexp_replace("constraints", " (primary_key|foreign_key) (primary_key|foreign_key) ", " $1 "))
 
 
+@query("x2_describe_index_scans", f"WITH {SQL} SELECT t.database_id, t.table_name, (SELECT string_agg(name || ' ' || k || coalesce(' ' || CASE WHEN pos % 4 > 0 THEN (pos % 4) * k + (pos % 4) * (pos % 4 - 1) // 2 END, ''), ',' ORDER BY name) FROM idx i WHERE i.database_id = t.database_id AND i.table_name = t.table_name) AS indexes FROM tabs t")
+def x2_scans(s, d):
+    """Scans of an index by none to three nodes beside its size."""
+    c = catalog(s, d)
+    nodes = F.explode(F.filter(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda n: n < F.col("pos") % 4)).alias("node")
+    scans = c["index"].select(*B.K, F.col("table_schema").alias("index_schema"), F.col("name").alias("index_name"), "k", nodes).withColumn("idx_scan", F.col("k") + F.col("node"))
+    rows = B.describe_tables(c["table"], c["column"], c["constraint"], c["index"], c["stat_table"], stat_index=c["stat_index"], detail="summary", act_index=scans)
+    return rows.select("database_id", "table_name", _line("indexes", "name", "index_size", "idx_scan").alias("indexes"))
+
+
 @query("x2_describe_stats", f"WITH {SQL}, x AS ({DESCRIBED}) SELECT database_id, table_name, reltuples, partitions, profiles FROM x")
 def x2_stats(s, d):
     return _described(s, d, "stats").select("database_id", "table_name", "reltuples", _line("partitions", "child_name", "reltuples").alias("partitions"), _line("profiles", "column_name", "note").alias("profiles"))

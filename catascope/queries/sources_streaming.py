@@ -85,6 +85,28 @@ def s3b(s, d):
     return out["enum"].select("name", F.array_join("labels", ",").alias("labels"))
 
 
+@query("s3b_composites_and_domains", "SELECT 'composite' AS frame, p_brand AS name, string_agg('f' || p_partkey || ' ' || p_type, ',' ORDER BY p_size, p_partkey) AS parts FROM part GROUP BY p_brand UNION ALL SELECT 'domain', p_brand, string_agg('check ' || p_partkey, ',' ORDER BY 'k' || p_partkey) FROM part GROUP BY p_brand")
+def s3b_all(s, d):
+    k = F.col("p_partkey").cast("string")
+    p = table(s, d, "part").select(F.lit("p").alias("project_id"), F.lit("db").alias("database_id"), F.lit("v1").alias("schema_hash"), F.lit("public").alias("schema"), F.col("p_brand").alias("name"), "p_size", "p_partkey", "p_type", k.alias("k"))
+    fields = p.withColumns({"attnum": F.struct("p_size", "p_partkey"), "field": F.concat(F.lit("f"), "k", F.lit(" "), "p_type")})
+    checks = p.withColumns({"check_name": F.concat(F.lit("k"), "k"), "check": F.concat(F.lit("check "), "k")})
+    out = S.assemble_types(fields, p.withColumns({"sort_order": F.col("p_size"), "label": F.col("k")}), checks)
+    show = lambda frame, c: out[frame].select(F.lit(frame).alias("frame"), "name", F.array_join(c, ",").alias("parts"))
+    return show("composite", "fields").unionByName(show("domain", "checks"))
+
+
+@query("s5_relations_and_indexes", "SELECT 'relation' AS what, p_partkey AS id FROM part WHERE p_size % 4 <> 0 AND p_partkey % 5 IN (0, 1) UNION ALL SELECT 'index', p_partkey FROM part WHERE p_size % 4 <> 0 AND NOT (p_partkey % 3 = 0 AND p_size < 30)")
+def s5_capture(s, d):
+    """Relations of five kinds, and indexes of which some came from a parent table's."""
+    schema = F.when(F.col("p_size") % 8 == 0, "pg_catalog").when(F.col("p_size") % 4 == 0, "pg_temp_3").otherwise("public")
+    kind = F.element_at(F.array(*[F.lit(x) for x in "rpvmi"]), (F.col("p_partkey") % 5).cast("int") + 1)
+    rows = table(s, d, "part").select(F.lit("p").alias("project_id"), F.lit("db").alias("database_id"), F.lit("v1").alias("schema_hash"), schema.alias("schema"), kind.alias("relkind"), "p_partkey", "p_size")
+    inherits = rows.where("p_partkey % 3 = 0 and p_size < 30").withColumn("inhrelid", F.col("p_partkey"))
+    own = S.own_indexes(rows.withColumn("indexrelid", F.col("p_partkey")), inherits)
+    return S.user_relations(rows).select(F.lit("relation").alias("what"), F.col("p_partkey").alias("id")).unionByName(own.select(F.lit("index").alias("what"), F.col("p_partkey").alias("id")))
+
+
 def _groups(s, d, **lists):
     """A document per twentieth of ``part`` with the given lists of structs, one entry per part, written as JSON."""
     rows = table(s, d, "part").groupBy((F.col("p_partkey") % 20).alias("g")).agg(*[F.collect_list(x).alias(k) for k, x in lists.items()])

@@ -72,6 +72,21 @@ def v1(s, d):
     return S.autovacuum_defaults(_settings(s, d)).select("database_id", "autovacuum", "autovacuum_vacuum_threshold", "autovacuum_vacuum_scale_factor")
 
 
+FIVE = ("autovacuum", "autovacuum_vacuum_threshold", "autovacuum_vacuum_scale_factor", "autovacuum_analyze_threshold", "autovacuum_analyze_scale_factor")
+
+
+@query("v1_autovacuum_all_settings", """WITH n AS (SELECT 'db' || (p_partkey // 5) AS database_id, p_partkey % 5 AS r, CASE WHEN p_partkey % 5 = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'on' ELSE 'off' END WHEN p_partkey % 11 = 4 THEN 'none' WHEN p_partkey % 7 = 2 THEN p_partkey % 90 || '.5' ELSE CAST(p_partkey % 90 AS VARCHAR) END AS v FROM part),
+ g AS (SELECT database_id, max(v) FILTER (r = 0) AS a, max(v) FILTER (r = 1) AS vt, max(v) FILTER (r = 2) AS vs, max(v) FILTER (r = 3) AS t, max(v) FILTER (r = 4) AS sf FROM n GROUP BY 1)
+ SELECT database_id, coalesce(a = 'on', true) AS autovacuum, coalesce(CASE WHEN vt NOT LIKE '%.5' THEN try_cast(vt AS DOUBLE) END, 50) AS autovacuum_vacuum_threshold, coalesce(try_cast(vs AS DOUBLE), 0.2) AS autovacuum_vacuum_scale_factor, coalesce(CASE WHEN t NOT LIKE '%.5' THEN try_cast(t AS DOUBLE) END, 50) AS autovacuum_analyze_threshold, coalesce(try_cast(sf AS DOUBLE), 0.1) AS autovacuum_analyze_scale_factor FROM g""")
+def v1_all(s, d):
+    """All five settings of a database from five parts; some are words, and thresholds with a fraction do not count."""
+    k = F.col("p_partkey")
+    name = F.element_at(F.array(*[F.lit(x) for x in FIVE]), (k % 5).cast("int") + 1)
+    value = F.when(k % 5 == 0, F.when(k % 2 == 0, "on").otherwise("off")).when(k % 11 == 4, "none").when(k % 7 == 2, F.concat((k % 90).cast("string"), F.lit(".5"))).otherwise((k % 90).cast("string"))
+    rows = table(s, d, "part").select(F.lit("p").alias("project_id"), F.concat(F.lit("db"), F.floor(k / 5).cast("string")).alias("database_id"), F.lit("v1").alias("schema_hash"), name.alias("name"), value.alias("setting"))
+    return S.autovacuum_defaults(rows).select("database_id", *FIVE)
+
+
 def _health(s, d):
     c = catalog(s, d)
     merged = c["table"].select(*S.TABLE, (F.col("k") * 9000).alias("n_dead_tup_sum"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catascope import schemas
-from catascope.functions.names import constraint_kind, parse_pg_array, partition_strategy, policy_command
+from catascope.functions.names import constraint_kind, is_user_object, parse_pg_array, partition_strategy, policy_command
 
 K = ["project_id", "database_id", "schema_hash"]
 
@@ -78,6 +78,17 @@ def assemble_tables(
     return out
 
 
+def user_relations(relations: DataFrame) -> DataFrame:
+    """Ordinary and partitioned tables outside the system's schemas, of rows with schema and relkind."""
+    return relations.where(is_user_object(F.col("schema")) & F.col("relkind").isin("r", "p"))
+
+
+def own_indexes(indexes: DataFrame, inherits: DataFrame) -> DataFrame:
+    """Indexes outside the system's schemas that no index of a parent table brought along (``inherits``: K, inhrelid)."""
+    brought = inherits.select(*K, F.col("inhrelid").alias("indexrelid")).distinct()
+    return indexes.where(is_user_object(F.col("schema"))).join(brought, [*K, "indexrelid"], "left_anti")
+
+
 def assemble_types(fields: DataFrame, labels: DataFrame, checks: DataFrame) -> dict[str, DataFrame]:
     """Composite fields in attribute order, enum labels in sort order, domain checks by name."""
     own = [*K, "schema", "name"]

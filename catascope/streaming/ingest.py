@@ -25,40 +25,51 @@ def read_captures(spark: SparkSession, path: str, files_per_trigger: int = 1000)
 class ChangedOnly(StatefulProcessor):
     """Captures of one series in order of time, and those of them that differ from the one before.
 
-    State: the last hash and time that were settled, and the captures that wait for the watermark, by time and hash. A
-    timer at a capture's time settles all that wait up to the watermark, in order. A capture that is not newer than what
-    is settled comes too late and is dropped, whatever its hash. What waits is bounded by the watermark's delay.
+    State: the last hash and time that were settled, and a list of the captures that wait for the watermark. A timer at
+    the earliest of them settles all up to the watermark, in order of time, then hash. A capture that is not newer than
+    what is settled comes too late and is dropped, whatever its hash. What waits is bounded by the watermark's delay
+    and by what one micro-batch brings.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "content_hash string, micros long")
-        self.waiting = handle.getMapState("waiting", "micros long, content_hash string", "payload string")
+        self.waiting = handle.getListState("waiting", "micros long, content_hash string, payload string")
+
+    def _wait(self, rows: list[tuple]) -> None:
+        if rows:
+            self.handle.registerTimer(min(r[0] for r in rows) // 1000 + 1)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         settled = self.last.get()[1] if self.last.exists() else None
-        for row in rows:
-            at = micros(row["captured_at"])
-            if settled is None or at > settled:
-                self.waiting.updateValue((at, row["content_hash"]), (row["payload"],))
-                self.handle.registerTimer(at // 1000 + 1)
+        fresh = [(micros(r["captured_at"]), r["content_hash"], r["payload"]) for r in rows]
+        fresh = [r for r in fresh if settled is None or r[0] > settled]
+        if fresh:
+            self.waiting.appendList(fresh)
+            self._wait(fresh)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         from pyspark.sql import Row
 
-        # all that the watermark covers, so the timers that follow find nothing left
         until = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
-        due = sorted((k[0], k[1] or "", k[1], v[0]) for k, v in self.waiting.iterator() if k[0] < until)
-        last = self.last.get()[0] if self.last.exists() else None
-        out, first = [], not self.last.exists()
-        for at, _, value, payload in due:
+        rows = [tuple(r) for r in self.waiting.get()]
+        due = sorted((r for r in rows if r[0] < until), key=lambda r: (r[0], r[1] is not None, r[1] or "", r[2] or ""))
+        rest = [r for r in rows if r[0] >= until]
+        if not due:
+            return iter(())
+        first = not self.last.exists()
+        last = None if first else self.last.get()[0]
+        out = []
+        for at, value, payload in due:
             if first or value != last:
                 out.append(Row(**dict(zip(SERIES, key, strict=True)), content_hash=value, captured_at=moment(at), payload=payload))
             last, first = value, False
-            self.waiting.removeKey((at, value))
-        if due:
-            self.last.update((last, due[-1][0]))
+        self.last.update((last, due[-1][0]))
+        self.waiting.clear()
+        if rest:
+            self.waiting.put(rest)
+            self._wait(rest)
         return iter(out)
 
     def close(self) -> None:

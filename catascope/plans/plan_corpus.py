@@ -220,10 +220,14 @@ def nested_loop_advice(nodes: DataFrame, least: float = 100) -> DataFrame:
 
 
 def sort_advice(nodes: DataFrame, least: float = 10_000) -> DataFrame:
-    """Large sorts with keys over a base table: the first table below in document order."""
+    """Large sorts with keys over a base table: the first table below in document order.
+
+    Every scan stands under the paths of all nodes above it, so a sort meets its own subtree only.
+    """
     sorts = nodes.where((F.col("node_type") == "Sort") & (F.col("plan_rows") >= least) & (F.size("sort_key") > 0)).select(*K, "plan_id", "path", "sort_key", "plan_rows")
-    below = nodes.where("relation is not null").select(*K, "plan_id", F.col("path").alias("p"), "relation")
-    rows = sorts.join(below, [*K, "plan_id"]).where(F.slice("p", F.lit(1), F.size("path")) == F.col("path"))
+    above = F.transform(F.sequence(F.lit(0), F.size("path")), lambda n: F.slice("path", F.lit(1), n))
+    below = nodes.where("relation is not null").select(*K, "plan_id", F.col("path").alias("p"), "relation", F.explode(above).alias("path"))
+    rows = sorts.join(below, [*K, "plan_id", "path"])
     return rows.groupBy(*K, "plan_id", "path").agg(F.min_by("relation", "p").alias("table_name"), F.first("sort_key").alias("sort_key"), F.first("plan_rows").alias("plan_rows"))
 
 

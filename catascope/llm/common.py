@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +52,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(docs: DataFrame, helpers: Sequence[str], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``step(docs)`` where columns of ``docs`` that are named like its ``helpers`` keep their names and values."""
+    taken, names = {c.lower() for c in (*docs.columns, *helpers)}, {}
+    for c in docs.columns:
+        if c.lower() in helpers:
+            names[c] = next(f"{c}_{i}" for i in range(len(taken) + 1) if f"{c}_{i}".lower() not in taken)
+            taken.add(names[c].lower())
+    return step(docs.withColumnsRenamed(names)).withColumnsRenamed({new: old for old, new in names.items()})
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session; deployments size it with the input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from catascope.llm.common import ascii_lower, stored, window_hashes
+from catascope.llm.common import apart, ascii_lower, stored, window_hashes
 
 #: Anything but digits, ASCII letters (lower-cased afterwards) and characters beyond ASCII.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -151,8 +151,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """Documents without any occurrence of an item window, all columns kept."""
+    """Documents without any occurrence of an item window, all columns kept, whatever their names."""
     windows = stored(benchmark_windows(benchmark, window), "benchmark-windows")
     _, found = find_occurrences(docs, windows, window)
     bad = found.select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__tk")), "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__tk"))
+    return apart(docs, ("__id", "__tk"), lambda rows: rows.join(bad, same, "left_anti"))

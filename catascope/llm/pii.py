@@ -34,7 +34,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catascope.llm.common import bind, stored
+from catascope.llm.common import apart, bind, stored
 
 KINDS = ("email", "ip", "card", "phone", "secret", "national", "ssn", "iban")
 BASE = 4  # the first kinds have spans that stay in any case
@@ -395,7 +395,14 @@ def detect(docs: DataFrame, params: BoostParams = BoostParams()) -> DataFrame:
 
 
 def redact(docs: DataFrame, params: BoostParams = BoostParams()) -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets; ``n_chars`` (if present) follows."""
+    """``docs`` with every span replaced by its kind in brackets; ``n_chars`` (if present) follows.
+
+    Other columns stay as they are, whatever their names.
+    """
+    return apart(docs, ("__c", "__fold"), lambda rows: _redacted(rows, params))
+
+
+def _redacted(docs: DataFrame, params: BoostParams) -> DataFrame:
     found = _searched(docs, *docs.columns)
     model = learn_from(found, params)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catascope.llm.common import by_value, stored
+from catascope.llm.common import apart, by_value, stored
 from catascope.llm.components import components
 
 
@@ -118,8 +118,13 @@ def text_digest(text: Column) -> Column:
 def one_per_group(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """One row of ``docs`` for each label of ``groups`` (doc_id, h, label), a row per row of ``docs``.
 
-    It is the least by doc_id (null last) and text digest; of rows that repeat both, one stays.
+    It is the least by doc_id (null last) and text digest; of rows that repeat both, one stays. Other columns stay as
+    they are, whatever their names.
     """
+    return apart(docs, ("__digest", "__doc", "__h", "__kept"), lambda rows: _one_per_group(rows, groups))
+
+
+def _one_per_group(docs: DataFrame, groups: DataFrame) -> DataFrame:
     each = groups.groupBy("doc_id", "h").agg(F.first("label").alias("label"), F.count(F.lit(1)).alias("n"))
     first = each.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("f"))
     kept = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & F.col("h").eqNullSafe(F.col("f.h"))

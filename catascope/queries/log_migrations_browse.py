@@ -42,14 +42,17 @@ def _facts(s, d):
     )
 
 
-def _log_catalog(s):
-    """Tables t0..t7 with c0..c2 (t8 is unknown), t0..t3 large, t2 partitioned by c0, an index on c1 of even tables."""
-    k = "project_id string, database_id string, schema_hash string, table_schema string, table_name string"
-    base = [("p", "db", "v1", "public", f"t{i}") for i in range(8)]
+def _log_catalog(s, d):
+    """The catalog that the orders' log names: tables t0..t7 with c0..c2 (t8 is unknown), t0..t3 large, t2 partitioned by c0, an index on c1 of even tables."""
+    i = F.col("i")
+    base = table(s, d, "orders").select((F.col("o_custkey") % 9).alias("i")).distinct().where("i < 8").select(
+        F.lit("p").alias("project_id"), F.lit("db").alias("database_id"), F.lit("v1").alias("schema_hash"), F.lit("public").alias("table_schema"), F.concat(F.lit("t"), i.cast("string")).alias("table_name"), "i"
+    )
+    columns = base.withColumn("ordinal", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("column_name", F.concat(F.lit("c"), F.col("ordinal").cast("string")))
+    stats = base.withColumns({"reltuples": F.when(i < 4, 20000.0).otherwise(500.0), "table_size": F.lit(20000 * 100).cast("long")})
     return {
-        "tables": s.createDataFrame(base, k), "columns": s.createDataFrame([(*b, f"c{j}", j) for b in base for j in range(3)], f"{k}, column_name string, ordinal int"),
-        "stats": s.createDataFrame([(*b, 20000.0 if i < 4 else 500.0, 20000 * 100) for i, b in enumerate(base)], f"{k}, reltuples double, table_size long"),
-        "partitioned": s.createDataFrame([(*base[2], "c0, x")], f"{k}, partition_key string"), "indexes": s.createDataFrame([(*b, ["c1"]) for b in base[::2]], f"{k}, columns array<string>"),
+        "tables": base.drop("i"), "columns": columns.drop("i"), "stats": stats.drop("i"), "partitioned": base.where("i = 2").drop("i").withColumn("partition_key", F.lit("c0, x")),
+        "indexes": base.where("i % 2 = 0").drop("i").withColumn("columns", F.array(F.lit("c1"))),
     }
 
 
@@ -66,25 +69,25 @@ ANTI = f"""SELECT q AS query_id, 'select_star' AS rule, 'warning' AS severity, N
 
 
 def _issues(s, d):
-    c = _log_catalog(s)
+    c = _log_catalog(s, d)
     f = _facts(s, d)
     return f, Q.missing_relations(f, c["tables"]).unionByName(Q.missing_columns(f, c["tables"], c["columns"])).unionByName(Q.antipatterns(f, c["stats"], c["partitioned"]))
 
 
 @query("q1_q2_missing_objects", f"{O} {MISSING} UNION ALL {MISSCOL}")
 def q1(s, d):
-    c, f = _log_catalog(s), _facts(s, d)
+    c, f = _log_catalog(s, d), _facts(s, d)
     return Q.missing_relations(f, c["tables"]).unionByName(Q.missing_columns(f, c["tables"], c["columns"])).select("query_id", "rule", "severity", "object")
 
 
 @query("q3_expand_star", f"{O} SELECT q AS query_id, 't' || t AS table_name, 'c0,c1,c2' AS columns FROM r WHERE q % 2 = 0 AND t <> 8")
 def q3(s, d):
-    return Q.expand_star(_facts(s, d), _log_catalog(s)["columns"]).select("query_id", "table_name", F.array_join("columns", ",").alias("columns"))
+    return Q.expand_star(_facts(s, d), _log_catalog(s, d)["columns"]).select("query_id", "table_name", F.array_join("columns", ",").alias("columns"))
 
 
 @query("q4_q10_antipatterns", f"{O} {ANTI}")
 def q4(s, d):
-    c = _log_catalog(s)
+    c = _log_catalog(s, d)
     return Q.antipatterns(_facts(s, d), c["stats"], c["partitioned"]).select("query_id", "rule", "severity", "object")
 
 
@@ -93,7 +96,7 @@ SUGG = "SELECT q AS query_id, 't' || t AS table_name, 'c' || (q % 4) AS column_n
 
 @query("q11_suggest_from_filters", f"{O} {SUGG}")
 def q11(s, d):
-    c = _log_catalog(s)
+    c = _log_catalog(s, d)
     return Q.suggest_from_filters(_facts(s, d), c["stats"], c["indexes"]).select("query_id", "table_name", "column_name")
 
 
@@ -105,7 +108,7 @@ def q12(s, d):
 
 @query("q13_advise", f"{PLANS}, lo AS (SELECT o_orderkey AS q, o_custkey % 9 AS t, o_orderkey % 3 = 1 AS two FROM orders), s AS ({SUGG.replace('FROM o ', 'FROM lo ')}) SELECT plan_id AS query_id, table_name, columns AS column_name, 'plan' AS origin FROM g UNION ALL SELECT query_id, table_name, column_name, 'query' FROM s WHERE (query_id, table_name, column_name) NOT IN (SELECT plan_id, table_name, columns FROM g)")
 def q13(s, d):
-    c = _log_catalog(s)
+    c = _log_catalog(s, d)
     plans = dedupe_suggestions(suggest_indexes(_nodes(s, d), _plan_indexes(s))).withColumnsRenamed({"plan_id": "query_id", "columns": "column_name"})
     return Q.advise(Q.suggest_from_filters(_facts(s, d), c["stats"], c["indexes"]), plans).select("query_id", "table_name", "column_name", "origin")
 
@@ -113,7 +116,7 @@ def q13(s, d):
 @query("p19_all_suggestions", f"{PLANS}, lo AS (SELECT o_orderkey AS q, o_custkey % 9 AS t, o_orderkey % 3 = 1 AS two FROM orders), s AS ({SUGG.replace('FROM o ', 'FROM lo ')}), u AS (SELECT plan_id, table_name, columns FROM g UNION SELECT query_id, table_name, column_name FROM s) SELECT table_name, columns, 'btree' AS method, count(*) AS n_plans FROM u GROUP BY 1, 2")
 def p19_all(s, d):
     """Suggestions of plans and of query filters, deduped together, over the whole corpus."""
-    c = _log_catalog(s)
+    c = _log_catalog(s, d)
     queries = Q.suggest_from_filters(_facts(s, d), c["stats"], c["indexes"])
     both = with_query_suggestions(suggest_indexes(_nodes(s, d), _plan_indexes(s)), queries, c["columns"].withColumn("type_name", F.lit("bigint")))
     return rollup_suggestions(dedupe_suggestions(both), "method").select("table_name", "columns", "method", "n_plans")
@@ -140,7 +143,7 @@ a AS (SELECT *, CASE op WHEN 0 THEN CASE WHEN NOT de THEN 'safe' WHEN major >= 1
 
 
 def _assessed(s, d):
-    c = _log_catalog(s)
+    c = _log_catalog(s, d)
     nulls = c["columns"].where("column_name = 'c0'").withColumn("null_frac", F.lit(0.3))
     return M.assess(_ddl(s, d), c["stats"], nulls)
 

@@ -12,8 +12,10 @@ itself), start s, and u = the m words at s. Between s and s + q, steps of u over
 s + q lies in the progression of s or in one of the next three. In its own it would make the period a power. In a later
 one it is the first, or the word pattern before it belongs to both, and then both progressions end q apart.
 
-Documents without words have no run. Runs never cross documents: each is followed by a word of its own. Null texts count
-as empty; repeated rows are rows of their own; other columns are ignored; a task holds ``BLOCK`` bytes of text or one text.
+Documents without words have no run, a table without rows gives none. Runs never cross documents: each is followed by a
+word of its own. Of the longest runs of a document the first counts, then the one of the smaller period. Null texts count
+as empty; repeated rows are rows of their own, whatever their key; other columns are ignored; a task holds ``BLOCK`` bytes
+of text, or one text if that is longer.
 """
 
 from __future__ import annotations

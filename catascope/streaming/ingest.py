@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 import sys
 from collections.abc import Iterator
 
@@ -42,7 +41,7 @@ class ChangedOnly(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         settled = self.last.get()[1] if self.last.exists() else None
-        fresh = [(micros(r["captured_at"]), r["content_hash"], r["payload"]) for r in rows]
+        fresh = [(r["micros"], r["content_hash"], r["payload"]) for r in rows]
         fresh = [r for r in fresh if settled is None or r[0] > settled]
         if fresh:
             self.waiting.appendList(fresh)
@@ -63,7 +62,7 @@ class ChangedOnly(StatefulProcessor):
         out = []
         for at, value, payload in due:
             if first or value != last:
-                out.append(Row(**dict(zip(SERIES, key, strict=True)), content_hash=value, captured_at=moment(at), payload=payload))
+                out.append(Row(**dict(zip(SERIES, key, strict=True)), content_hash=value, micros=at, payload=payload))
             last, first = value, False
         self.last.update((last, due[-1][0]))
         self.waiting.clear()
@@ -76,21 +75,13 @@ class ChangedOnly(StatefulProcessor):
         pass
 
 
-def micros(at: dt.datetime) -> int:
-    """Microseconds since 1970 of a time as Spark hands it over (local if it has no zone)."""
-    at = at.astimezone(dt.timezone.utc)
-    return (at - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) // dt.timedelta(microseconds=1)
-
-
-def moment(at: int) -> dt.datetime:
-    return (dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(microseconds=at)).astimezone().replace(tzinfo=None)
-
-
 def changed_only(captures: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """Captures that differ from the one before in their series, in order of time, as late as ``delay`` behind the newest."""
     captures.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    keyed = captures.withColumn("node_label", F.coalesce("node_label", F.lit(""))).withWatermark("captured_at", delay)
-    return keyed.groupBy(*SERIES).transformWithState(ChangedOnly(), schemas.CAPTURE, "append", "eventTime")
+    keyed = captures.withColumns({"node_label": F.coalesce("node_label", F.lit("")), "micros": F.unix_micros("captured_at")}).withWatermark("captured_at", delay)
+    schema = ", ".join([*(f"{c} string" for c in SERIES), "content_hash string, micros long, payload string"])
+    out = keyed.groupBy(*SERIES).transformWithState(ChangedOnly(), schema, "append", "eventTime")
+    return out.withColumn("captured_at", F.timestamp_micros("micros")).select(*captures.columns)
 
 
 def ingest(captures: DataFrame, path: str, checkpoint: str, delay: str = "0 seconds") -> StreamingQuery:

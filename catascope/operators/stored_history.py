@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from catascope import schemas
 from catascope.sources.manifest import Manifest
+from catascope.sources.scratch import remove
 
 SERIES = ["project_id", "database_id", "kind", "node_label"]
 HEAD = "project_id string, database_id string, kind string, node_label string, content_hash string, captured_at timestamp"
@@ -64,6 +65,7 @@ class StoredHistory:
             parts[f"r{batch}-{k['kind']}"] = {"folder": f"{staged}/rows/part={k['kind']}", "kind": k["kind"], "n": k["n"], "first": k["first"], "last": k["last"]}
         parts |= {name: {"folder": f"{staged}/outcomes"}, "heads": {"folder": f"{staged}/heads"}}
         self.table.commit(version + 1, {"last": batch, "parts": parts})
+        remove(self.spark, f"{self.table.path}/{staged}/judged")
         return self.table.load({"parts": parts}, OUTCOME, [name])
 
     def delete_before(self, cutoff: dt.datetime, kind: str = "schema") -> int:

@@ -171,6 +171,23 @@ def equality_selectivity(n_distinct: Column, rows: Column) -> Column:
     return F.when(n_distinct.isNull() | (n_distinct == 0), 0.5).when(n_distinct > 0, 1 / n_distinct).otherwise(1 / F.greatest(F.lit(1.0), -n_distinct * rows))
 
 
+def fixed_text(x: Column, places: int) -> Column:
+    """A number from 0 on with so many decimals, rounded by its exact binary value as C and SQL engines do, a tie to even.
+
+    Java's formats round the shortest decimal text instead: 1.5e-6 lies just below the tie, and they round it up. The
+    product with the power of ten is split without error, so what its rounding lost decides where it seems a tie.
+    """
+    unit = float(10**places)
+    p = x * unit
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    lost = (high * unit - p) + (x - high) * unit
+    whole = F.floor(p)
+    over = p - whole - 0.5
+    up = (over > 0) | ((over == 0) & ((lost > 0) | ((lost == 0) & (whole % 2 == 1))))
+    n = whole + up.cast("long")
+    return F.format_string(f"%d.%0{places}d", F.floor(n / unit), n % 10**places)
+
+
 def dominant_value(mcv: Column, mcf: Column, threshold: float) -> Column:
     return F.get(F.transform(F.filter(F.arrays_zip(mcv.alias("v"), mcf.alias("f")), lambda x: x["f"] > threshold), lambda x: x["v"]), F.lit(0))
 

@@ -42,7 +42,7 @@ stat AS (SELECT w.column_name, CAST(reltuples AS BIGINT) AS reltuples, (reltuple
 def c1(s, d):
     return C.compute_column_stats(_lines(s, d), COLUMNS, "pos").select(
         "column_name", "reltuples", "null_frac", "n_distinct", F.array_join("mcv", ",").alias("mcv"),
-        F.array_join(F.transform("mcf", lambda x: F.format_string("%.6f", x)), ",").alias("mcf"),
+        F.array_join(F.transform("mcf", lambda x: C.fixed_text(x, 6)), ",").alias("mcf"),
         F.element_at("bounds", 1).alias("b0"), F.element_at("bounds", 6).alias("b5"), F.element_at("bounds", 11).alias("b10"), F.round("correlation", 6).alias("correlation"),
         F.concat_ws(" ", *[F.element_at("text_bounds", i) for i in (1, 6, 11)]).alias("texts"),
     )
@@ -55,7 +55,7 @@ def _profile(s, d):
 
 
 def c11(s, d):
-    return _profile(s, d).withColumn("top", F.array_join(F.transform("top", lambda x: F.concat_ws("=", x["value"], F.format_string("%.4f", x["pct"]))), ","))
+    return _profile(s, d).withColumn("top", F.array_join(F.transform("top", lambda x: F.concat_ws("=", x["value"], C.fixed_text(x["pct"], 4))), ","))
 
 
 def c12(s, d):

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catascope.functions.names import filter_column, index_method
+from catascope.sources.scratch import Rounds
 
 K = ["project_id", "database_id", "schema_hash"]
 TABLE = [*K, "table_schema", "table_name"]
@@ -28,7 +29,8 @@ APPENDS = ("Append", "Merge Append")
 
 def read_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents with ``plan`` and the times of an analysed one, rejected): a list of one plan or a plan by itself."""
-    either = lambda key: F.coalesce(F.get_json_object("plan_json", f"$[0]{key}"), F.get_json_object("plan_json", f"${key}"))
+    listed = F.col("plan_json").rlike(r"^\s*\[")  # each document is searched once
+    either = lambda key: F.when(listed, F.get_json_object("plan_json", f"$[0]{key}")).otherwise(F.get_json_object("plan_json", f"${key}"))
     rows = docs.withColumns({
         "plan": either(".Plan"), "planning_time": either("['Planning Time']").cast("double"), "execution_time": either("['Execution Time']").cast("double"),
     })
@@ -74,7 +76,10 @@ def parse_plans(docs: DataFrame) -> DataFrame:
             except (TypeError, ValueError, OverflowError):
                 raise ValueError(f"{key}: {json.dumps(v)[:100]}") from None
 
-        def nodes(text: str) -> list[tuple]:
+        slots = {key: (1 + len(places) + i, kind, default) for i, (key, kind, default) in enumerate(fields.values())}
+        blank = [None] * (1 + len(places)) + [default for _, _, default in fields.values()]
+
+        def nodes(text: str) -> list[list]:
             stack, rows = [(json.loads(text), (), None)], []
             while stack:
                 node, path, above = stack.pop()
@@ -83,7 +88,19 @@ def parse_plans(docs: DataFrame) -> DataFrame:
                 below = node.get("Plans") or []
                 if not isinstance(below, list):
                     raise ValueError(f"Plans: {json.dumps(below)[:100]}")
-                rows.append((None, path, path[:-1] if path else None, path[-1] if path else None, len(path), above, *(value(node, *f) for f in fields.values())))
+                row = blank.copy()
+                row[1], row[4], row[5] = path, len(path), above
+                if path:
+                    row[2], row[3] = path[:-1], path[-1]
+                try:
+                    for key in node:  # a node has few of the fields
+                        if (slot := slots.get(key)) is not None:
+                            row[slot[0]] = value(node, key, *slot[1:])
+                except ValueError:  # the first problem in the order of the fields
+                    for f in fields.values():
+                        value(node, *f)
+                    raise
+                rows.append(row)
                 kind = node.get("Node Type")
                 stack += [(child, (*path, k), None if kind is None else str(kind)) for k, child in reversed(list(enumerate(below)))]
             return rows
@@ -222,13 +239,17 @@ def nested_loop_advice(nodes: DataFrame, least: float = 100) -> DataFrame:
 def sort_advice(nodes: DataFrame, least: float = 10_000) -> DataFrame:
     """Large sorts with keys over a base table: the first table below in document order.
 
-    Every scan stands under the paths of all nodes above it, so a sort meets its own subtree only.
+    In that order a node's subtree follows it at once: the next table after a sort is the one below it, if the sort's
+    path leads there. So one window over each plan does it, without a join.
     """
-    sorts = nodes.where((F.col("node_type") == "Sort") & (F.col("plan_rows") >= least) & (F.size("sort_key") > 0)).select(*K, "plan_id", "path", "sort_key", "plan_rows")
-    above = F.transform(F.sequence(F.lit(0), F.size("path")), lambda n: F.slice("path", F.lit(1), n))
-    below = nodes.where("relation is not null").select(*K, "plan_id", F.col("path").alias("p"), "relation", F.explode(above).alias("path"))
-    rows = sorts.join(below, [*K, "plan_id", "path"])
-    return rows.groupBy(*K, "plan_id", "path").agg(F.min_by("relation", "p").alias("table_name"), F.first("sort_key").alias("sort_key"), F.first("plan_rows").alias("plan_rows"))
+    large = (F.col("node_type") == "Sort") & (F.col("plan_rows") >= least) & (F.size("sort_key") > 0)
+    rows = nodes.withColumn("large", F.coalesce(large, F.lit(False))).where("large or relation is not null")
+    after = Window.partitionBy(*K, "plan_id").orderBy(F.col("path").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    table = F.last(F.when(F.col("relation").isNotNull(), F.struct("path", "relation")), ignorenulls=True).over(after)
+    rows = rows.select(*K, "plan_id", "path", "large", "sort_key", "plan_rows", table.alias("t"))
+    below = F.col("large") & (F.slice("t.path", F.lit(1), F.size("path")) == F.col("path"))
+    rows = rows.where(below).groupBy(*K, "plan_id", "path")
+    return rows.agg(F.min_by("t.relation", "t.path").alias("table_name"), F.first("sort_key").alias("sort_key"), F.first("plan_rows").alias("plan_rows"))
 
 
 def cte_advice(nodes: DataFrame, least: float = 1000) -> DataFrame:
@@ -244,7 +265,13 @@ def impact(rows: Column) -> Column:
 
 
 def suggest_indexes(nodes: DataFrame, indexes: DataFrame, scan_rows: float = 1000, sort_rows: float = 5000) -> DataFrame:
-    """Suggestions of all plans: (plan, table, columns, impact) from unindexed filters and from sorts."""
+    """Suggestions of all plans: (plan, table, columns, impact) from unindexed filters and from sorts.
+
+    What they need of the nodes is written once: filters, sorts and the tables below sorts each read it, and documents
+    are parsed once.
+    """
+    used = nodes.where("relation is not null or node_type in ('Seq Scan', 'Sort')")
+    nodes = Rounds(nodes.sparkSession, "plan-nodes").put(used.select(*K, "plan_id", "path", "node_type", "relation", "rel_schema", "plan_rows", "filter", "sort_key"), "nodes")
     n = _own(nodes)
     scans = n.where((F.col("node_type") == "Seq Scan") & (F.col("plan_rows") >= scan_rows)).withColumn("column_name", filter_column(F.col("filter"))).where("column_name is not null")
     scans = scans.join(_leading(indexes), [*TABLE, "column_name"], "left_anti").select(*K, "plan_id", "table_name", F.col("column_name").alias("columns"), "plan_rows", F.lit(0).alias("place"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K = ["project_id", "database_id", "schema_hash"]
@@ -33,13 +33,21 @@ def _filters(facts: DataFrame) -> DataFrame:
     return rows.select(*K, "query_id", F.col("c.qualifier").alias("qualifier"), F.col("c.column").alias("column_name"))
 
 
-def _qualified(facts: DataFrame) -> DataFrame:
-    refs = references(facts).select(*K, "query_id", "table_schema", "table_name", F.explode(F.array_distinct(F.array("table_name", F.coalesce("alias", "table_name")))).alias("qualifier"))
-    return _filters(facts).where("qualifier is not null").join(refs, [*K, "query_id", "qualifier"])
+def _filtered_references(facts: DataFrame, bare: bool) -> DataFrame:
+    """(TABLE, query_id, column_name): a query's references with its filter columns, both from the query's own row.
+
+    A qualified column goes with the references that it names by table or alias, with ``bare`` an unqualified one with
+    the only reference.
+    """
+    rows = facts.select(*K, "query_id", "tables", F.explode("filter_columns").alias("c")).select(*K, "query_id", "c", F.size("tables").alias("n"), F.explode("tables").alias("t"))
+    named = (F.col("c.qualifier") == F.col("t.name")) | (F.col("c.qualifier") == F.col("t.alias"))
+    if bare:
+        named = named | (F.col("c.qualifier").isNull() & (F.col("n") == 1))
+    return rows.where(named).select(*K, F.coalesce("t.schema", F.lit("public")).alias("table_schema"), F.col("t.name").alias("table_name"), "query_id", F.col("c.column").alias("column_name"))
 
 
 def missing_columns(facts: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
-    rows = _qualified(facts).join(tables.select(*TABLE), TABLE, "left_semi").join(columns.select(*TABLE, "column_name"), [*TABLE, "column_name"], "left_anti")
+    rows = _filtered_references(facts, bare=False).join(tables.select(*TABLE), TABLE, "left_semi").join(columns.select(*TABLE, "column_name"), [*TABLE, "column_name"], "left_anti")
     return _issue(rows, "missing_column", "error", F.concat_ws(".", "table_name", "column_name")).distinct()
 
 
@@ -82,10 +90,7 @@ def antipatterns(facts: DataFrame, stat_table: DataFrame, partitioned: DataFrame
 
 def suggest_from_filters(facts: DataFrame, stat_table: DataFrame, indexes: DataFrame, least: float = 1000) -> DataFrame:
     """Filter columns of large tables that no index leads on; unqualified ones only where one table is referenced."""
-    single = references(facts).join(facts.where(F.size("tables") == 1).select(*K, "query_id"), [*K, "query_id"], "left_semi").select(*TABLE, "query_id")
-    bare = _filters(facts).where("qualifier is null").join(single, [*K, "query_id"])
-    cols = [*TABLE, "query_id", "column_name"]
-    rows = _qualified(facts).select(*cols).unionByName(bare.select(*cols)).distinct()
+    rows = _filtered_references(facts, bare=True).distinct()
     lead = indexes.select(*TABLE, F.get("columns", F.lit(0)).alias("column_name")).distinct()
     return rows.join(stat_table.where(F.col("reltuples") >= least).select(*TABLE), TABLE, "left_semi").join(lead, [*TABLE, "column_name"], "left_anti")
 
@@ -100,5 +105,7 @@ def validate(facts: DataFrame, issues: DataFrame) -> DataFrame:
 def advise(suggestions: DataFrame, plan_advice: DataFrame) -> DataFrame:
     """Plan advice first, then suggestions from the log that no plan gave, per query."""
     key = [*K, "query_id", "table_name", "column_name"]
-    plan = plan_advice.select(*key, F.lit("plan").alias("origin"))
-    return plan.unionByName(suggestions.select(*key, F.lit("query").alias("origin")).join(plan, key, "left_anti"))
+    both = plan_advice.select(*key, F.lit("plan").alias("origin")).unionByName(suggestions.select(*key, F.lit("query").alias("origin")))
+    # a window over each suggestion: a join might send one side, which grows with the log, to every task
+    given = F.max(F.col("origin") == "plan").over(Window.partitionBy(*key)) & F.col("column_name").isNotNull()
+    return both.withColumn("given", given).where("origin = 'plan' or not given").drop("given")

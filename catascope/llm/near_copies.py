@@ -10,8 +10,9 @@ frequent last, by frequency, and the others by hash; it decides the work, never
 Members of a key are paired with one of them, its hub, never with each other, so candidates grow with the
 memberships. What is verified on the whole sets is joined to components; in each of ``rounds`` rounds every
 key takes another hub, and members that are not yet in its component are paired with it. Size and position
-bounds drop pairs that cannot reach the similarity. A link is lost only where two texts are similar to each
-other but to no hub of all the keys that they share, nor to anything that leads there.
+bounds drop pairs that cannot reach the similarity. What then is left, members of a key that are still in
+different components and were not compared, is compared pair by pair: the components are those of all pairs
+of the similarity. The rounds only keep these pairs few: copies of each other are one component by then.
 
 Defined cases: case (ASCII) and white space (ASCII) do not count; wordless and null texts are one group;
 fewer words than a shingle: the whole sequence is the one shingle; an empty table gives an empty result.
@@ -194,6 +195,17 @@ def hub_pairs(shared: DataFrame, labels: DataFrame | None, turn: int, percent: i
     return pairs.select(F.least("x.node", "hub.x.node").alias("a"), F.greatest("x.node", "hub.x.node").alias("b"))
 
 
+def open_pairs(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all members of a key that are in different components and can be similar."""
+    named = labels.select(F.col("node").alias("__node"), F.col("label").alias("__label"))
+    members = shared.join(named, F.col("x.node") == F.col("__node"), "left").select("key", "x", F.coalesce("__label", "x.node").alias("label"))
+    several = members.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("key")
+    members = stored(members.join(several, "key", "left_semi"), "open-members")
+    side = lambda s: members.select("key", F.col("x").alias(s), F.col("label").alias(f"label_{s}"))
+    pairs = side("x").join(side("y"), "key").where((F.col("x.node") < F.col("y.node")) & (F.col("label_x") != F.col("label_y")) & _possible(F.col("x"), F.col("y"), percent))
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
 def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
     """(doc_id, h, label) per row; rows of one label are linked over texts of the stated similarity."""
     nodes = stored(text_nodes(docs, width), "text-nodes")
@@ -211,6 +223,9 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, rounds: i
         more = verified(pairs, docs, nodes, width, percent)
         edges, tried = (more, pairs) if tried is None else (edges.unionByName(more), tried.unionByName(pairs))
         labels = components(edges)
+    rest = stored(open_pairs(shared, labels, percent).distinct().join(tried, ["a", "b"], "left_anti"), "open-pairs")
+    if not rest.isEmpty():
+        labels = components(edges.unionByName(verified(rest, docs, nodes, width, percent)))
     return nodes.join(labels, "node", "left").select("doc_id", "h", F.coalesce("label", "node").alias("label"))
 
 

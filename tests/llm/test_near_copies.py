@@ -72,3 +72,15 @@ def test_crowded_key(spark):
         rows += [(len(rows) + k, f"{common} {own} {rng.randrange(10**6)}") for k in range(15)]
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], SCHEMA)
     assert sorted(r["doc_id"] for r in keep_one(docs).collect()) == sorted(rows[i][0] for i in kept(rows))
+
+
+def test_pairs_that_meet_no_hub(spark, monkeypatch):
+    """With hubs that find nothing, members of a key are still compared with each other."""
+    from catascope.llm import near_copies
+
+    rows = list(enumerate(planted(3, 12)))
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], SCHEMA)
+    hubs, simhash = near_copies.hub_pairs, near_copies.simhash_pairs
+    monkeypatch.setattr(near_copies, "hub_pairs", lambda *a: hubs(*a).where("false"))
+    monkeypatch.setattr(near_copies, "simhash_pairs", lambda nodes: simhash(nodes).where("false"))
+    assert sorted(r["doc_id"] for r in near_copies.keep_one(docs).collect()) == sorted(rows[i][0] for i in kept(rows))

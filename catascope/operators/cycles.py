@@ -1,6 +1,8 @@
 """Directed graphs of many catalogs at once: strongly connected components and elementary cycles.
 
-Every round is written to the shared folder and read back, so plans keep their size however many rounds run.
+Every round is written to the shared folder and read back, so plans keep their size however many rounds run. Written
+rounds are far smaller than their rows in memory, so joins of rounds name a merge: by file size Spark would gather them
+in the driver and send them to every task.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ def _labels(edges: DataFrame, rounds: Rounds, seed: int, most: int) -> DataFrame
     labels = rounds.put(ends.select(*K, "n", own.alias("h"), own.alias("fore"), own.alias("back"), F.lit(True).alias("moved")), "labels-0")
     none = F.lit(None).cast("long")
     for i in range(most):
-        ahead = edges.join(labels.select(*K, F.col("n").alias("a"), "fore"), [*K, "a"]).select(*K, F.col("b").alias("n"), "fore", none.alias("back"))
-        behind = edges.join(labels.select(*K, F.col("n").alias("b"), "back"), [*K, "b"]).select(*K, F.col("a").alias("n"), none.alias("fore"), "back")
-        jump = labels.select(*K, "n", F.col("fore").alias("h")).join(labels.select(*K, "h", "fore"), [*K, "h"]).select(*K, "n", "fore", none.alias("back"))
-        hop = labels.select(*K, "n", F.col("back").alias("h")).join(labels.select(*K, "h", "back"), [*K, "h"]).select(*K, "n", none.alias("fore"), "back")
+        ahead = edges.join(labels.select(*K, F.col("n").alias("a"), "fore").hint("merge"), [*K, "a"]).select(*K, F.col("b").alias("n"), "fore", none.alias("back"))
+        behind = edges.join(labels.select(*K, F.col("n").alias("b"), "back").hint("merge"), [*K, "b"]).select(*K, F.col("a").alias("n"), none.alias("fore"), "back")
+        jump = labels.select(*K, "n", F.col("fore").alias("h")).join(labels.select(*K, "h", "fore").hint("merge"), [*K, "h"]).select(*K, "n", "fore", none.alias("back"))
+        hop = labels.select(*K, "n", F.col("back").alias("h")).join(labels.select(*K, "h", "back").hint("merge"), [*K, "h"]).select(*K, "n", none.alias("fore"), "back")
         had = labels.select(*K, "n", "fore", "back", "h", F.col("fore").alias("fore0"), F.col("back").alias("back0"))
         for more in (ahead, behind, jump, hop):
             had = had.unionByName(more, allowMissingColumns=True)
@@ -53,7 +55,7 @@ def component_edges(edges: DataFrame, rounds: Rounds, most: int = 24) -> DataFra
         labels = _labels(live, rounds, i, most)
         deep = labels.where("moved").select(*K, F.lit(True).alias("deep")).distinct()
         side = lambda c, s: labels.select(*K, F.col("n").alias(c), F.struct("fore", "back").alias(s))  # noqa: E731, B023
-        both = live.join(side("a", "la"), [*K, "a"]).join(side("b", "lb"), [*K, "b"]).join(deep, K, "left").where("la = lb or coalesce(deep, false)")
+        both = live.join(side("a", "la").hint("merge"), [*K, "a"]).join(side("b", "lb").hint("merge"), [*K, "b"]).join(deep, K, "left").where("la = lb or coalesce(deep, false)")
         # one label on both sides belongs to a node that leads to both ends and back: a component
         kept = rounds.put(both.select(*K, "a", "b", F.expr("la.fore = la.back or coalesce(deep, false)").alias("settled")), f"kept-{i}")
         rounds.drop(f"edges-{i}", *(f"labels-{k}" for k in range(most + 1)))
@@ -80,21 +82,21 @@ def elementary_cycles(edges: DataFrame, max_len: int = 10) -> DataFrame:
     schema = last.schema
     for d in range(2, max_len):
         known = spark.read.schema(schema).parquet(*levels)
-        more = last.where("n <> s").withColumnRenamed("n", "b").join(live, [*K, "b"]).where("a > s").select(*keys, F.col("a").alias("n"), F.lit(d).alias("d")).distinct()
-        last = rounds.put(more.join(known.select(*keys, "n"), [*keys, "n"], "left_anti").select(*keys, "n", "d"), f"back-{d}")
+        more = last.where("n <> s").withColumnRenamed("n", "b").join(live.hint("merge"), [*K, "b"]).where("a > s").select(*keys, F.col("a").alias("n"), F.lit(d).alias("d")).distinct()
+        last = rounds.put(more.join(known.select(*keys, "n").hint("merge"), [*keys, "n"], "left_anti").select(*keys, "n", "d"), f"back-{d}")
         if last.isEmpty():
             break
         levels.append(rounds.path(f"back-{d}"))
     near = spark.read.schema(schema).parquet(*levels)
     # (s, a, b, d): steps of cycles from s, with what b still needs to get back (0: b is s)
-    to = live.join(near.where("n <> s").withColumnRenamed("n", "b"), [*K, "b"]).select(*keys, "a", "b", "d")
+    to = live.join(near.where("n <> s").withColumnRenamed("n", "b").hint("merge"), [*K, "b"]).select(*keys, "a", "b", "d")
     closing = near.where("d = 1").select(*keys, F.col("n").alias("a"), F.col("s").alias("b"), F.lit(0).alias("d"))
     steps = rounds.put(to.where("a >= s").unionByName(closing), "steps")
     ways = steps.select(*keys, F.col("a").alias("at"), F.col("b").alias("next"), "d")
     paths = near.where("d = 1").select(*keys, F.array("s").alias("path"), F.col("s").alias("at")).distinct()
     closed = []
     for k in range(1, max_len + 1):
-        grown = paths.join(ways, [*keys, "at"]).where((F.col("d") + k <= max_len) & ((F.col("next") == F.col("s")) | ~F.array_contains("path", F.col("next"))))
+        grown = paths.join(ways.hint("merge"), [*keys, "at"]).where((F.col("d") + k <= max_len) & ((F.col("next") == F.col("s")) | ~F.array_contains("path", F.col("next"))))
         grown = rounds.put(grown.select(*keys, "path", "next"), f"paths-{k}")
         closed.append(rounds.path(f"paths-{k}"))
         paths = grown.where("next <> s").select(*keys, F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("at"))

@@ -34,17 +34,31 @@ class Timeline:
         return self.versions.where("seq > 1").select(*STREAM, "from_hash", F.col("content_hash").alias("to_hash"))
 
 
-def intervals(rows: DataFrame, timeline: Timeline, key: Sequence[str], values: Sequence[str]) -> DataFrame:
+#: Rows of all versions that one shuffle partition of ``intervals`` is dealt.
+PARTITION_ROWS = 500_000
+
+
+def intervals(rows: DataFrame, timeline: Timeline, key: Sequence[str], values: Sequence[str], partition_rows: int = PARTITION_ROWS) -> DataFrame:
     """(stream, key, start, stop, body): every stretch of versions in which an object stays the same, ``stop`` exclusive.
 
-    ``key`` identifies a row within its version. Each version's rows are read once; a window holds one object.
+    ``key`` identifies a row within its version. A window holds one object, and all windows share one sort. The rows are
+    counted first, so that a task sorts about ``partition_rows`` of them however many versions there are.
     """
+    return _dealt_intervals(rows, timeline, key, values, partition_rows).drop("deal")
+
+
+def _dealt_intervals(rows: DataFrame, timeline: Timeline, key: Sequence[str], values: Sequence[str], partition_rows: int = PARTITION_ROWS) -> DataFrame:
+    """The intervals with ``deal``, a hash of their object, by which they lie in partitions; unlike a key it is never folded as a constant."""
     body = F.struct(*[F.col(v) for v in values]) if values else F.struct(F.lit(1).alias("one"))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // partition_rows))
     at = timeline.versions.select(*STREAM, "seq", "content_hash").join(rows.withColumnRenamed("schema_hash", "content_hash"), [*STREAM, "content_hash"]).select(*STREAM, *key, "seq", body.alias("body"))
-    order = Window.partitionBy(*STREAM, *key).orderBy("seq")
+    order = Window.partitionBy("deal", *STREAM, *key).orderBy("seq")
     goes_on = (F.lag("seq").over(order) == F.col("seq") - 1) & F.lag("body").over(order).eqNullSafe(F.col("body"))
-    runs = at.withColumn("new", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("run", F.sum("new").over(order))
-    return runs.groupBy(*STREAM, *key, "run").agg(F.min("seq").alias("start"), (F.max("seq") + 1).alias("stop"), F.first("body").alias("body")).drop("run")
+    marked = at.withColumn("deal", F.xxhash64(*STREAM, *key)).repartition(parts, "deal").withColumn("new", ~F.coalesce(goes_on, F.lit(False)))
+    # of a stretch only its first and last row are left, the stop of the first is behind the last
+    ends = marked.withColumn("end", F.coalesce(F.lead("new").over(order), F.lit(True))).where("new or end")
+    stop = F.when(F.col("end"), F.col("seq")).otherwise(F.lead("seq").over(order)) + 1
+    return ends.withColumn("stop", stop).where("new").select("deal", *STREAM, *key, F.col("seq").alias("start"), "stop", "body")
 
 
 def version_at(spans: DataFrame, seq: int) -> DataFrame:
@@ -53,8 +67,8 @@ def version_at(spans: DataFrame, seq: int) -> DataFrame:
 
 
 def _interval_sides(spans: DataFrame, timeline: Timeline, key: Sequence[str]) -> DataFrame:
-    """(pair, key, old, new) of every object at every version where it appears, changes or goes."""
-    order = Window.partitionBy(*STREAM, *key).orderBy("start")
+    """(pair, key, old, new) of every object at every version where it appears, changes or goes, from dealt intervals."""
+    order = Window.partitionBy("deal", *STREAM, *key).orderBy("start")
     before = F.lag("stop").over(order) == F.col("start")
     begins = F.struct(F.col("start").alias("seq"), F.when(before, F.lag("body").over(order)).alias("old"), F.col("body").alias("new"))
     kind = spans.schema["body"].dataType
@@ -84,7 +98,7 @@ def _sides(rows: DataFrame, pairs: DataFrame | Timeline, key: Sequence[str], val
     For a timeline, from intervals, and only what differs.
     """
     if isinstance(pairs, Timeline):
-        return _interval_sides(intervals(rows, pairs, key, values), pairs, key)
+        return _interval_sides(_dealt_intervals(rows, pairs, key, values), pairs, key)
     body = F.struct(*[F.col(v) for v in values]) if values else F.struct(F.lit(1).alias("one"))
     old = pairs.join(rows.withColumnRenamed("schema_hash", "from_hash"), [*STREAM, "from_hash"]).select(*PAIR, *key, body.alias("old"))
     new = pairs.join(rows.withColumnRenamed("schema_hash", "to_hash"), [*STREAM, "to_hash"]).select(*PAIR, *key, body.alias("new"))

@@ -65,10 +65,12 @@ def text_nodes(docs: DataFrame, width: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            node = pa.array([node_of(words_of(t)) for t in texts], pa.int64())
-            fp = pa.array([fingerprint(t, width) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, fp], names=["doc_id", "h", "node", "fp"])
+            node, fp = [], []
+            for text in batch.column(2):  # a text at a time: a batch of them as Python strings takes several times its bytes
+                value = text.as_py()
+                node.append(node_of(words_of(value)))
+                fp.append(fingerprint(value, width))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(fp, pa.int64())], names=["doc_id", "h", "node", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", text_digest(F.col("text")).alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h string, node long, fp long")
@@ -84,17 +86,32 @@ def simhash_pairs(nodes: DataFrame) -> DataFrame:
     return same.unionByName(near.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")))
 
 
-def entries(docs: DataFrame, width: int, percent: int, head=None) -> DataFrame:
-    """(key, node, n, pos): the first shingles of each text in the order of ``head``, of n; all without a head.
+def distinct_sets(batches: Iterator, width: int) -> Iterator:
+    """(node, shingle set) of the texts with words in a task, without those that it remembers."""
+    seen: set[int] = set()
+    for batch in batches:
+        for text in batch.column(0):
+            words = words_of(text.as_py())
+            node = node_of(words)
+            if not words or node in seen:
+                continue
+            if len(seen) >= 500_000:
+                seen.clear()
+            seen.add(node)
+            yield node, shingle_set(words, width)
 
-    A task leaves out texts that it remembers; ``head``: (sorted shingles, rank of each from 1).
+
+def entries(docs: DataFrame, width: int, percent: int, head, batch_keys: int = 1 << 17) -> DataFrame:
+    """(key, node, n, pos): the first shingles of each text in the order of ``head``, of n.
+
+    A task leaves out texts that it remembers; ``head``: (sorted shingles, rank of each from 1). ``batch_keys`` bounds
+    what a task holds of its output, not what it returns.
     """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        seen: set[int] = set()
         held: list[tuple] = []
         size = 0
 
@@ -110,39 +127,55 @@ def entries(docs: DataFrame, width: int, percent: int, head=None) -> DataFrame:
                 names=["key", "node", "n", "pos"],
             )
 
-        for batch in batches:
-            for text in batch.column(0):
-                words = words_of(text.as_py())
-                node = node_of(words)
-                if not words or node in seen:
-                    continue
-                if len(seen) >= 500_000:
-                    seen.clear()
-                seen.add(node)
-                keys = shingle_set(words, width)
-                n = len(keys)
-                if head is not None:
-                    at = np.minimum(np.searchsorted(head[0], keys), max(len(head[0]) - 1, 0))
-                    rank = np.where(head[0][at] == keys, head[1][at], 0) if len(head[0]) else np.zeros(n, dtype=np.int32)
-                    keys = keys[np.argsort(rank, kind="stable")][: n + (-percent * n) // 100 + 1]
-                held.append((keys, node, n))
-                size += len(keys)
-                if size >= 1 << 19:
-                    yield flush()
-                    held, size = [], 0
+        for node, keys in distinct_sets(batches, width):
+            n = len(keys)
+            at = np.minimum(np.searchsorted(head[0], keys), max(len(head[0]) - 1, 0))
+            rank = np.where(head[0][at] == keys, head[1][at], 0) if len(head[0]) else np.zeros(n, dtype=np.int32)
+            keys = keys[np.argsort(rank, kind="stable")[: n + (-percent * n) // 100 + 1]]
+            held.append((keys, node, n))
+            size += len(keys)
+            if size >= batch_keys:
+                yield flush()
+                held, size = [], 0
         if held:
             yield flush()
 
     return docs.select("text").mapInArrow(run, "key long, node long, n int, pos int")
 
 
+def shingle_counts(docs: DataFrame, width: int, batch_keys: int = 1 << 19) -> DataFrame:
+    """(key, n): how many texts have each shingle, a text that a task remembers once; added up in the tasks first."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        held, size = [], 0
+
+        def flush() -> Iterator:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            for a in range(0, len(keys), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + (1 << 16)]), pa.array(n[a : a + (1 << 16)], pa.int64())], names=["key", "n"])
+
+        for _, keys in distinct_sets(batches, width):
+            held.append(keys)
+            size += len(keys)
+            if size >= batch_keys:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
+
+    return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
 def frequent(docs: DataFrame, width: int):
     """(sorted shingles, rank of each): the shingles of most documents of a sample, at most ``HEAD``."""
     import numpy as np
 
     step = max(1, docs.count() // SAMPLE)
     part = docs.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0)
-    counts = entries(part, width, 100).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    counts = shingle_counts(part, width).where("n > 2")
     keys = counts.orderBy(F.desc("n"), "key").limit(HEAD).select("key").toArrow().column("key").to_numpy()
     order = np.argsort(keys)
     return keys[order], (len(keys) - order).astype(np.int32)

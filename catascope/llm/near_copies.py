@@ -10,9 +10,14 @@ frequent last, by frequency, and the others by hash; it decides the work, never
 Members of a key are paired with one of them, its hub, never with each other, so candidates grow with the
 memberships. What is verified on the whole sets is joined to components; in each of ``rounds`` rounds every
 key takes another hub, and members that are not yet in its component are paired with it. Size and position
-bounds drop pairs that cannot reach the similarity. What then is left, members of a key that are still in
-different components and were not compared, is compared pair by pair: the components are those of all pairs
-of the similarity. The rounds only keep these pairs few: copies of each other are one component by then.
+bounds drop pairs that cannot reach the similarity, and so do parity bits: each set is folded into ``BITS`` bits,
+each telling whether an odd number of shingles hash to it, and two sets differ in at least as many shingles as
+their bits differ in places. The bound never drops a similar pair, and up to about ``BITS`` / 2 differing shingles
+little else passes it. What then is left, members of a key that are still in different components, is compared
+pair by pair: bits first, inside the join, then the whole sets of those that pass. The components are those of
+all pairs of the similarity. The rounds only keep these pairs few: copies of each other are one component by
+then. Comparing the bits of a key's open members still takes time in the square of their number; the pairs that
+leave the join, their texts and what is written do not follow it.
 
 Defined cases: case (ASCII) and white space (ASCII) do not count; wordless and null texts are one group;
 fewer words than a shingle: the whole sequence is the one shingle; an empty table gives an empty result.
@@ -21,6 +26,8 @@ fewer words than a shingle: the whole sequence is the one shingle; an empty tabl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +35,10 @@ from pyspark.sql import Window as W
 
 from catascope.llm.common import by_value, stored
 from catascope.llm.components import components
-from catascope.llm.simhash import fingerprint, links, one_per_group, text_digest
+from catascope.llm.simhash import fingerprint_of, links, one_per_group, shingle_hashes, text_digest
 
 HEAD, SAMPLE = 1 << 18, 50_000  # frequent shingles that are ordered last, documents they are counted on
+BITS = 1024  # parity bits of a shingle set
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -47,33 +55,39 @@ def node_of(words: list[bytes]) -> int:
 def shingle_set(words: list[bytes], width: int):
     """Sorted distinct 64-bit hashes of the word shingles."""
     import numpy as np
-    import xxhash
 
-    if not words:
-        return np.zeros(0, dtype=np.int64)
-    joined, digest, width = b" ".join(words), xxhash.xxh64_intdigest, min(width, len(words))
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - width + 1].tolist()
-    hashes = (digest(joined[s:e], 42) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True))
-    return np.unique(np.fromiter(hashes, dtype=np.uint64, count=len(starts)).view(np.int64))
+    return np.unique(shingle_hashes(words, width).view(np.int64))
+
+
+def parity_bits(keys) -> bytes:
+    """``BITS`` bits of a shingle set: whether the number of its shingles with a place's hash is odd."""
+    import numpy as np
+
+    return np.packbits(np.bincount(keys & (BITS - 1), minlength=BITS) & 1, bitorder="little").tobytes()
 
 
 def text_nodes(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, h, node, fp) per row; h: digest of the text, node: hash of its words, fp: their SimHash."""
+    """(doc_id, h, node, fp, n, bits) per row; h: digest of the text, node: hash of its words, fp: their SimHash, n and bits: size and parity bits of the shingle set."""
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            node, fp = [], []
+            node, fp, n, bits = [], [], [], []
             for text in batch.column(2):  # a text at a time: a batch of them as Python strings takes several times its bytes
-                value = text.as_py()
-                node.append(node_of(words_of(value)))
-                fp.append(fingerprint(value, width))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(fp, pa.int64())], names=["doc_id", "h", "node", "fp"])
+                words = words_of(text.as_py())
+                hashes = shingle_hashes(words, width)
+                keys = np.unique(hashes.view(np.int64))
+                node.append(node_of(words))
+                fp.append(fingerprint_of(hashes))
+                n.append(len(keys))
+                bits.append(np.frombuffer(parity_bits(keys), "<i8"))
+            columns = [pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(n, pa.int32()), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "h", "node", "fp", "n", "bits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_digest(F.col("text")).alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h string, node long, fp long")
+    return docs.select("doc_id", text_digest(F.col("text")).alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h string, node long, fp long, n int, bits array<long>")
 
 
 def simhash_pairs(nodes: DataFrame) -> DataFrame:
@@ -187,6 +201,19 @@ def _possible(a: Column, b: Column, percent: int) -> Column:
     return (100 + percent) * most.cast("long") >= percent * (a["n"].cast("long") + b["n"])
 
 
+def _alike(a: Column, b: Column, percent: int) -> Column:
+    """Whether two shingle sets can reach the similarity, by their sizes ``n`` and parity ``bits``."""
+    apart = reduce(add, (F.bit_count(a["bits"][i].bitwiseXOR(b["bits"][i])) for i in range(BITS // 64)))
+    both = a["n"].cast("long") + b["n"]  # sizes less differing places: at most twice the common shingles
+    return (100 + percent) * (both - apart) >= 2 * percent * both
+
+
+def alike_pairs(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) of nodes that can be similar by their ``marks`` (node, n, bits)."""
+    a, b = (marks.select(F.col("node").alias(s), F.struct("n", "bits").alias(f"of_{s}")) for s in "ab")
+    return pairs.join(a, "a").join(b, "b").where(_alike(F.col("of_a"), F.col("of_b"), percent)).select("a", "b")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) of nodes whose shingle sets are similar."""
 
@@ -228,20 +255,23 @@ def hub_pairs(shared: DataFrame, labels: DataFrame | None, turn: int, percent: i
     return pairs.select(F.least("x.node", "hub.x.node").alias("a"), F.greatest("x.node", "hub.x.node").alias("b"))
 
 
-def open_pairs(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all members of a key that are in different components and can be similar."""
+def open_pairs(shared: DataFrame, labels: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all members of a key that are in different components and can be similar, by their ``marks`` too."""
     named = labels.select(F.col("node").alias("__node"), F.col("label").alias("__label"))
     members = shared.join(named, F.col("x.node") == F.col("__node"), "left").select("key", "x", F.coalesce("__label", "x.node").alias("label"))
     several = members.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("key")
-    members = stored(members.join(several, "key", "left_semi"), "open-members")
+    members = members.join(several, "key", "left_semi").join(marks.select(F.col("node").alias("__node"), "bits"), F.col("x.node") == F.col("__node"))
+    members = stored(members.select("key", F.struct("x.*", "bits").alias("x"), "label"), "open-members")
     side = lambda s: members.select("key", F.col("x").alias(s), F.col("label").alias(f"label_{s}"))
-    pairs = side("x").join(side("y"), "key").where((F.col("x.node") < F.col("y.node")) & (F.col("label_x") != F.col("label_y")) & _possible(F.col("x"), F.col("y"), percent))
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    x, y = F.col("x"), F.col("y")
+    near = (x["node"] < y["node"]) & (F.col("label_x") != F.col("label_y")) & _possible(x, y, percent) & _alike(x, y, percent)
+    return side("x").join(side("y"), "key").where(near).select(x["node"].alias("a"), y["node"].alias("b"))
 
 
 def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
     """(doc_id, h, label) per row; rows of one label are linked over texts of the stated similarity."""
     nodes = stored(text_nodes(docs, width), "text-nodes")
+    marks = stored(nodes.select("node", "n", "bits").dropDuplicates(["node"]), "set-marks")
     # one shuffle by key serves the removal of repetitions and the count of members
     found = entries(docs, width, percent, frequent(docs, width)).repartition("key").dropDuplicates(["key", "node"])
     found = found.withColumn("members", F.count(F.lit(1)).over(W.partitionBy("key"))).where("members > 1")
@@ -250,13 +280,14 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, rounds: i
     for turn in range(rounds):
         pairs = hub_pairs(shared, labels, turn, percent)
         pairs = (pairs if turn else pairs.unionByName(simhash_pairs(nodes))).distinct()
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "similar-candidates")
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = stored(alike_pairs(pairs, marks, percent), "similar-candidates")
         if turn and pairs.isEmpty():
             break
         more = verified(pairs, docs, nodes, width, percent)
         edges, tried = (more, pairs) if tried is None else (edges.unionByName(more), tried.unionByName(pairs))
         labels = components(edges)
-    rest = stored(open_pairs(shared, labels, percent).distinct().join(tried, ["a", "b"], "left_anti"), "open-pairs")
+    rest = stored(open_pairs(shared, labels, marks, percent).distinct().join(tried, ["a", "b"], "left_anti"), "open-pairs")
     if not rest.isEmpty():
         labels = components(edges.unionByName(verified(rest, docs, nodes, width, percent)))
     return nodes.join(labels, "node", "left").select("doc_id", "h", F.coalesce("label", "node").alias("label"))

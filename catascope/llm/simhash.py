@@ -29,24 +29,34 @@ from catascope.llm.common import apart, by_value, stored
 from catascope.llm.components import components
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """Signed 64-bit SimHash of the word shingles: a bit is set if over half the shingle hashes set it."""
+def shingle_hashes(words: list[bytes], width: int):
+    """Unsigned 64-bit hash of every word shingle, repeats included; fewer words than ``width`` are one shingle."""
     import numpy as np
     import xxhash
 
-    words = (text or "").encode().lower().split()  # bytes: ASCII case and ASCII white space only
     if not words:
-        return 0
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+        return np.zeros(0, dtype=np.uint64)
+    joined, digest, width = b" ".join(words), xxhash.xxh64_intdigest, min(width, len(words))
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(sizes + 1) - 1
-    starts, width = (ends - sizes).tolist(), min(width, len(words))
-    stops = ends[width - 1 :].tolist()
+    starts, stops = (ends - sizes).tolist(), ends[width - 1 :].tolist()
+    return np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts, stops)), dtype=np.uint64, count=len(stops))
+
+
+def fingerprint_of(hashes) -> int:
+    """Signed 64-bit SimHash: a bit is set if over half of the hashes set it; zero if there are none."""
+    import numpy as np
+
     counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(stops), 1 << 16):
-        h = np.array([digest(joined[s:e], 42) for s, e in zip(starts[at : at + (1 << 16)], stops[at : at + (1 << 16)])], dtype="<u8")
+    for at in range(0, len(hashes), 1 << 16):
+        h = hashes[at : at + (1 << 16)].astype("<u8")
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(stops), bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: str | None, width: int) -> int:
+    """SimHash of the word shingles of a text."""
+    return fingerprint_of(shingle_hashes((text or "").encode().lower().split(), width))  # bytes: ASCII case and ASCII white space only
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:

@@ -84,3 +84,53 @@ def test_pairs_that_meet_no_hub(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "hub_pairs", lambda *a: hubs(*a).where("false"))
     monkeypatch.setattr(near_copies, "simhash_pairs", lambda nodes: simhash(nodes).where("false"))
     assert sorted(r["doc_id"] for r in near_copies.keep_one(docs).collect()) == sorted(rows[i][0] for i in kept(rows))
+
+
+def test_open_pairs_are_nearly_all_similar(spark, monkeypatch):
+    """Many texts that share rare shingles and are not similar: their pairs do not leave the join."""
+    from catascope.llm import near_copies
+
+    rng, base = random.Random(4), [f"b{i}" for i in range(100)]
+    texts = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(100), 3 if i % 5 else 1):
+            words[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    seen, stored = {}, near_copies.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_copies, "stored", counted)
+    hubs, simhash = near_copies.hub_pairs, near_copies.simhash_pairs
+    monkeypatch.setattr(near_copies, "hub_pairs", lambda *a: hubs(*a).where("false"))
+    monkeypatch.setattr(near_copies, "simhash_pairs", lambda nodes: simhash(nodes).where("false"))
+    rows = list(enumerate(texts))
+    got = near_copies.keep_one(spark.createDataFrame([(i, t, 0) for i, t in rows], SCHEMA))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(rows[i][0] for i in kept(rows))
+    sets = [shingles(t) for t in texts]
+    near = sum(100 * len(a & b) >= 80 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert 0 < near <= seen["open-pairs"] <= 1.5 * near + 10
+
+
+def test_parity_bits_drop_no_similar_pair(spark):
+    import numpy as np
+    from catascope.llm import near_copies
+    from pyspark.sql import functions as F
+
+    rng, rows, want = np.random.default_rng(2), [], []
+    for i in range(150):
+        n = int(rng.integers(1, 3000))
+        a = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+        b = np.unique(np.concatenate([a[int(len(a) * rng.random() * 0.25) :], rng.integers(-(2**63), 2**63 - 1, int(len(a) * rng.random() * 0.1))]))
+        both = len(np.intersect1d(a, b))
+        rows += [(2 * i + k, len(s), np.frombuffer(near_copies.parity_bits(s), "<i8").tolist()) for k, s in enumerate((a, b))]
+        if 100 * both >= 80 * (len(a) + len(b) - both):
+            want.append(2 * i)
+    marks = spark.createDataFrame(rows, "node long, n int, bits array<long>")
+    pairs = spark.range(150).select((F.col("id") * 2).alias("a"), (F.col("id") * 2 + 1).alias("b"))
+    got = {r["a"] for r in near_copies.alike_pairs(pairs, marks, 80).collect()}
+    assert len(want) > 30 and set(want) <= got

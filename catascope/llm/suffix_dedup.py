@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from catascope.llm.common import by_value, partitions, stored
 
 GRAM = 24
-POSITION = 22  # bits of a position within a stretch of text
+POSITION = 16  # bits of a position within a stretch of text; the arrays of a stretch stay in the processor's cache
 LAST = (1 << 63) - 1  # stands for a null doc_id
 KEY = 40  # bits of an anchor's hash that travel in round 1, beside those that deal it
 
@@ -382,6 +382,8 @@ def crowded_intervals(asked: DataFrame, span: int, salts: int) -> DataFrame:
 
         for batch in rows:
             for key, block, told in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                if not any(len(_unpack(b)[1]) for b in told.as_py()):
+                    continue
                 _, first, last, doc, data = _chosen(block.as_py(), told.as_py(), span, 1)
                 raw, count = data.tobytes(), last - first + 1
                 start = _ranges(first, count)

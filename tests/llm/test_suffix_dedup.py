@@ -86,3 +86,23 @@ def test_long_text(spark):
 
 def test_brute_force_agrees():
     assert brute_removed([(0, "x" * 60), (1, "x" * 60)])[1][:3] == (60, 60, 1)
+
+
+def test_anchors_work_in_short_stretches():
+    """Anchors of long bytes hold little beside what they return, and equal strings have equal anchors across stretches."""
+    import tracemalloc
+
+    import numpy as np
+    from catascope.llm.suffix_dedup import anchors
+
+    part = np.random.default_rng(5).integers(97, 123, 1 << 20).astype(np.uint8)
+    data = np.concatenate([part, part[12_345:]])
+    anchors(part[:1000], np.array([1000]), 50)
+    tracemalloc.start()
+    h, first, last, row = anchors(data, np.array([len(part), len(data)]), 50)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 16 * len(data)
+    of = lambda r: dict(x for a, b, k in zip(first[row == r], last[row == r], h[row == r]) for x in ((i, k) for i in range(a, b + 1)))
+    one, two = of(0), of(1)
+    assert len(one) == len(part) - 49 and all(two[i - 12_345 + len(part)] == one[i] for i in range(12_345, len(part) - 49))

@@ -7,17 +7,17 @@ their shingle sets also share one of their first shingles in any common order, a
 first n - ceil(percent n) + 1 as keys. The order puts shingles that a sample of documents shows to be
 frequent last, by frequency, and the others by hash; it decides the work, never which pairs are similar.
 
-Members of a key are paired with one of them, its hub, never with each other, so candidates grow with the
-memberships. What is verified on the whole sets is joined to components; in each of ``rounds`` rounds every
-key takes another hub, and members that are not yet in its component are paired with it. Size and position
-bounds drop pairs that cannot reach the similarity, and so do parity bits: each set is folded into ``BITS`` bits,
-each telling whether an odd number of shingles hash to it, and two sets differ in at least as many shingles as
-their bits differ in places. The bound never drops a similar pair, and up to about ``BITS`` / 2 differing shingles
-little else passes it. What then is left, members of a key that are still in different components, is compared
-pair by pair: bits first, inside the join, then the whole sets of those that pass. The components are those of
-all pairs of the similarity. The rounds only keep these pairs few: copies of each other are one component by
-then. Comparing the bits of a key's open members still takes time in the square of their number; the pairs that
-leave the join, their texts and what is written do not follow it.
+Members of a key are first paired with one of them, its hub, so candidates grow with the memberships. What is
+verified on the whole sets is joined to components. Size and position bounds drop pairs that cannot reach the
+similarity, and so do parity bits: each set is folded into ``BITS`` bits, each telling whether an odd number of
+shingles hash to it, and two sets differ in at least as many shingles as their bits differ in places. The bound
+never drops a similar pair, and up to about ``BITS`` / 2 differing shingles little else passes it. What then is left,
+members of a key that are still in different components, is compared pair by pair: bits first, inside the join,
+then the whole sets of those that pass; a pair that shares several keys leaves the join at the first of them, and
+seldom again. Its links join whole components, so the second search for components has a row per pair of these.
+The components are those of all pairs of the similarity. The hubs only keep the open pairs few: copies of each
+other are one component by then. Comparing the bits of a key's open members still takes time in the square of their
+number; the pairs that leave the join, their texts and what is written do not follow it.
 
 Defined cases: case (ASCII) and white space (ASCII) do not count; wordless and null texts are one group;
 fewer words than a shingle: the whole sequence is the one shingle; an empty table gives an empty result.
@@ -39,6 +39,7 @@ from catascope.llm.simhash import fingerprint_of, links, one_per_group, shingle_
 
 HEAD, SAMPLE = 1 << 18, 50_000  # frequent shingles that are ordered last, documents they are counted on
 BITS = 1024  # parity bits of a shingle set
+BEFORE = 16  # open keys before each that a member carries
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -243,32 +244,39 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, pe
     return stored(held.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "similar")
 
 
-def hub_pairs(shared: DataFrame, labels: DataFrame | None, turn: int, percent: int) -> DataFrame:
-    """(a, b): members of a key with its hub of this round, where they are in different components and can be similar."""
-    members = shared.withColumn("label", F.col("x.node"))
-    if labels is not None:
-        named = labels.select(F.col("node").alias("__node"), F.col("label").alias("__label"))
-        members = shared.join(named, F.col("x.node") == F.col("__node"), "left").select("key", "x", F.coalesce("__label", "x.node").alias("label"))
-    order = F.struct(F.xxhash64("x.node", F.lit(turn)).alias("lot") if turn else F.col("x.node").alias("lot"), "x", "label")
-    hubs = members.groupBy("key").agg(F.min(order).alias("hub"))
-    pairs = members.join(hubs, "key").where((F.col("label") != F.col("hub.label")) & _possible(F.col("hub.x"), F.col("x"), percent))
-    return pairs.select(F.least("x.node", "hub.x.node").alias("a"), F.greatest("x.node", "hub.x.node").alias("b"))
+def hub_pairs(shared: DataFrame, percent: int) -> DataFrame:
+    """(a, b): members of a key with its hub, the least of them, where they can be similar."""
+    hubs = shared.groupBy("key").agg(F.min("x").alias("hub"))
+    pairs = shared.join(hubs, "key").where((F.col("x.node") != F.col("hub.node")) & _possible(F.col("hub"), F.col("x"), percent))
+    return pairs.select(F.col("hub.node").alias("a"), F.col("x.node").alias("b"))
 
 
 def open_pairs(shared: DataFrame, labels: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all members of a key that are in different components and can be similar, by their ``marks`` too."""
+    """(a, b): all members of a key that are in different components and can be similar, by their ``marks`` too.
+
+    Two texts that share several keys meet at the first of them, and at a later one only if none of the ``BEFORE`` open
+    keys before it, in each of the two, is the same.
+    """
     named = labels.select(F.col("node").alias("__node"), F.col("label").alias("__label"))
     members = shared.join(named, F.col("x.node") == F.col("__node"), "left").select("key", "x", F.coalesce("__label", "x.node").alias("label"))
     several = members.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("key")
     members = members.join(several, "key", "left_semi").join(marks.select(F.col("node").alias("__node"), "bits"), F.col("x.node") == F.col("__node"))
-    members = stored(members.select("key", F.struct("x.*", "bits").alias("x"), "label"), "open-members")
+    before = F.collect_list("key").over(W.partitionBy("__node").orderBy("x.pos").rowsBetween(-BEFORE, -1))
+    members = stored(members.select("key", F.struct("x.*", "bits", before.alias("before")).alias("x"), "label"), "open-members")
     side = lambda s: members.select("key", F.col("x").alias(s), F.col("label").alias(f"label_{s}"))
     x, y = F.col("x"), F.col("y")
-    near = (x["node"] < y["node"]) & (F.col("label_x") != F.col("label_y")) & _possible(x, y, percent) & _alike(x, y, percent)
+    near = (x["node"] < y["node"]) & (F.col("label_x") != F.col("label_y")) & _possible(x, y, percent) & _alike(x, y, percent) & ~F.arrays_overlap(x["before"], y["before"])
     return side("x").join(side("y"), "key").where(near).select(x["node"].alias("a"), y["node"].alias("b"))
 
 
-def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
+def label_pairs(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): the labels that ``edges`` (a, b) of nodes link; a node without a label is its own."""
+    for s in "ab":
+        edges = edges.join(labels.select(F.col("node").alias(s), F.col("label").alias(f"label_{s}")), s, "left")
+    return edges.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+
+
+def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, h, label) per row; rows of one label are linked over texts of the stated similarity."""
     nodes = stored(text_nodes(docs, width), "text-nodes")
     marks = stored(nodes.select("node", "n", "bits").dropDuplicates(["node"]), "set-marks")
@@ -276,21 +284,15 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, rounds: i
     found = entries(docs, width, percent, frequent(docs, width)).repartition("key").dropDuplicates(["key", "node"])
     found = found.withColumn("members", F.count(F.lit(1)).over(W.partitionBy("key"))).where("members > 1")
     shared = stored(found.select("key", F.struct("node", "n", "pos").alias("x")), "shared-shingles")
-    labels = edges = tried = None
-    for turn in range(rounds):
-        pairs = hub_pairs(shared, labels, turn, percent)
-        pairs = (pairs if turn else pairs.unionByName(simhash_pairs(nodes))).distinct()
-        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(alike_pairs(pairs, marks, percent), "similar-candidates")
-        if turn and pairs.isEmpty():
-            break
-        more = verified(pairs, docs, nodes, width, percent)
-        edges, tried = (more, pairs) if tried is None else (edges.unionByName(more), tried.unionByName(pairs))
-        labels = components(edges)
+    pairs = hub_pairs(shared, percent).unionByName(simhash_pairs(nodes)).distinct()
+    tried = stored(alike_pairs(pairs, marks, percent), "similar-candidates")
+    labels = components(verified(tried, docs, nodes, width, percent))
     rest = stored(open_pairs(shared, labels, marks, percent).distinct().join(tried, ["a", "b"], "left_anti"), "open-pairs")
+    groups = nodes.join(labels, "node", "left").select("doc_id", "h", F.coalesce("label", "node").alias("label"))
     if not rest.isEmpty():
-        labels = components(edges.unionByName(verified(rest, docs, nodes, width, percent)))
-    return nodes.join(labels, "node", "left").select("doc_id", "h", F.coalesce("label", "node").alias("label"))
+        over = components(label_pairs(verified(rest, docs, nodes, width, percent), labels)).select(F.col("node").alias("label"), F.col("label").alias("least"))
+        groups = groups.join(over, "label", "left").select("doc_id", "h", F.coalesce("least", "label").alias("label"))
+    return groups
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -134,3 +134,32 @@ def test_parity_bits_drop_no_similar_pair(spark):
     pairs = spark.range(150).select((F.col("id") * 2).alias("a"), (F.col("id") * 2 + 1).alias("b"))
     got = {r["a"] for r in near_copies.alike_pairs(pairs, marks, 80).collect()}
     assert len(want) > 30 and set(want) <= got
+
+
+def test_open_pairs_meet_at_one_key(spark, monkeypatch):
+    """A pair of many shared keys leaves the join about once, and what it links are components, not texts."""
+    from catascope.llm import near_copies
+
+    rows = list(enumerate(planted(5, 30)))
+    hubs, simhash, opened, components = near_copies.hub_pairs, near_copies.simhash_pairs, near_copies.open_pairs, near_copies.components
+    monkeypatch.setattr(near_copies, "simhash_pairs", lambda nodes: simhash(nodes).where("false"))
+    monkeypatch.setattr(near_copies, "hub_pairs", lambda *a: hubs(*a).where("a % 3 = 0"))
+    seen = []
+
+    def pairs(*a):
+        out = opened(*a)
+        seen.append((out.count(), out.distinct().count()))
+        return out
+
+    def joined(edges):
+        seen.append({x for r in edges.collect() for x in (r["a"], r["b"])})
+        out = components(edges)
+        seen.append({r["node"]: r["label"] for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(near_copies, "open_pairs", pairs)
+    monkeypatch.setattr(near_copies, "components", joined)
+    got = near_copies.keep_one(spark.createDataFrame([(i, t, 0) for i, t in rows], SCHEMA))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(rows[i][0] for i in kept(rows))
+    _, labels, (n, distinct), linked, _ = seen
+    assert 20 < distinct <= n <= 1.2 * distinct and linked and all(labels.get(x, x) == x for x in linked)

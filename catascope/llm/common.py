@@ -52,6 +52,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` for one side of a join by sort and merge.
+
+    Spark sizes rows that an explode makes, or that a compressed file unfolds to, by what they come from, and would gather
+    them in the driver and send them to every task.
+    """
+    return df.hint("merge")
+
+
 def apart(docs: DataFrame, helpers: Sequence[str], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``step(docs)`` where columns of ``docs`` that are named like its ``helpers`` keep their names and values."""
     taken, names = {c.lower() for c in (*docs.columns, *helpers)}, {}

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catascope.llm.common import apart, by_value, stored
+from catascope.llm.common import apart, by_value, merged, stored
 from catascope.llm.components import components
 
 
@@ -104,10 +104,10 @@ def links(fps: DataFrame, radius: int = 3, cap: int = 64) -> DataFrame:
         raise ValueError("the halves and parities used here hold for a radius of three")
     exact, flipped = half_variants(fps)
     sizes = exact.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    exact = exact.join(sizes, "key")
+    exact = exact.join(merged(sizes), "key")
     few = exact.where(F.col("n") <= cap).select("key", F.col("fp").alias("a"))
-    pairs = few.join(exact.where(F.col("n") <= cap).select("key", F.col("fp").alias("b")), "key").where("a < b")
-    pairs = pairs.unionByName(few.join(flipped.select("key", F.col("fp").alias("b")), "key"))
+    pairs = few.join(merged(exact.where(F.col("n") <= cap).select("key", F.col("fp").alias("b"))), "key").where("a < b")
+    pairs = pairs.unionByName(few.join(merged(flipped.select("key", F.col("fp").alias("b"))), "key"))
     near = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
 
     crowded = sizes.where(F.col("n") > cap).select("key")
@@ -116,7 +116,7 @@ def links(fps: DataFrame, radius: int = 3, cap: int = 64) -> DataFrame:
     close = hot.select("fp", F.explode(F.concat(F.array("fp"), _flips(F.col("fp"), 64))).alias("v"))
     least = close.groupBy("v").agg(F.min("fp").alias("a"))
     far = hot.where(F.bit_count("fp") % 2 == 1).select("fp", F.explode(_two_flips(F.col("fp"))).alias("v"))
-    stars = close.unionByName(far).join(least, "v").where("a <> fp").select("a", F.col("fp").alias("b"))
+    stars = close.unionByName(far).join(merged(least), "v").where("a <> fp").select("a", F.col("fp").alias("b"))
     return near.unionByName(stars).distinct()
 
 
@@ -151,9 +151,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
     rows = stored(fingerprints(docs, width), "fingerprints")
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     labels = components(links(fps.select("fp"), radius))
-    named = fps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    named = fps.join(merged(labels.withColumnRenamed("node", "fp")), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    return rows.join(named.select("fp", "label").join(least, "label").select("fp", "component_id"), "fp")
+    return rows.join(merged(named.select("fp", "label").join(merged(least), "label").select("fp", "component_id")), "fp")
 
 
 def keep_one(docs: DataFrame, width: int = 5, radius: int = 3) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from catascope.llm.common import by_value, stored
+from catascope.llm.common import by_value, merged, stored
 from catascope.llm.components import components
 from catascope.llm.simhash import fingerprint_of, links, one_per_group, shingle_hashes, text_digest
 
@@ -95,9 +95,9 @@ def simhash_pairs(nodes: DataFrame) -> DataFrame:
     """(a, b): every node with the least of its fingerprint, and the least nodes of linked fingerprints."""
     each = nodes.select("node", "fp").distinct()
     first = stored(each.groupBy("fp").agg(F.min("node").alias("first")), "fingerprint-nodes")
-    same = each.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    same = each.join(merged(first), "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     a, b = (first.select(F.col("fp").alias(s), F.col("first").alias(f"node_{s}")) for s in "ab")
-    near = links(first.select("fp")).join(a, "a").join(b, "b")
+    near = links(first.select("fp")).join(merged(a), "a").join(merged(b), "b")
     return same.unionByName(near.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")))
 
 
@@ -212,7 +212,7 @@ def _alike(a: Column, b: Column, percent: int) -> Column:
 def alike_pairs(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) of nodes that can be similar by their ``marks`` (node, n, bits)."""
     a, b = (marks.select(F.col("node").alias(s), F.struct("n", "bits").alias(f"of_{s}")) for s in "ab")
-    return pairs.join(a, "a").join(b, "b").where(_alike(F.col("of_a"), F.col("of_b"), percent)).select("a", "b")
+    return pairs.join(merged(a), "a").join(merged(b), "b").where(_alike(F.col("of_a"), F.col("of_b"), percent)).select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -239,15 +239,15 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, pe
     keyed = docs.select("doc_id", text_digest(F.col("text")).alias("h"), "text")
     texts = keyed.join(reps, F.col("doc_id").eqNullSafe(F.col("__doc")) & F.col("h").eqNullSafe(F.col("__h"))).dropDuplicates(["node"])
     texts = stored(texts.select("node", "text"), "candidate-texts")
-    held = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    held = held.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    held = pairs.join(merged(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))), "b")
+    held = held.join(merged(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))), "a")
     return stored(held.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "similar")
 
 
 def hub_pairs(shared: DataFrame, percent: int) -> DataFrame:
     """(a, b): members of a key with its hub, the least of them, where they can be similar."""
     hubs = shared.groupBy("key").agg(F.min("x").alias("hub"))
-    pairs = shared.join(hubs, "key").where((F.col("x.node") != F.col("hub.node")) & _possible(F.col("hub"), F.col("x"), percent))
+    pairs = shared.join(merged(hubs), "key").where((F.col("x.node") != F.col("hub.node")) & _possible(F.col("hub"), F.col("x"), percent))
     return pairs.select(F.col("hub.node").alias("a"), F.col("x.node").alias("b"))
 
 
@@ -258,15 +258,15 @@ def open_pairs(shared: DataFrame, labels: DataFrame, marks: DataFrame, percent:
     keys before it, in each of the two, is the same.
     """
     named = labels.select(F.col("node").alias("__node"), F.col("label").alias("__label"))
-    members = shared.join(named, F.col("x.node") == F.col("__node"), "left").select("key", "x", F.coalesce("__label", "x.node").alias("label"))
+    members = shared.join(merged(named), F.col("x.node") == F.col("__node"), "left").select("key", "x", F.coalesce("__label", "x.node").alias("label"))
     several = members.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("key")
-    members = members.join(several, "key", "left_semi").join(marks.select(F.col("node").alias("__node"), "bits"), F.col("x.node") == F.col("__node"))
+    members = members.join(several, "key", "left_semi").join(merged(marks.select(F.col("node").alias("__node"), "bits")), F.col("x.node") == F.col("__node"))
     before = F.collect_list("key").over(W.partitionBy("__node").orderBy("x.pos").rowsBetween(-BEFORE, -1))
     members = stored(members.select("key", F.struct("x.*", "bits", before.alias("before")).alias("x"), "label"), "open-members")
     side = lambda s: members.select("key", F.col("x").alias(s), F.col("label").alias(f"label_{s}"))
     x, y = F.col("x"), F.col("y")
     near = (x["node"] < y["node"]) & (F.col("label_x") != F.col("label_y")) & _possible(x, y, percent) & _alike(x, y, percent) & ~F.arrays_overlap(x["before"], y["before"])
-    return side("x").join(side("y"), "key").where(near).select(x["node"].alias("a"), y["node"].alias("b"))
+    return side("x").join(merged(side("y")), "key").where(near).select(x["node"].alias("a"), y["node"].alias("b"))
 
 
 def label_pairs(edges: DataFrame, labels: DataFrame) -> DataFrame:

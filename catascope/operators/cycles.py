@@ -1,6 +1,7 @@
 """Directed graphs of many catalogs at once: strongly connected components and elementary cycles.
 
-Every round is written to the shared folder and read back, so plans keep their size however many rounds run.
+Every round is written to the shared folder and read back, so plans keep their size however many rounds run. Joins
+send no round of more than ``FEW`` rows through the driver.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from catascope.sources.scratch import Rounds
 
 K = ["project_id", "database_id", "schema_hash"]
+FEW = 100_000  # rows of a round that is broadcast
 
 
 def _labels(edges: DataFrame, rounds: Rounds, seed: int, most: int) -> DataFrame:
@@ -70,22 +72,21 @@ def elementary_cycles(edges: DataFrame, max_len: int = 10) -> DataFrame:
     Inside the components, each node ``s`` takes the larger nodes that lead back to it, by breadth, with their distance;
     paths grow from ``s`` only over nodes from which it is still within reach. Both take at most ``max_len`` rounds.
     """
-    spark = edges.sparkSession
-    rounds = Rounds(spark, "cycles")
+    rounds = Rounds(edges.sparkSession, "cycles", FEW)
     live = component_edges(edges, rounds)
     keys = [*K, "s"]
     back = live.where("a >= b").select(*K, F.col("b").alias("s"), F.col("a").alias("n"), F.lit(1).alias("d"))
     last = rounds.put(back, "back-1")
-    levels = [rounds.path("back-1")]
+    levels = ["back-1"]
     schema = last.schema
     for d in range(2, max_len):
-        known = spark.read.schema(schema).parquet(*levels)
+        known = rounds.get(schema, *levels)
         more = last.where("n <> s").withColumnRenamed("n", "b").join(live, [*K, "b"]).where("a > s").select(*keys, F.col("a").alias("n"), F.lit(d).alias("d")).distinct()
         last = rounds.put(more.join(known.select(*keys, "n"), [*keys, "n"], "left_anti").select(*keys, "n", "d"), f"back-{d}")
         if last.isEmpty():
             break
-        levels.append(rounds.path(f"back-{d}"))
-    near = spark.read.schema(schema).parquet(*levels)
+        levels.append(f"back-{d}")
+    near = rounds.get(schema, *levels)
     # (s, a, b, d): steps of cycles from s, with what b still needs to get back (0: b is s)
     to = live.join(near.where("n <> s").withColumnRenamed("n", "b"), [*K, "b"]).select(*keys, "a", "b", "d")
     closing = near.where("d = 1").select(*keys, F.col("n").alias("a"), F.col("s").alias("b"), F.lit(0).alias("d"))
@@ -96,9 +97,9 @@ def elementary_cycles(edges: DataFrame, max_len: int = 10) -> DataFrame:
     for k in range(1, max_len + 1):
         grown = paths.join(ways, [*keys, "at"]).where((F.col("d") + k <= max_len) & ((F.col("next") == F.col("s")) | ~F.array_contains("path", F.col("next"))))
         grown = rounds.put(grown.select(*keys, "path", "next"), f"paths-{k}")
-        closed.append(rounds.path(f"paths-{k}"))
+        closed.append(f"paths-{k}")
         paths = grown.where("next <> s").select(*keys, F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("at"))
         if paths.isEmpty():
             break
     rounds.drop("steps", *(f"back-{d}" for d in range(1, max_len + 1)), "edges")
-    return spark.read.schema(grown.schema).parquet(*closed).where("next = s").select(*K, "path")
+    return rounds.get(grown.schema, *closed).where("next = s").select(*K, "path")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -25,17 +26,28 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 class Rounds:
-    """Frames of an iterative job, each written once and read back, so that no plan refers to more than one round."""
+    """Frames of an iterative job, each written once and read back, so that no plan refers to more than one round.
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, shared_folder(spark, name)
+    Rounds compress far below their size in memory, and Spark broadcasts by file size. With ``few``, joins broadcast rounds
+    of at most that many rows and merge larger ones.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, few: int | None = None):
+        self.spark, self.root, self.few = spark, shared_folder(spark, name), few
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
+        return self.get(df.schema, name)
+
+    def get(self, schema: StructType, *names: str) -> DataFrame:
+        """The written rounds ``names`` together."""
+        df = self.spark.read.schema(schema).parquet(*map(self.path, names))
+        if self.few is None:
+            return df
+        return df.hint("broadcast" if df.count() <= self.few else "merge")  # the count reads file footers only
 
     def drop(self, *names: str) -> None:
         """Remove rounds that nothing reads any more."""
